@@ -143,7 +143,10 @@ def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     """The rows of ``docs`` that no rule rejects; costly measures are computed only for rows still in the running."""
     order = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
     df = docs.select(F.struct("*").alias("q_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("q_text"), F.lit(True).alias("q_alive"))
-    return cascade(df, order, set()).where("q_alive").select("q_row.*")
+    # A filter moved below the measures would hold a copy of each, evaluated anew at every use; none is moved below a
+    # column that is not deterministic.
+    df = cascade(df, order, set()).withColumn("q_bar", F.monotonically_increasing_id())
+    return df.where("q_alive and q_bar >= 0").select("q_row.*")
 
 
 #: The same verdict in DuckDB SQL, over a relation ``documents``.
