@@ -2,18 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sparkdossier.plans.queries import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "c4_contradictions"
 
-FLAGSHIP = "word_totals"
-
-
-def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {FLAGSHIP: word_totals}
-ORACLE: dict[str, str] = {FLAGSHIP: "SELECT lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang"}
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
