@@ -11,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes worked on at once; one longer text is worked on alone.
+#: Bytes worked on at once; one longer text is worked on alone. Fitting on the driver takes smaller pieces.
 PIECE_BYTES = 4 << 20
+FIT_BYTES = 1 << 18
 
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
@@ -22,8 +23,7 @@ _tables: dict[str, np.ndarray] = {}
 def _powers(name: str, base: int, n: int) -> np.ndarray:
     have = _tables.get(name)
     if have is None or len(have) < n:
-        size = max(n, PIECE_BYTES + 1)
-        have = np.full(size, base, np.uint64)
+        have = np.full(1 << max(16, n.bit_length()), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         _tables[name] = have

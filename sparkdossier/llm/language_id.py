@@ -82,7 +82,7 @@ def fit(texts: pa.ChunkedArray, labels: list[str], rounds: int = 150, ridge: flo
     code = codewords(len(langs))
     if len(langs) < 2:
         return Model(langs, code, np.zeros((1 << BITS, code.shape[1]), np.float32), np.ones(code.shape[1], np.float32))
-    x = np.concatenate([rates(data, offsets) for _, _, data, offsets in B.pieces(*B.text_buffer(texts), PIECE)])
+    x = np.concatenate([rates(data, offsets) for _, _, data, offsets in B.pieces(*B.text_buffer(texts), B.FIT_BYTES)])
     number = np.array([langs.index(v) for v in labels])
     target = ((code[number] + 1) / 2).astype(np.float32)
     share = (1.0 / (len(langs) * np.bincount(number, minlength=len(langs))[number]))[:, None].astype(np.float32)
@@ -137,7 +137,7 @@ def _predict(model: Model, gap: float):
     return run
 
 
-def train(docs: DataFrame, train_rows: int = 3000, train_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, train_rows: int = 2000, train_chars: int = 20_000) -> Model:
     """Fits on rows with a language whose crc32(doc_id as text) mod 4 is not 2, at most ``train_rows``, first by hash."""
     rows = docs.select("doc_id", F.col("lang").alias("label")).where(fold("doc_id", 4) != 2)
     got = sample_texts(docs, sample_ids(rows, train_rows), train_chars)

@@ -87,9 +87,9 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, cost: float = 1.0, rounds: int =
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
     rows: list[np.ndarray] = []
-    for _, _, data, offsets in B.pieces(*B.text_buffer(texts)):
+    for _, _, data, offsets in B.pieces(*B.text_buffer(texts), B.FIT_BYTES):
         doc, f = features(data, offsets)
-        at = B.rows_of(doc, len(offsets) - 1)
+        at, f = B.rows_of(doc, len(offsets) - 1), f.astype(np.int32)
         rows += [f[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     one, zero = np.full(1 << BITS, smooth), np.full(1 << BITS, smooth)
     for f, label in zip(rows, y.tolist(), strict=True):
@@ -98,7 +98,7 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, cost: float = 1.0, rounds: int =
     ratio = np.log(one / (n1 + 2 * smooth)) - np.log(zero / (len(y) - n1 + 2 * smooth))
     rng = np.random.default_rng(7)
     sign = np.where(y > 0, 1.0, -1.0)
-    values = [ratio[f] / np.sqrt(max(1, len(f))) for f in rows]
+    values = [(ratio[f] / np.sqrt(max(1, len(f)))).astype(np.float32) for f in rows]
 
     def descend(use: np.ndarray) -> tuple[np.ndarray, float]:
         w, b, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
@@ -159,7 +159,7 @@ def _score(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 4000, train_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 3000, train_chars: int = 20_000) -> Model:
     """Fits on rows whose crc32(doc_id as text) mod 5 is not 0, at most ``train_rows`` of them, first by hash."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(fold("doc_id", 5) != 0)
     got = sample_texts(docs, sample_ids(rows, train_rows), train_chars)

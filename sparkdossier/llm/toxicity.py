@@ -81,6 +81,13 @@ def _document(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([np.log(top / (1 - top)), np.log1p(total), np.ones(n)], 1)
 
 
+def emissions(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    out = np.zeros(f.shape[1])
+    for row in f:
+        out += w[row]
+    return out
+
+
 def weak_labels(f: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """1 for tokens of toxic texts that have a telling word or prefix."""
     width = 1 << BITS
@@ -105,15 +112,15 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, share: float, rounds: int = 60) -
     """``share``: of label 1 among all labelled rows, to which the score's constant is set."""
     width = 1 << BITS
     feats, docs, at, first = [], [], [0], 0
-    for a, z, data, offsets in B.pieces(*B.text_buffer(texts)):
+    for a, _, data, offsets in B.pieces(*B.text_buffer(texts), B.FIT_BYTES):
         w = B.Words(data, offsets)
-        feats.append(token_features(w))
-        docs.append(w.doc + a)
+        feats.append(token_features(w).astype(np.int32))
+        docs.append((w.doc + a).astype(np.int32))
         at += (w.at[1:] + first).tolist()
         first += len(w.hash)
     if first == 0 or len(set(y.tolist())) < 2:
         return Model(np.zeros(width, np.float32), -5.0, np.zeros(4), np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
-    f, doc, at = np.concatenate(feats, 1).astype(np.int64), np.concatenate(docs), np.array(at)
+    f, doc, at = np.concatenate(feats, 1), np.concatenate(docs), np.array(at)
     mark = weak_labels(f, doc, y)
     # Toxic texts without a marked token would teach that their words are clean.
     found = np.bincount(doc, weights=mark, minlength=len(y)) > 0
@@ -129,7 +136,7 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, share: float, rounds: int = 60) -
     state = [np.zeros(width + 5), np.zeros(width + 5)]
     n = max(1.0, m.sum())
     for step in range(1, rounds + 1):
-        o, q, x = marginals(w[g].sum(axis=0) + bias, sub, moves)
+        o, q, x = marginals(emissions(w, g) + bias, sub, moves)
         p = _chance(o * q)
         diff = m - p
         grad = np.zeros(width + 5)
@@ -145,7 +152,7 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, share: float, rounds: int = 60) -
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         move = 0.3 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-6)
         w, bias, moves = w + move[:width], bias + move[width], moves + move[width + 1 :]
-    o, q, _ = marginals(w[f].sum(axis=0) + bias, at, moves)
+    o, q, _ = marginals(emissions(w, f) + bias, at, moves)
     x = _document(_chance(o * q), at)
     d = np.zeros(3)
     for _ in range(60):
@@ -199,7 +206,7 @@ def _score(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_each: int = 700, train_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_each: int = 600, train_chars: int = 20_000) -> Model:
     """Fits on rows whose crc32(doc_id as text) mod 5 is not 0: at most ``rows_each`` of either label, first by hash."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(fold("doc_id", 5) != 0)
     ids = sample_ids(rows.where("label = 1"), rows_each).unionByName(sample_ids(rows.where("label = 0"), rows_each))
