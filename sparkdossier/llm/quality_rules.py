@@ -124,6 +124,15 @@ def cascade(df: DataFrame, rules: list[Rule], have: set[str], alive: str = "q_al
     return df
 
 
+def fence(df: DataFrame) -> tuple[DataFrame, F.Column]:
+    """``df`` and a condition that always holds; no filter on a column that depends on it is moved below ``df``.
+
+    A filter moved below the measures would hold a copy of each, evaluated anew at every use, but the optimizer moves none
+    below a column that is not deterministic.
+    """
+    return df.withColumn("q_bar", F.monotonically_increasing_id()), F.col("q_bar") >= 0
+
+
 def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
     """Base measures and verdict of each row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, rejected_by``.
@@ -135,18 +144,17 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("q_text"))
     have: set[str] = set()
     df = measure(df, BASE, have).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("q_alive", ~F.col("base_failed"))
-    df = cascade(df, order, have)
-    return df.select("doc_id", *BASE, "base_failed", F.col("q_alive").alias("kept"), "rejected_by")
+    df, bar = fence(cascade(df, order, have))
+    out = {c: c for c in (*BASE, "base_failed")} | {"kept": "q_alive", "rejected_by": "rejected_by"}
+    return df.select("doc_id", *[F.when(bar, F.col(c)).alias(name) for name, c in out.items()])
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
     """The rows of ``docs`` that no rule rejects; costly measures are computed only for rows still in the running."""
     order = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
     df = docs.select(F.struct("*").alias("q_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("q_text"), F.lit(True).alias("q_alive"))
-    # A filter moved below the measures would hold a copy of each, evaluated anew at every use; none is moved below a
-    # column that is not deterministic.
-    df = cascade(df, order, set()).withColumn("q_bar", F.monotonically_increasing_id())
-    return df.where("q_alive and q_bar >= 0").select("q_row.*")
+    df, bar = fence(cascade(df, order, set()))
+    return df.where(F.col("q_alive") & bar).select("q_row.*")
 
 
 #: The same verdict in DuckDB SQL, over a relation ``documents``.
