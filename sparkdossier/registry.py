@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sparkdossier.plans.more_queries  # noqa: F401  registers its queries
 from sparkdossier.plans.queries import ORACLE, QUERIES
 
 FLAGSHIP = "c4_contradictions"
