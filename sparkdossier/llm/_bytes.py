@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; one longer text is worked on alone. Fitting on the driver takes smaller pieces.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 FIT_BYTES = 1 << 18
 
 _R = 0x9E3779B97F4A7C15

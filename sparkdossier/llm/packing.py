@@ -30,6 +30,8 @@ SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 K1, B_LENGTH, QUERY_TERMS = 1.2, 0.75, 24
 #: Distinct pieces of text whose ids a worker remembers.
 MEMORY = 300_000
+#: Bytes of text split at once.
+SPLIT_BYTES = 2 << 20
 
 
 class Encoder:
@@ -79,7 +81,7 @@ class Encoder:
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         at = 0
-        for a, z, part, bounds in B.pieces(data, offsets):
+        for a, z, part, bounds in B.pieces(data, offsets, SPLIT_BYTES):
             ids, ends = self._split(part, bounds)
             for i, x, y in zip(plain[a:z], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 out[i] = ids[x:y]
@@ -242,7 +244,7 @@ def _pack(path: str):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
 
         for batch in batches:
-            for a, z, _, _ in B.pieces(*B.text_buffer(batch.column(1))):
+            for a, z, _, _ in B.pieces(*B.text_buffer(batch.column(1)), SPLIT_BYTES):
                 texts = [x or "" for x in batch.column(1).slice(a, z - a).to_pylist()]
                 for doc_id, t in zip(batch.column(0).slice(a, z - a).to_pylist(), encode.many(texts), strict=True):
                     t = np.append(t, END)
