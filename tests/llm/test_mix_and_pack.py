@@ -121,16 +121,60 @@ def test_neighbours_are_bm25_ranked():
     assert len(got) == len(want) and np.allclose([score(tokens[i]) for i in got], [score(tokens[i]) for i in want])
 
 
-def test_pipeline_stages(spark, sf):
+def test_pipeline_against_plain_python(spark, sf, encoder):
+    """Each stage on what its predecessor kept, against a plain version of it."""
+    from test_jaccard import brute
+    from test_rules_and_licenses import base
+
+    from sparkdossier.llm import quality_classifier
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    counts = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        path = f"{corpus_pipeline.scratch(spark, 'test')}"
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        path = corpus_pipeline.scratch(spark, "test")
+        if name == "quality_classifier":
+            model = quality_classifier.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            want = {r.doc_id for r in quality_classifier.score_quality(docs, model).where("score >= 0.3").collect()}
+        elif name == "quality_rules":
+            want = set()
+            for r in before:
+                n, chars, symbols, dup, again = base(r.text)
+                lines = [x for x in r.text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+                upper, letters = sum(c.isupper() for c in r.text), sum(c.isalpha() for c in r.text)
+                bad = n < 50 or 100 * again > 50 * n or symbols > 0.1 * n or dup > 0.5 * len(lines) or not 2 * n <= chars <= 20 * n or 2 * upper > letters
+                want |= set() if bad else {r.doc_id}
+        elif name == "jaccard_join":
+            want = {c for c, _ in brute([(r.doc_id, r.text) for r in before]).values()}
         stage(spark, docs, sf).write.parquet(path)
         docs = spark.read.parquet(path)
-        assert docs.columns == columns, name
-        counts.append(docs.count())
-    assert counts[0] > counts[1] >= counts[2] > counts[3] > 0
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert out.where("start = 0").count() == counts[-1]
+        if name == "packing":
+            rows = docs.collect()
+        else:
+            assert docs.columns == columns, name
+            seen[name] = docs.collect()
+            if name != "mixing":
+                assert sorted(r.doc_id for r in seen[name]) == sorted(want), name
+                kept = {r.doc_id: r for r in before}
+                assert all(r == kept[r.doc_id] for r in seen[name])
+    # Mixing: whole documents, and about as many tokens as there were.
+    unique = {r.doc_id: r for r in seen["jaccard_join"]}
+    assert all(r == unique[r.doc_id] for r in seen["mixing"])
+    size = lambda rows: sum(len(r.text.split()) for r in rows)
+    leaves = len({(r.lang, r.source) for r in seen["jaccard_join"]})
+    assert size(unique.values()) <= size(seen["mixing"]) <= size(unique.values()) + leaves * max(len(r.text.split()) for r in unique.values())
+    # Packing: every drawn document whole, sequences gapless, no padding.
+    drawn = [r.doc_id for r in seen["mixing"]]
+    assert sorted(r.doc_id for r in rows if r.start == 0) == sorted(drawn)
+    tokens = {i: len(encoder.whole(unique[i].text)) + 1 for i in set(drawn)}
+    assert sum(r.length for r in rows) == sum(tokens[i] for i in drawn)
+    by_seq = {}
+    for r in rows:
+        assert r.doc_tokens == tokens[r.doc_id]
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024 and at & (at - 1) == 0
