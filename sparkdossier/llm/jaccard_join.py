@@ -2,8 +2,8 @@
 
 Documents become sets of five-word runs (words are runs of ASCII letters and digits, in lower case, and of
 characters beyond ASCII). Documents with equal sets form one node. Each node has a signature of 16 x 8 minimum
-hashes, that is 16 tries of depth 8. Matching starts with whole trie paths and shortens the prefix, one component
-at a time, until the recall estimated from the matches themselves reaches the target. Nodes that share a prefix are
+hashes, that is 16 tries of depth 8. Paths are matched by the longest prefix at which a pair at the least similarity
+is met with the target probability, so recall does not depend on the mix of duplicates. Nodes that share a prefix are
 gathered into candidate clusters by connected components, and every pair of nodes in a cluster is verified exactly on
 the sets, in blocks of bounded size; pairs themselves are counted, never emitted.
 """
@@ -205,9 +205,22 @@ def _paths(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.where("size > 0").select("rid", F.explode(each).alias("path"))
 
 
+def path_depth(least: float, target: float, least_depth: int = 1) -> int:
+    """Longest prefix at which a pair of similarity ``least`` shares a path of some trie with probability ``target`` or more.
+
+    What meets at a longer prefix meets at this one too, and pairs above ``least`` meet more often, whatever else the table holds.
+    """
+    for depth in range(DEPTH, least_depth - 1, -1):
+        if 1 - (1 - least**depth) ** TREES >= target:
+            return depth
+    raise ValueError(f"{TREES} tries cut at depth {least_depth} do not reach recall {target} at similarity {least}")
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, least: float = 0.8, target: float = 0.999, least_depth: int = 4) -> DataFrame:
     """One row per document: ``doc_id, class_id, text_id, copies, n_text_links, n_links``.
 
+    A pair at similarity ``least`` is a candidate with probability ``target`` or more; where that takes prefixes shorter than
+    ``least_depth``, an error is raised.
     ``class_id`` is the least doc_id of all documents connected by links (similarity ``least`` or more),
     ``text_id`` the least doc_id of those with an equal set, ``copies`` their number, ``n_text_links`` the number of
     other sets linked to this one, and ``n_links`` the number of other documents linked, copies included.
@@ -224,17 +237,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, least: float = 0.8, target: flo
     ids = signed.where("doc_id is not null and size > 0")
     nodes = cut(ids.groupBy("hi", "lo").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("sig").alias("sig")))
 
-    for depth in range(DEPTH, least_depth - 1, -1):
-        paths = _paths(nodes, depth)
-        heads = paths.groupBy("path").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        met = cut(paths.join(heads, "path").groupBy("rid", "head").agg(F.count(F.lit(1)).alias("m")))
-        # A node met in m of the tries has a nearest match of similarity about (m / TREES) ** (1 / depth); a match of
-        # similarity s is met in some trie with probability 1 - (1 - s ** depth) ** TREES.
-        s = F.greatest(F.lit(float(least)), F.pow(F.least(F.lit(1.0), F.col("m") / TREES), F.lit(1.0 / depth)))
-        p = 1 - F.pow(1 - F.pow(s, F.lit(float(depth))), F.lit(float(TREES)))
-        recall = met.groupBy("rid").agg(F.sum("m").alias("m")).agg((F.count(F.lit(1)) / F.sum(1 / p)).alias("r")).first()["r"]
-        if recall is None or recall >= target:
-            break
+    paths = _paths(nodes, path_depth(least, target, least_depth))
+    heads = paths.groupBy("path").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = cut(paths.join(heads, "path").select("rid", "head").distinct())
 
     clusters = connected_components(met.where("rid <> head"), "rid", "head").withColumnsRenamed({"node": "rid", "component": "cluster"})
     sized = nodes.select("rid", "hi", "lo", "copies", "size").join(clusters, "rid")

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import pytest
 from llm_helpers import docs_of
 from sparkdossier.llm.jaccard_join import jaccard_classes, keep_one_per_class
 
@@ -51,6 +52,36 @@ def test_against_all_pairs_with_large_groups(spark):
     assert sum(want[x.doc_id][0] == x.class_id for x in got) >= 0.99 * len(rows)
 
 
+def test_marginal_pairs_beside_a_hot_group(spark):
+    """Pairs near the least similarity that share no whole path, alone and beside close copies that all do."""
+    import numpy as np
+
+    from sparkdossier.llm import jaccard_join as J
+
+    def misses(a, b):
+        data = np.frombuffer((a + b).encode(), np.uint8)
+        doc, h = J.text_sets(data, np.array([0, len(a), len(a) + len(b)]), 5)
+        x, y = J.signatures(doc, h, 2).reshape(2, J.TREES, J.DEPTH)
+        return not (x == y).all(axis=1).any()
+
+    pairs = []
+    for i in range(200):
+        w = [f"p{i}x{j}" for j in range(100)]
+        a, b = " ".join(w), " ".join(w[:90] + [f"q{i}x{j}" for j in range(10)])
+        if misses(a, b):
+            pairs += [a, b]
+    assert len(pairs) > 8
+    base = [f"h{j}" for j in range(300)]
+    hot = [" ".join([*base[:-1], f"last{i}"]) for i in range(60)]
+    for texts in (pairs, pairs + hot):
+        want = brute(list(enumerate(texts)))
+        got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard_classes(docs_of(spark, [(i, x, "en", "s") for i, x in enumerate(texts)])).collect()}
+        assert got == want
+    assert J.path_depth(0.8, 0.999) == 4
+    with pytest.raises(ValueError):
+        J.path_depth(0.3, 0.999)
+
+
 def test_sf_recall(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([(x.doc_id, x.text) for x in docs.collect()])
