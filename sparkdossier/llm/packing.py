@@ -26,8 +26,10 @@ WINDOW = 1024
 END = np.zeros(1, "<u4")
 #: A shard is closed beyond so many documents or tokens; a longer document is a shard of its own.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
-#: BM25 constants, and how many of a seed's terms, those of greatest weight, are looked up.
-K1, B_LENGTH, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25 constants, and how many of a seed's terms are looked up: all.
+K1, B_LENGTH, QUERY_TERMS = 1.2, 0.75, float("inf")
+#: Terms in at least this share of a shard's documents are kept as dense rows, of so many values in all.
+DENSE_SHARE, DENSE_VALUES = 1 / 8, 8_000_000
 #: Distinct pieces of text whose ids a worker remembers.
 MEMORY = 300_000
 #: Bytes of text split at once.
@@ -154,18 +156,28 @@ class Shard:
         self.weight[df[number] == 1] = 0  # found in no other document
         order = np.argsort(self.doc, kind="stable")
         self.by_doc, self.at = number[order], np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.own = self.weight[order]
+        # Frequent terms as rows over all documents, the most frequent first; the others as postings.
+        often = np.flatnonzero(df >= max(2, n * DENSE_SHARE))
+        often = often[np.argsort(-df[often], kind="stable")][: DENSE_VALUES // n]
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        at = self.row[number]
+        self.dense[at[at >= 0], self.doc[at >= 0]] = self.weight[at >= 0]
 
     def nearest(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents with a positive score, best first, ties by place."""
-        a, z = self.at[seed], self.at[seed + 1]
-        terms, own = self.by_doc[a:z], self.own[a:z]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS]]
-        score = np.zeros(self.n)
-        for t in terms.tolist():
-            x, y = self.bounds[t], self.bounds[t + 1]
-            score[self.doc[x:y]] += self.weight[x:y]
+        terms = self.by_doc[self.at[seed] : self.at[seed + 1]]
+        row = self.row[terms]
+        some = terms[row < 0]
+        begin, each = self.bounds[some], self.bounds[some + 1] - self.bounds[some]
+        begin, each = begin[each > 1], each[each > 1]
+        ends = np.cumsum(each)
+        at = np.repeat(begin - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        score = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float64)  # whole numbers if empty
+        row = row[row >= 0]
+        for x in range(0, len(row), 64):
+            score += self.dense[row[x : x + 64]].sum(axis=0)
         score[~unused] = 0
         some = np.flatnonzero(score > 0)
         return some[np.argsort(-score[some], kind="stable")]

@@ -121,6 +121,26 @@ def test_neighbours_are_bm25_ranked():
     assert len(got) == len(want) and np.allclose([score(tokens[i]) for i in got], [score(tokens[i]) for i in want])
 
 
+def test_all_terms_of_a_long_seed_count():
+    """A seed of some 400 distinct ids: exact scores, and neighbours that share only its common ones."""
+    r = np.random.default_rng(8)
+    seed = np.arange(1, 401, dtype=np.uint32)
+    tokens = [seed] + [r.choice(np.arange(1, 900), r.integers(5, 300)).astype(np.uint32) for _ in range(60)]
+    tokens += [np.array([w, 5000 + w], np.uint32) for w in range(1, 401)]
+    n, mean, size = len(tokens), np.mean([len(t) for t in tokens]), np.array([len(t) for t in tokens])
+    tf = np.zeros((n, 6000))
+    for i, t in enumerate(tokens):
+        np.add.at(tf[i], t, 1)
+    df = (tf > 0).sum(axis=0)
+    weight = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)[:, None])
+    score = weight[:, seed][:, df[seed] > 1].sum(axis=1)
+    unused = np.ones(n, bool)
+    unused[0] = False
+    got = packing.Shard(tokens).nearest(0, unused)
+    assert sorted(got.tolist()) == [i for i in range(1, n) if score[i] > 0] and len(got) > 400
+    assert np.allclose(score[got], np.sort(score[1:][score[1:] > 0])[::-1])
+
+
 def test_pipeline_against_plain_python(spark, sf, encoder):
     """Each stage on what its predecessor kept, against a plain version of it."""
     from test_jaccard import brute
