@@ -1,7 +1,7 @@
 """Lexical retrieval packing.
 
 Documents are dealt into shards of bounded size as they stand in the input's splits. Each shard gets a BM25 inverted index
-over token ids. A window of ``WINDOW`` tokens is filled by a seed document, then by the unused documents that BM25 ranks
+over token ids, whose document frequencies and mean length are those of all documents. A window of ``WINDOW`` tokens is filled by a seed document, then by the unused documents that BM25 ranks
 nearest to the seed, then, if none is left, by the next unused ones in order; a document that does not fit is cut, and what
 is left of it seeds the next window. So all windows but a shard's last are full; the last is cut into pieces whose
 lengths are powers of two, which need no padding.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdossier.llm import _bytes as B
+from sparkdossier.session import cut
 
 WINDOW = 1024
 #: Fixed value: the id after each document.
@@ -135,10 +137,18 @@ class Encoder:
         return ids, np.concatenate(([0], ends))[np.searchsorted(heads, bounds)]
 
 
+class Statistics(NamedTuple):
+    """Of all documents: their number, their mean length, and by token id how many have it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
 class Shard:
-    """A BM25 index over documents given as arrays of token ids."""
+    """A BM25 index over documents given as arrays of token ids; statistics are of these unless given."""
 
-    def __init__(self, tokens: list[np.ndarray]):
+    def __init__(self, tokens: list[np.ndarray], stats: Statistics | None = None):
         self.n = n = len(tokens)
         size = np.array([len(t) for t in tokens], np.float64)
         all_ids = np.concatenate(tokens)
@@ -149,9 +159,10 @@ class Shard:
         heads = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
         self.bounds = np.append(heads, len(term))
         df = np.diff(self.bounds)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        n_all, mean, df_all = stats._replace(df=stats.df[term[heads]]) if stats else (n, size.mean(), df)
+        idf = np.log(1 + (n_all - df_all + 0.5) / (df_all + 0.5))
         number = np.repeat(np.arange(len(df)), df)
-        norm = K1 * (1 - B_LENGTH + B_LENGTH * size / max(size.mean(), 1))
+        norm = K1 * (1 - B_LENGTH + B_LENGTH * size / max(mean, 1))
         self.weight = idf[number] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.weight[df[number] == 1] = 0  # found in no other document
         order = np.argsort(self.doc, kind="stable")
@@ -183,11 +194,11 @@ class Shard:
         return some[np.argsort(-score[some], kind="stable")]
 
 
-def pack(tokens: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+def pack(tokens: list[np.ndarray], stats: Statistics | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of each piece, in the order of sequences."""
     n = len(tokens)
     size = [len(t) for t in tokens]
-    index = Shard(tokens) if n > 1 else None
+    index = Shard(tokens, stats) if n > 1 else None
     unused = np.ones(n, bool)
     next_up, sequence, offset, total = 0, 0, 0, sum(size)
     full = total // WINDOW
@@ -230,11 +241,46 @@ def pack(tokens: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
                 near = iter(index.nearest(seed, unused).tolist()) if index else iter(())
 
 
-def _pack(path: str):
+def _tokenize(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(path)
+        for batch in batches:
+            for a, z, _, _ in B.pieces(*B.text_buffer(batch.column(1)), SPLIT_BYTES):
+                texts = [x or "" for x in batch.column(1).slice(a, z - a).to_pylist()]
+                ids = [t.tobytes() + END.tobytes() for t in encode.many(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return run
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per token id the documents that have it; under -1 the number of documents, under -2 that of tokens."""
+    df, n, total = np.zeros(0, np.int64), 0, 0
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            ids = np.unique(np.frombuffer(raw, "<u4"))
+            if ids[-1] >= len(df):
+                df = np.concatenate((df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)))
+            df[ids] += 1
+            n, total = n + 1, total + len(raw) // 4
+    some = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, (-1, -2))), pa.array(np.append(df[some], (n, total)))], ["term", "n"])
+
+
+def statistics(tokens: DataFrame) -> Statistics:
+    """Of a table with the ids of each document; at most a row for each token id comes to the driver."""
+    rows = tokens.select("ids").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    by = {r.term: r.n for r in rows}
+    n, total = by.pop(-1, 0), by.pop(-2, 0)
+    df = np.zeros(max(by, default=-1) + 1, np.int64)
+    df[list(by)] = list(by.values())
+    return Statistics(n, total / max(n, 1), df)
+
+
+def _pack(stats: Statistics):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         ids: list = []
@@ -245,7 +291,7 @@ def _pack(path: str):
             nonlocal base, held
             rows: list[list[int]] = [[] for _ in range(7)]
             last = -1
-            for d, start, length, sequence, offset in pack(tokens):
+            for d, start, length, sequence, offset in pack(tokens, stats):
                 for x, v in zip(rows, (ids[d], start, length, zlib.crc32(tokens[d][start : start + length].tobytes()), len(tokens[d]), base + sequence, offset)):
                     x.append(v)
                 last = sequence
@@ -256,15 +302,13 @@ def _pack(path: str):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
 
         for batch in batches:
-            for a, z, _, _ in B.pieces(*B.text_buffer(batch.column(1)), SPLIT_BYTES):
-                texts = [x or "" for x in batch.column(1).slice(a, z - a).to_pylist()]
-                for doc_id, t in zip(batch.column(0).slice(a, z - a).to_pylist(), encode.many(texts), strict=True):
-                    t = np.append(t, END)
-                    if tokens and (len(tokens) >= SHARD_DOCS or held + len(t) > SHARD_TOKENS):
-                        yield close()
-                    ids.append(doc_id)
-                    tokens.append(t)
-                    held += len(t)
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = np.frombuffer(raw, "<u4")
+                if tokens and (len(tokens) >= SHARD_DOCS or held + len(t) > SHARD_TOKENS):
+                    yield close()
+                ids.append(doc_id)
+                tokens.append(t)
+                held += len(t)
         if tokens:
             yield close()
 
@@ -279,4 +323,5 @@ def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     ``sequence_id`` holds the input split in its upper bits and counts within it below.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_pack(tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    tokens = cut(d.mapInArrow(_tokenize(tokenizer), "doc_id long, ids binary"))
+    return tokens.mapInArrow(_pack(statistics(tokens)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -141,6 +141,21 @@ def test_all_terms_of_a_long_seed_count():
     assert np.allclose(score[got], np.sort(score[1:][score[1:] > 0])[::-1])
 
 
+def test_statistics_are_of_all_documents(spark, encoder):
+    """A word that is rare in its own split and common in the other one weighs little in both."""
+    first = [(0, "red blue", "en", "s"), (1, "red cat", "en", "s"), (2, "dog blue", "en", "s")]
+    other = [(10 + i, "red fish", "en", "s") for i in range(20)]
+    docs = docs_of(spark, first).coalesce(1).union(docs_of(spark, other).coalesce(1))
+    rows = packing.pack_documents(docs, corpus_pipeline.tokenizer_path()).where("start = 0 and doc_id < 10").collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))] == [0, 2, 1]
+    ids = [[*encoder.whole(x[1]).tolist(), 0] for x in first + other]
+    table = spark.createDataFrame([(np.array(t, "<u4").tobytes(),) for t in ids], "ids binary").repartition(3)
+    n, mean, df = packing.statistics(table)
+    assert n == 23 and np.isclose(mean, np.mean([len(t) for t in ids]))
+    assert {i: x for i, x in enumerate(df.tolist()) if x} == {i: sum(i in t for t in ids) for t in ids for i in t}
+    assert packing.statistics(table.limit(0))[:2] == (0, 0)
+
+
 def test_pipeline_against_plain_python(spark, sf, encoder):
     """Each stage on what its predecessor kept, against a plain version of it."""
     from test_jaccard import brute
