@@ -1,11 +1,12 @@
 """Vectorised word work on Arrow text buffers, shared by the operators that run in Arrow batches.
 
 Texts are handled as UTF-8 bytes. A table of 256 entries maps each byte to what it counts as, with 0 for
-bytes between words. All hashes are 64 bits.
+bytes between words. All hashes are 64 bits, without structure that would make unlike inputs share one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,20 +15,12 @@ import pyarrow as pa
 #: Bytes worked on at once; one longer text is worked on alone. Fitting on the driver takes smaller pieces.
 PIECE_BYTES = 1 << 20
 FIT_BYTES = 1 << 18
+#: Texts worked on at once.
+PIECE_ROWS = 4096
 
-_R = 0x9E3779B97F4A7C15
-_R_INV = pow(_R, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(name: str, base: int, n: int) -> np.ndarray:
-    have = _tables.get(name)
-    if have is None or len(have) < n:
-        have = np.full(1 << max(16, n.bit_length()), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _tables[name] = have
-    return have
+#: Masks of the first 0 to 8 bytes of a lane of eight, and spans longer than this are hashed one by one.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG_SPAN = 64
 
 
 def _word_table(lower: bool = True) -> np.ndarray:
@@ -62,11 +55,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about ``size`` bytes: first and last row, bytes and offsets."""
+def pieces(data: np.ndarray, offsets: np.ndarray, size: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about ``size`` bytes and at most ``rows`` texts: first and last row, bytes and offsets."""
     row, n = 0, len(offsets) - 1
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+        end = min(max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1), row + rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
@@ -80,6 +73,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class Spans:
+    """Hashes and comparison of byte spans of a buffer, eight bytes at a time.
+
+    Each lane of eight bytes goes through a bijection that mixes all bits, so spans of up to eight bytes never share a hash
+    with one of the same length, and longer ones only by chance: no input has a structure that makes hashes equal. Spans
+    of more than ``LONG_SPAN`` bytes take a keyed BLAKE2b.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        held = np.zeros(len(data) + 16, np.uint8)
+        held[: len(data)] = data
+        self.view = np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
+
+    def _lane(self, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return self.view[start] & _MASK[np.minimum(left, 8)]
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        h = mix(self._lane(start, size) ^ _SIZES[np.minimum(size, LONG_SPAN)])
+        for at in range(8, LONG_SPAN, 8):
+            more = np.flatnonzero(size > at)
+            if not len(more):
+                break
+            h[more] = mix(h[more] ^ self._lane(start[more] + at, size[more] - at))
+        for i in np.flatnonzero(size > LONG_SPAN).tolist():
+            digest = hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8, key=b"span").digest()
+            h[i] = int.from_bytes(digest, "little")
+        return h
+
+    def same(self, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+        """Whether spans hold the same bytes as those that begin at ``other``."""
+        size = end - start
+        out = size == other_end - other
+        for at in range(0, LONG_SPAN, 8):
+            more = np.flatnonzero(out & (size > at))
+            if not len(more):
+                break
+            left = size[more] - at
+            out[more] = self._lane(start[more] + at, left) == self._lane(other[more] + at, left)
+        for i in np.flatnonzero(out & (size > LONG_SPAN) & (start != other)).tolist():
+            out[i] = bool((self.data[start[i] + LONG_SPAN : end[i]] == self.data[other[i] + LONG_SPAN : other_end[i]]).all())
+        return out
+
+
+_SIZES = mix(np.arange(1, LONG_SPAN + 2, dtype=np.uint64))
+
+
 class Words:
     """Words of a run of texts: byte starts and ends, hashes, and each text's first word (``at``, one more than texts)."""
 
@@ -97,8 +138,7 @@ class Words:
         after[lasts[lasts >= 0]] = False
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(b * _powers("r", _R, n + 1)[:n], out=self.sums[1:])
+        self.spans = Spans(b)
         self.hash = self.span_hash(self.start, self.end)
         self.at = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.at)
@@ -106,7 +146,7 @@ class Words:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of byte spans, equal for equal bytes wherever they stand."""
-        return mix((self.sums[end] - self.sums[start]) * _powers("i", _R_INV, len(self.sums))[start])
+        return self.spans.hash(start, end)
 
     def grams(self, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Texts and hashes of all runs of ``k`` words; with ``short``, fewer words make one run."""
@@ -125,7 +165,7 @@ class Words:
                 part[ok] = self.hash[at[ok]]
             else:
                 part = self.hash[at]
-            h = h * np.uint64(0xD6E8FEB86659FD93) + part
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + part
         return self.doc[keep], mix(h)
 
 

@@ -1,22 +1,25 @@
 """Lexical retrieval packing.
 
-Documents are dealt into shards of bounded size as they stand in the input's splits. Each shard gets a BM25 inverted index
-over token ids, whose document frequencies and mean length are those of all documents. A window of ``WINDOW`` tokens is filled by a seed document, then by the unused documents that BM25 ranks
-nearest to the seed, then, if none is left, by the next unused ones in order; a document that does not fit is cut, and what
-is left of it seeds the next window. So all windows but a shard's last are full; the last is cut into pieces whose
-lengths are powers of two, which need no padding.
+Documents are dealt into shards of bounded size by topic: the term that weighs most in a document among those that many
+documents have. A topic too large for a shard is split by a hash of its documents, small ones share a shard, so what lies in
+a shard depends on the documents alone and not on how the table is split. Each shard gets a BM25 inverted index over token
+ids, whose document frequencies and mean length are those of all documents. A window of ``WINDOW`` tokens is filled by a seed
+document, then by the unused documents that BM25 ranks nearest to the seed, then, if none is left, by the next unused ones in
+order; a document that does not fit is cut, and what is left of it seeds the next window. So all windows but a shard's last
+are full; the last is cut into pieces whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +29,20 @@ from sparkdossier.session import cut
 WINDOW = 1024
 #: Fixed value: the id after each document.
 END = np.zeros(1, "<u4")
-#: A shard is closed beyond so many documents or tokens; a longer document is a shard of its own.
+#: Documents and tokens that a shard is planned for, and those beyond which one is closed whatever the plan (hashing deals
+#: unevenly). A longer document is packed with what stands before it.
+PLAN_DOCS, PLAN_TOKENS = 1500, 1_200_000
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
-#: BM25 constants, and how many of a seed's terms are looked up: all.
-K1, B_LENGTH, QUERY_TERMS = 1.2, 0.75, float("inf")
+#: A topic is a term that at least this share of all documents have.
+TOPIC_SHARE = 0.1
+#: Shards planned for one task.
+TASK_SHARDS = 16
+#: BM25 constants.
+K1, B_LENGTH = 1.2, 0.75
 #: Terms in at least this share of a shard's documents are kept as dense rows, of so many values in all.
-DENSE_SHARE, DENSE_VALUES = 1 / 8, 8_000_000
+DENSE_SHARE, DENSE_VALUES = 1 / 16, 8_000_000
+#: Seeds whose scores by frequent terms are computed together.
+SEED_BLOCK = 128
 #: Distinct pieces of text whose ids a worker remembers.
 MEMORY = 300_000
 #: Bytes of text split at once.
@@ -42,8 +53,8 @@ class Encoder:
     """Token ids of many texts at once, by looking up the pieces that the tokenizer's own split gives.
 
     A byte-level BPE splits a text into runs of letters, digits, marks and blanks and merges within them. Texts in ASCII
-    and Latin letters without an apostrophe are split on their bytes for a whole shard at once; each distinct piece (known
-    by a 64-bit hash) is merged once and remembered. All other texts go to the tokenizer whole. Pieces are merged from the
+    and Latin letters without an apostrophe are split on their bytes for many texts at once; each distinct piece (matched
+    by a hash, then compared byte for byte) is merged once and remembered. All other texts go to the tokenizer whole. Pieces are merged from the
     same file's vocabulary, whose ids are in the order of its merges.
     """
 
@@ -53,7 +64,6 @@ class Encoder:
     CLASS[65:91] = CLASS[97:123] = CLASS[128:] = 2
 
     def __init__(self, path: str):
-        import json
         import re
 
         import tiktoken
@@ -70,7 +80,7 @@ class Encoder:
         coding = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.merge = coding._core_bpe.encode_single_piece
         self.odd = re.compile("[^\0-\x7f\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]|'|<\\|").search
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         probe = "A  caf\u00e9 (n 12),\n\n \tthey see!! "
         if self.many([probe])[0].tolist() != self.whole(probe).tolist():
             raise ValueError(f"{path} is not the byte-level BPE that this split is for")
@@ -114,19 +124,24 @@ class Encoder:
         start[1:] &= ~taken[:-1]  # unless it is a space: then the word goes on with it
         heads = np.flatnonzero(start)
         tails = np.append(heads[1:], n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * B._powers("r", B._R, n + 1)[:n], out=sums[1:])
-        h = B.mix((sums[tails] - sums[heads]) * B._powers("i", B._R_INV, n + 1)[heads])
-        found, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        spans = B.Spans(data)
+        _, where, inverse = np.unique(spans.hash(heads, tails), return_index=True, return_inverse=True)
+        # A hash is only a guess: pieces that do not hold the bytes of the piece they were matched with stand for themselves.
+        odd = np.flatnonzero(~spans.same(heads, tails, heads[where][inverse], tails[where][inverse]))
+        inverse[odd] = len(where) + np.arange(len(odd))
+        where = np.concatenate((where, odd))
         known = self.known
         if len(known) > MEMORY:
             known.clear()
         raw, merge, pool = data.tobytes(), self.merge, []
-        for x, a, z in zip(found.tolist(), heads[where].tolist(), tails[where].tolist(), strict=True):
+        for a, z in zip(heads[where].tolist(), tails[where].tolist(), strict=True):
+            x = raw[a:z]
             got = known.get(x)
             if got is None:
-                ids = merge(raw[a:z])
-                got = known[x] = struct.pack(f"<{len(ids)}I", *ids)
+                ids = merge(x)
+                got = struct.pack(f"<{len(ids)}I", *ids)
+                if len(x) <= B.LONG_SPAN:
+                    known[x] = got
             pool.append(got)
         size = np.fromiter(map(len, pool), np.int64, len(pool)) >> 2
         flat = np.frombuffer(b"".join(pool), "<u4")
@@ -172,26 +187,38 @@ class Shard:
         often = often[np.argsort(-df[often], kind="stable")][: DENSE_VALUES // n]
         self.row = np.full(len(df), -1)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n))
+        self.dense = np.zeros((len(often), n), np.float32)
         at = self.row[number]
         self.dense[at[at >= 0], self.doc[at >= 0]] = self.weight[at >= 0]
-
-    def nearest(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a positive score, best first, ties by place."""
+        self.has = (self.dense > 0).T.astype(np.float32)
+        self.blocks: dict[int, np.ndarray] = {}
+
+    def _frequent(self, seed: int) -> np.ndarray:
+        """Scores by the frequent terms, for a block of seeds at once; a shard's blocks hold four bytes per pair of its documents."""
+        block = seed // SEED_BLOCK
+        if block not in self.blocks:
+            self.blocks[block] = self.has[block * SEED_BLOCK : (block + 1) * SEED_BLOCK] @ self.dense
+        return self.blocks[block][seed % SEED_BLOCK]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all documents for the seed's distinct terms."""
         terms = self.by_doc[self.at[seed] : self.at[seed + 1]]
-        row = self.row[terms]
-        some = terms[row < 0]
+        some = terms[self.row[terms] < 0]
         begin, each = self.bounds[some], self.bounds[some + 1] - self.bounds[some]
         begin, each = begin[each > 1], each[each > 1]
         ends = np.cumsum(each)
         at = np.repeat(begin - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
-        score = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float64)  # whole numbers if empty
-        row = row[row >= 0]
-        for x in range(0, len(row), 64):
-            score += self.dense[row[x : x + 64]].sum(axis=0)
-        score[~unused] = 0
-        some = np.flatnonzero(score > 0)
-        return some[np.argsort(-score[some], kind="stable")]
+        return np.bincount(self.doc[at], self.weight[at], self.n) + self._frequent(seed)
+
+    def nearest(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents with a positive score, best first, ties by place."""
+        score = np.where(unused, self.scores(seed), 0.0)
+        while True:
+            d = int(score.argmax())
+            if score[d] <= 0:
+                return
+            score[d] = 0.0
+            yield d
 
 
 def pack(tokens: list[np.ndarray], stats: Statistics | None = None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -222,7 +249,7 @@ def pack(tokens: list[np.ndarray], stats: Statistics | None = None) -> Iterator[
     while True:
         if window != sequence:  # a new window: what was cut seeds it, else the next unused document
             window, seed = sequence, (seed if offset else -1)
-            near = iter(index.nearest(seed, unused).tolist()) if seed >= 0 and index else iter(())
+            near = index.nearest(seed, unused) if seed >= 0 and index else iter(())
         d = next((x for x in near if unused[x]), None)
         if d is None:
             while next_up < n and not unused[next_up]:
@@ -238,38 +265,51 @@ def pack(tokens: list[np.ndarray], stats: Statistics | None = None) -> Iterator[
         elif seed < 0 or sequence != before:
             seed = d
             if sequence == before:  # the first of its window
-                near = iter(index.nearest(seed, unused).tolist()) if index else iter(())
+                near = index.nearest(seed, unused) if index else iter(())
 
 
-def _tokenize(path: str):
+def id_type(path: str) -> str:
+    """The narrowest little-endian type that holds all ids of the vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    top = max([*held["model"]["vocab"].values(), *(t["id"] for t in held.get("added_tokens") or ())], default=0)
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
+def _tokenize(path: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         for batch in batches:
             for a, z, _, _ in B.pieces(*B.text_buffer(batch.column(1)), SPLIT_BYTES):
                 texts = [x or "" for x in batch.column(1).slice(a, z - a).to_pylist()]
-                ids = [t.tobytes() + END.tobytes() for t in encode.many(texts)]
+                ids = [np.append(t, END).astype(kind).tobytes() for t in encode.many(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(kind: str):
     """Per token id the documents that have it; under -1 the number of documents, under -2 that of tokens."""
-    df, n, total = np.zeros(0, np.int64), 0, 0
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            ids = np.unique(np.frombuffer(raw, "<u4"))
-            if ids[-1] >= len(df):
-                df = np.concatenate((df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)))
-            df[ids] += 1
-            n, total = n + 1, total + len(raw) // 4
-    some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, (-1, -2))), pa.array(np.append(df[some], (n, total)))], ["term", "n"])
-
-
-def statistics(tokens: DataFrame) -> Statistics:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                all_ids = np.frombuffer(raw, kind)
+                ids = np.unique(all_ids)
+                if ids[-1] >= len(df):
+                    df = np.concatenate((df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)))
+                df[ids] += 1
+                n, total = n + 1, total + len(all_ids)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, (-1, -2))), pa.array(np.append(df[some], (n, total)))], ["term", "n"])
+
+    return run
+
+
+def statistics(tokens: DataFrame, kind: str = "<u4") -> Statistics:
     """Of a table with the ids of each document; at most a row for each token id comes to the driver."""
-    rows = tokens.select("ids").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(_count(kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     by = {r.term: r.n for r in rows}
     n, total = by.pop(-1, 0), by.pop(-2, 0)
     df = np.zeros(max(by, default=-1) + 1, np.int64)
@@ -277,35 +317,114 @@ def statistics(tokens: DataFrame) -> Statistics:
     return Statistics(n, total / max(n, 1), df)
 
 
-def _pack(stats: Statistics):
+class Topics:
+    """The topic of a document: 1 + its heaviest term among those of many documents, 0 without one."""
+
+    def __init__(self, stats: Statistics):
+        self.mean = max(stats.mean, 1)
+        idf = np.log(1 + (stats.n - stats.df + 0.5) / (stats.df + 0.5))
+        self.idf = np.where(stats.df >= max(2, TOPIC_SHARE * stats.n), idf, 0.0)
+
+    def of(self, ids: np.ndarray) -> int:
+        term, tf = np.unique(ids, return_counts=True)
+        weight = self.idf[term] * tf / (tf + K1 * (1 - B_LENGTH + B_LENGTH * len(ids) / self.mean))
+        best = int(weight.argmax())
+        return int(term[best]) + 1 if weight[best] > 0 else 0
+
+
+def _count_topics(stats: Statistics, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topics, size = Topics(stats), len(stats.df) + 1
+        n, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                ids = np.frombuffer(raw, kind)
+                t = topics.of(ids)
+                n[t] += 1
+                total[t] += len(ids)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(total[some])], ["topic", "docs", "tokens"])
+
+    return run
+
+
+class Deal(NamedTuple):
+    """By topic its first shard and how many it has, and the number of shards."""
+
+    first: np.ndarray
+    count: np.ndarray
+    shards: int
+
+
+def deal_topics(tokens: DataFrame, stats: Statistics, kind: str) -> Deal:
+    """Small topics share a shard in order, large ones get as many as they need; a row per topic comes to the driver."""
+    rows = tokens.select("ids").mapInArrow(_count_topics(stats, kind), "topic long, docs long, tokens long")
+    rows = sorted(rows.groupBy("topic").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).collect())
+    first, count = np.zeros(len(stats.df) + 1, np.int64), np.ones(len(stats.df) + 1, np.int64)
+    shard, docs, total = 0, 0, 0
+    for r in rows:
+        need = max(-(-r.docs // PLAN_DOCS), -(-r.tokens // PLAN_TOKENS))
+        if docs and (need > 1 or docs + r.docs > PLAN_DOCS or total + r.tokens > PLAN_TOKENS):
+            shard, docs, total = shard + 1, 0, 0
+        first[r.topic], count[r.topic] = shard, need
+        if need > 1:
+            shard += need
+        else:
+            docs, total = docs + r.docs, total + r.tokens
+    return Deal(first, count, shard + (docs > 0))
+
+
+def _shards(stats: Statistics, deal: Deal, kind: str):
+    """Adds each document's shard and a checksum by which equal ids are ordered.
+
+    Rows that repeat a document within a batch go to different shards of their topic, so that no number of them fills one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topics = Topics(stats)
+        for batch in batches:
+            shard, sums, seen = [], [], Counter()
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t, crc = topics.of(np.frombuffer(raw, kind)), zlib.crc32(raw)
+                salt = zlib.crc32(b"%d" % (-1 if doc_id is None else doc_id), crc) + seen[doc_id, crc]
+                seen[doc_id, crc] += 1
+                shard.append(int(deal.first[t] + salt % deal.count[t]))
+                sums.append(crc)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(sums, pa.int64()), batch.column(0), batch.column(1)], ["shard", "crc", "doc_id", "ids"])
+
+    return run
+
+
+def _pack(stats: Statistics, kind: str):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        base = (context.partitionId() if context else 0) << 40
+        shard, first, held = -1, 0, 0
         ids: list = []
         tokens: list[np.ndarray] = []
-        held = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal base, held
+            nonlocal first, held
             rows: list[list[int]] = [[] for _ in range(7)]
             last = -1
             for d, start, length, sequence, offset in pack(tokens, stats):
-                for x, v in zip(rows, (ids[d], start, length, zlib.crc32(tokens[d][start : start + length].tobytes()), len(tokens[d]), base + sequence, offset)):
+                crc = zlib.crc32(tokens[d][start : start + length].astype("<u4").tobytes())
+                for x, v in zip(rows, (ids[d], start, length, crc, len(tokens[d]), (shard << 32) + first + sequence, offset), strict=True):
                     x.append(v)
                 last = sequence
-            base += last + 1
+            first += last + 1
             ids.clear()
             tokens.clear()
             held = 0
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = np.frombuffer(raw, "<u4")
-                if tokens and (len(tokens) >= SHARD_DOCS or held + len(t) > SHARD_TOKENS):
+            for number, doc_id, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                t = np.frombuffer(raw, kind)
+                if tokens and (number != shard or len(tokens) >= SHARD_DOCS or held + len(t) > SHARD_TOKENS):
                     yield close()
+                if number != shard:
+                    shard, first = number, 0
                 ids.append(doc_id)
                 tokens.append(t)
                 held += len(t)
@@ -320,8 +439,15 @@ def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     ``tokenizer`` is the path of the byte-level BPE file, the same on all executors. Each document's ids end with id 0, so
     a null or empty text has that id alone. Repeated rows are packed each; a null doc_id is kept. An empty table gives no rows.
-    ``sequence_id`` holds the input split in its upper bits and counts within it below.
+    ``sequence_id`` holds the shard in its upper bits and counts within it below. The result does not depend on how the table
+    is split, but for which shard of a split topic takes which of the rows that repeat a doc_id and a text.
     """
+    spark, kind = docs.sparkSession, id_type(tokenizer)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = cut(d.mapInArrow(_tokenize(tokenizer), "doc_id long, ids binary"))
-    return tokens.mapInArrow(_pack(statistics(tokens)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    tokens = cut(d.mapInArrow(_tokenize(tokenizer, kind), "doc_id long, ids binary"))
+    stats = statistics(tokens, kind)
+    deal = deal_topics(tokens, stats, kind)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-deal.shards // TASK_SHARDS))
+    dealt = tokens.mapInArrow(_shards(stats, deal, kind), "shard long, crc long, doc_id long, ids binary")
+    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "crc").select("shard", "doc_id", "ids")
+    return dealt.mapInArrow(_pack(stats, kind), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
