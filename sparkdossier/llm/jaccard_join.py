@@ -1,15 +1,18 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Documents become sets of five-word runs (words are runs of ASCII letters and digits, in lower case, and of
-characters beyond ASCII). Documents with equal sets form one node. Each node has a signature of 16 x 8 minimum
-hashes, that is 16 tries of depth 8. Paths are matched by the longest prefix at which a pair at the least similarity
-is met with the target probability, so recall does not depend on the mix of duplicates. Nodes that share a prefix are
-gathered into candidate clusters by connected components, and every pair of nodes in a cluster is verified exactly on
-the sets, in blocks of bounded size; pairs themselves are counted, never emitted.
+characters beyond ASCII). Documents with equal sets form one node, told apart by a 128-bit BLAKE2b of the set. Each node has
+a signature of 16 x 8 minimum hashes, that is 16 tries of depth 8. A trie's nodes are matched by prefix, which is shortened
+from the whole path until a pair at the least similarity is met with the target probability, so recall does not depend on
+the mix of duplicates; grouping by a hash of the prefix finds the same groups as neighbours in the sorted trie, without a
+global sort. Nodes that share a prefix are gathered into candidate clusters by connected components, and every pair of nodes
+in a cluster is verified exactly on the sets, in blocks of bounded rows and members; pairs themselves are counted, never
+emitted.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdossier.llm import _bytes as B
+from sparkdossier.llm._rows import rows_of_keys
 from sparkdossier.operators.graph import connected_components
 from sparkdossier.session import cut
 
@@ -26,8 +30,10 @@ _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-#: Set members in one verification block; two blocks meet in a task.
+#: Set members in one verification block, and its rows: a share of the cluster's, so that even a cluster of some hundred rows
+#: is dealt to many tasks, within bounds. Two blocks meet in a task.
 BLOCK_MEMBERS = 300_000
+BLOCK_ROWS, MOST_ROWS, BLOCKS = 128, 4096, 11
 #: Largest broadcast of candidate rows (of about 40 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -39,15 +45,12 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def set_keys(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size and two 64-bit keys of each set."""
+    """Size and 128-bit key, as two halves, of each sorted set."""
     at = B.rows_of(doc, n)
-    size = np.diff(at)
-    keys = []
-    for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99):
-        c = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(B.mix(h ^ np.uint64(salt)), out=c[1:])
-        keys.append((c[at[1:]] - c[at[:-1]]).view(np.int64))
-    return size, keys[0], keys[1]
+    raw, bounds = h.tobytes(), (8 * at).tolist()
+    keys = b"".join(hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(bounds[:-1], bounds[1:], strict=True))
+    both = np.frombuffer(keys, "<i8").reshape(n, 2)
+    return np.diff(at), both[:, 0], both[:, 1]
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -63,34 +66,42 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sign(k: int):
+    """Rows (doc_id, text_hash, text) to (doc_id, text_hash, hi, lo, size, sig)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z, data, offsets in B.pieces(*B.text_buffer(batch.column(1))):
+            for a, z, data, offsets in B.pieces(*B.text_buffer(batch.column(2))):
                 doc, h = text_sets(data, offsets, k)
                 size, hi, lo = set_keys(doc, h, z - a)
                 sig = signatures(doc, h, z - a).tobytes()
                 width = 2 * TREES * DEPTH
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, z - a), pa.array(hi), pa.array(lo), pa.array(size.astype(np.int32)),
+                    [batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(hi), pa.array(lo), pa.array(size.astype(np.int32)),
                      pa.array([sig[i : i + width] for i in range(0, len(sig), width)], pa.binary())],
-                    ["doc_id", "hi", "lo", "size", "sig"],
+                    ["doc_id", "text_hash", "hi", "lo", "size", "sig"],
                 )
 
     return run
 
 
 def _sets(k: int):
-    """Rows (cluster, nb, copies, rid, hi, lo, text) to (cluster, block, nb, rid, copies, members)."""
+    """Rows (cluster, nb, nid, copies, hi, lo, text) to (cluster, nb, nid, copies, members), each node once for all rows here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a, z, data, offsets in B.pieces(*B.text_buffer(batch.column("text"))):
                 doc, h = text_sets(data, offsets, k)
                 _, hi, lo = set_keys(doc, h, z - a)
                 at, raw, part = B.rows_of(doc, z - a).tolist(), h.tobytes(), batch.slice(a, z - a)
+                # The row's doc_id may stand on other texts too, and the row itself may be repeated.
                 same = (hi == part.column("hi").to_numpy()) & (lo == part.column("lo").to_numpy())
+                for i, nid in enumerate(part.column("nid").to_pylist()):
+                    if same[i]:
+                        same[i] = nid not in seen
+                        seen.add(nid)
                 part = part.append_column("members", pa.array([raw[8 * x : 8 * y] for x, y in zip(at, at[1:])], pa.binary()))
-                yield part.select(["cluster", "nb", "rid", "copies", "members"]).filter(pa.array(same))
+                yield part.select(["cluster", "nb", "nid", "copies", "members"]).filter(pa.array(same))
 
     return run
 
@@ -123,14 +134,14 @@ def _links(left: list[np.ndarray], right: list[np.ndarray] | None, least: float)
 
 def _forest(n: int, found: np.ndarray, shift: int) -> np.ndarray:
     """Least row reachable from each row, for links between rows i and shift + j."""
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     left = slice(0, found.shape[0])
     right = slice(shift, shift + found.shape[1])
     while True:
         old = label.copy()
-        big = np.where(found, label[right][None, :], n).min(axis=1)
+        big = np.where(found, label[right][None, :], np.int32(n)).min(axis=1)
         label[left] = np.minimum(label[left], big)
-        big = np.where(found, label[left][:, None], n).min(axis=0)
+        big = np.where(found, label[left][:, None], np.int32(n)).min(axis=0)
         label[right] = np.minimum(label[right], big)
         label = label[label]
         if (label == old).all():
@@ -138,7 +149,7 @@ def _forest(n: int, found: np.ndarray, shift: int) -> np.ndarray:
 
 
 def _verify(least: float):
-    """Sorted rows of (cluster, x, y, side, rid, copies, members), x <= y, to per-row counts and a spanning label."""
+    """Sorted rows of (cluster, x, y, side, nid, copies, members), x <= y, to per-row counts and a spanning label."""
 
     def close(rows: list[tuple]) -> tuple[list, list, list, list, list]:
         left = [r for r in rows if r[3] == 0]
@@ -176,7 +187,7 @@ def _verify(least: float):
         out: tuple[list, ...] = ([], [], [], [], [])
 
         def give() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["cluster", "rid", "texts", "links", "head"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["cluster", "nid", "texts", "links", "head"])
             for x in out:
                 x.clear()
             return batch
@@ -202,7 +213,7 @@ def _verify(least: float):
 def _paths(nodes: DataFrame, depth: int) -> DataFrame:
     """One row per node and trie: the hash of the path's first ``depth`` components."""
     each = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {2 * DEPTH} + 1, {2 * depth})))")
-    return nodes.where("size > 0").select("rid", F.explode(each).alias("path"))
+    return nodes.select("nid", F.explode(each).alias("path"))
 
 
 def path_depth(least: float, target: float, least_depth: int = 1) -> int:
@@ -216,55 +227,50 @@ def path_depth(least: float, target: float, least_depth: int = 1) -> int:
     raise ValueError(f"{TREES} tries cut at depth {least_depth} do not reach recall {target} at similarity {least}")
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, least: float = 0.8, target: float = 0.999, least_depth: int = 4) -> DataFrame:
-    """One row per document: ``doc_id, class_id, text_id, copies, n_text_links, n_links``.
-
-    A pair at similarity ``least`` is a candidate with probability ``target`` or more; where that takes prefixes shorter than
-    ``least_depth``, an error is raised.
-    ``class_id`` is the least doc_id of all documents connected by links (similarity ``least`` or more),
-    ``text_id`` the least doc_id of those with an equal set, ``copies`` their number, ``n_text_links`` the number of
-    other sets linked to this one, and ``n_links`` the number of other documents linked, copies included.
-    A null or wordless text has no set: it is its own class, with no links. A null doc_id takes no part: its other
-    columns are null, its counts 0. Repeated rows count as copies. A doc_id that stands on several texts
-    has a row for each. Texts of fewer than k words have their whole word sequence as only member.
-    """
+def _classes(docs: DataFrame, k: int, least: float, target: float, least_depth: int) -> DataFrame:
+    """What ``jaccard_classes`` returns, with ``text_hash`` (of the row's text) and ``class_nid`` (null without a set or id)."""
     spark = docs.sparkSession
+    text = F.col("text").cast("string")
     signed = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _sign(k), "doc_id long, hi long, lo long, size int, sig binary"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
+            _sign(k), "doc_id long, text_hash long, hi long, lo long, size int, sig binary"
         )
     )
     ids = signed.where("doc_id is not null and size > 0")
-    nodes = cut(ids.groupBy("hi", "lo").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("sig").alias("sig")))
+    # A node's number is written with it, so it stays what it is when tasks are run again.
+    grouped = ids.groupBy("hi", "lo").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("sig").alias("sig"))
+    nodes = cut(grouped.withColumn("nid", F.monotonically_increasing_id()))
 
     paths = _paths(nodes, path_depth(least, target, least_depth))
-    heads = paths.groupBy("path").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = cut(paths.join(heads, "path").select("rid", "head").distinct())
-
-    clusters = connected_components(met.where("rid <> head"), "rid", "head").withColumnsRenamed({"node": "rid", "component": "cluster"})
-    sized = nodes.select("rid", "hi", "lo", "copies", "size").join(clusters, "rid")
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum(F.col("size").cast("long")) / BLOCK_MEMBERS).cast("int").alias("nb"))
-    wanted = cut(sized.join(blocks, "cluster").select("cluster", "nb", "rid", "hi", "lo", "copies"))
+    heads = paths.groupBy("path").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = cut(paths.join(heads, "path").select("nid", "head").distinct())
+
+    clusters = connected_components(met.where("nid <> head"), "nid", "head").withColumnsRenamed({"node": "nid", "component": "cluster"})
+    sized = nodes.select("nid", "rid", "hi", "lo", "copies", "size").join(clusters, "nid")
+    most = F.least(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCKS), F.lit(BLOCK_ROWS)), F.lit(MOST_ROWS))
+    nb = F.greatest(F.ceil(F.sum(F.col("size").cast("long")) / BLOCK_MEMBERS), F.ceil(F.count(F.lit(1)) / most))
+    wanted = cut(sized.join(sized.groupBy("cluster").agg(nb.cast("int").alias("nb")), "cluster").select("cluster", "nb", "nid", "rid", "hi", "lo", "copies"))
     n_wanted = wanted.count()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "rid")
-    sets = found.select("cluster", "nb", "rid", "copies", "hi", "lo", "text").mapInArrow(
-        _sets(k), "cluster long, nb int, rid long, copies long, members binary"
-    )
+    sets = found.select("cluster", "nb", "nid", "copies", "hi", "lo", "text").mapInArrow(_sets(k), "cluster long, nb int, nid long, copies long, members binary")
     # Block b meets blocks x < b as the right side, itself, and blocks y > b as the left side.
-    sets = sets.withColumn("b", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+    sets = sets.withColumn("b", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int"))
     meets = F.expr("transform(sequence(0, nb - 1), o -> named_struct('x', least(b, o), 'y', greatest(b, o), 'side', if(o < b, 1, 0)))")
-    tasks = sets.select("cluster", "rid", "copies", "members", F.explode(meets).alias("t")).select("cluster", "t.x", "t.y", "t.side", "rid", "copies", "members")
+    tasks = sets.select("cluster", "nid", "copies", "members", F.explode(meets).alias("t")).select("cluster", "t.x", "t.y", "t.side", "nid", "copies", "members")
+    # A cluster's pairs of blocks go to one task after the other, not by chance.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = tasks.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "side", "rid")
-    checked = cut(tasks.mapInArrow(_verify(least), "cluster long, rid long, texts long, links long, head long"))
-
-    counts = checked.groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))
-    classes = connected_components(checked.where("rid <> head"), "rid", "head").withColumnsRenamed({"node": "rid", "component": "class"})
-    known = nodes.select("hi", "lo", "rid", "copies").join(counts, "rid", "left").join(classes, "rid", "left")
+    number = F.expr(f"CAST(pmod(xxhash64(cluster) + CAST(y AS BIGINT) * (y + 1) div 2 + x, {parts}) AS INT)")
+    tasks = tasks.repartitionById(parts, number).sortWithinPartitions("cluster", "x", "y", "side", "nid")
+    checked = cut(tasks.mapInArrow(_verify(least), "cluster long, nid long, texts long, links long, head long"))
+
+    counts = checked.groupBy("nid").agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))
+    linked = connected_components(checked.where("nid <> head"), "nid", "head").withColumnsRenamed({"node": "nid", "component": "class_nid"})
+    least_id = linked.join(nodes.select("nid", "rid"), "nid").groupBy("class_nid").agg(F.min("rid").alias("class"))
+    known = nodes.select("hi", "lo", "nid", "rid", "copies").join(counts, "nid", "left").join(linked, "nid", "left").join(least_id, "class_nid", "left")
     return (
-        signed.select("doc_id", "hi", "lo", "size").alias("d")
+        signed.select("doc_id", "text_hash", "hi", "lo", "size").alias("d")
         .join(known.alias("n"), (F.col("d.hi") == F.col("n.hi")) & (F.col("d.lo") == F.col("n.lo")) & (F.col("d.size") > 0) & F.col("d.doc_id").isNotNull(), "left")
         .select(
             F.col("d.doc_id"),
@@ -273,12 +279,38 @@ def jaccard_classes(docs: DataFrame, k: int = 5, least: float = 0.8, target: flo
             F.coalesce("n.copies", F.lit(1)).cast("long").alias("copies"),
             F.coalesce("n.texts", F.lit(0)).cast("long").alias("n_text_links"),
             (F.coalesce("n.links", F.lit(0)) + F.coalesce("n.copies", F.lit(1)) - 1).cast("long").alias("n_links"),
+            F.col("d.text_hash"),
+            F.coalesce("n.class_nid", "n.nid").alias("class_nid"),
         )
     )
 
 
-def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class; rows with a null doc_id stay."""
-    kept = jaccard_classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+def jaccard_classes(docs: DataFrame, k: int = 5, least: float = 0.8, target: float = 0.999, least_depth: int = 1) -> DataFrame:
+    """One row per document: ``doc_id, class_id, text_id, copies, n_text_links, n_links``.
+
+    A pair at similarity ``least`` is a candidate with probability ``target`` or more; where that takes prefixes shorter than
+    ``least_depth``, an error is raised.
+    ``class_id`` is the least doc_id of all documents connected by links (similarity ``least`` or more),
+    ``text_id`` the least doc_id of those with an equal set, ``copies`` their number, ``n_text_links`` the number of
+    other sets linked to this one, and ``n_links`` the number of other documents linked, copies included.
+    A null or wordless text has no set: it is its own class, with no links. A null doc_id takes no part: its other
+    columns are null, its counts 0. Repeated rows count as copies. A doc_id that stands on several texts
+    has a row for each, each with the class of its own text. Texts of fewer than k words have their whole word sequence as
+    only member. Members are 64-bit hashes without structure; unlike runs share one by chance only.
+    """
+    return _classes(docs, k, least, target, least_depth).drop("text_hash", "class_nid")
+
+
+def keep_one_per_class(docs: DataFrame, k: int = 5, least: float = 0.8, target: float = 0.999, least_depth: int = 1) -> DataFrame:
+    """The rows of ``docs``, one for each class of near copies: that of the least doc_id, of equal ids that of the least hash.
+
+    Texts without a set are a class for each doc_id and text. Rows with a null doc_id stay, all of them. Of rows that repeat
+    a doc_id and a text one stays. A doc_id on texts of several classes may stay with each of them.
+    """
+    named = _classes(docs, k, least, target, least_depth).where("doc_id is not null")
+    # Without a set, the text itself is the class.
+    alone = F.when(F.col("class_nid").isNull(), F.struct("doc_id", "text_hash"))
+    kept = named.groupBy("class_nid", alone.alias("alone")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    rows = named.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    kept = kept.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).join(rows, ["doc_id", "text_hash"])
+    return rows_of_keys(docs, cut(kept)).unionByName(docs.where("doc_id is null"))

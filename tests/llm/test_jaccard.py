@@ -80,6 +80,8 @@ def test_marginal_pairs_beside_a_hot_group(spark):
     assert J.path_depth(0.8, 0.999) == 4
     with pytest.raises(ValueError):
         J.path_depth(0.3, 0.999)
+    with pytest.raises(ValueError):
+        J.path_depth(0.5, 0.999, least_depth=4)
 
 
 def test_sf_recall(spark, sf):
@@ -89,10 +91,12 @@ def test_sf_recall(spark, sf):
     assert got == want
 
 
-def test_blocks_meet(spark, monkeypatch):
+@pytest.mark.parametrize("by_rows", [False, True])
+def test_blocks_meet(spark, monkeypatch, by_rows):
     from sparkdossier.llm import jaccard_join as J
 
-    monkeypatch.setattr(J, "BLOCK_MEMBERS", 300)
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 10**9 if by_rows else 300)
+    monkeypatch.setattr(J, "BLOCK_ROWS", 7 if by_rows else 128)
     r = random.Random(6)
     base = [f"x{i}" for i in range(80)]
     rows = []
@@ -119,3 +123,53 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = keep_one_per_class(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 8, 10, 11, 12]
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_unlike_words_of_equal_polynomial_hash_are_two_classes(spark):
+    for n in (16, 64, 2048):
+        got = jaccard_classes(docs_of(spark, [(i, x, "en", "s") for i, x in enumerate(thue_morse(n), 1)])).collect()
+        assert sorted((x.class_id, x.n_links) for x in got) == [(1, 0), (2, 0)]
+
+
+def test_one_id_on_several_texts(spark):
+    """Each text has its own class; none is lost, and one row of each class stays."""
+    one, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, one), (1, other), (2, one + " more"), (3, other), (1, one), (4, third), (4, None), (4, "?"), (4, None), (None, third)]
+    docs = docs_of(spark, [(i, x, "en", "s") for i, x in rows])
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in jaccard_classes(docs).where("doc_id is not null").collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 1), (4, 4, 0), (4, 4, 0), (4, 4, 0), (4, 4, 0)]
+    kept = sorted((x.doc_id, x.text or "") for x in keep_one_per_class(docs).where("doc_id is not null").collect())
+    assert kept == sorted([(1, one), (1, other), (4, third), (4, ""), (4, "?")])
+    assert keep_one_per_class(docs).where("doc_id is null").count() == 1
+
+
+def test_recall_at_low_similarity(spark):
+    """At 0.5 prefixes are shortened to one component; all pairs of some hundred are found."""
+    r = random.Random(9)
+    rows = []
+    for _ in range(40):
+        base = [f"v{r.randrange(4000)}" for _ in range(80)]
+        for cut in (80, r.randrange(50, 80)):
+            rows.append((len(rows), " ".join(base[:cut] + [f"u{r.randrange(4000)}" for _ in range(r.randrange(0, 20))])))
+    sets = {i: shingles(x) for i, x in rows}
+    want = sum(2 for a, b in itertools.combinations(sets.values(), 2) if len(a & b) >= 0.5 * len(a | b))
+    got = sum(x.n_links for x in jaccard_classes(docs_of(spark, [(i, x, "en", "s") for i, x in rows]), least=0.5).collect())
+    assert want > 60 and got == want
+
+
+def test_many_short_near_copies(spark):
+    """Some thousand messages of a few runs in one cluster: blocks are bounded by rows, and every link is counted."""
+    from pyspark.sql import functions as F
+
+    n = 6000
+    head = " ".join(f"h{i}" for i in range(40))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(head + " tail"), F.col("id").cast("string")).alias("text"))
+    got = jaccard_classes(docs).groupBy("class_id", "n_text_links", "n_links").count().collect()
+    assert [tuple(x) for x in got] == [(0, n - 1, n - 1, n)]
