@@ -1,10 +1,13 @@
 """License scans by diagonal voting, in DataFrame expressions only.
 
-Every run of two words of every text is hashed and joined to the positions of template phrases. A match at text position
-p and template position q votes for the diagonal p - q. Votes are counted by text, template and diagonal; diagonals of a
-template that lie close to each other (words put in or left out) are merged; a merged span stands if the template words
-it covers are enough and it is not much longer than the template. Base phrases allow no gap and no missing word, and the
-words of each match are compared themselves, so that their places are exact.
+Every run of two words of a text is hashed and joined to the positions of template phrases. A match, whose words are compared
+themselves, at text position p and template position q votes for the diagonal p - q. Votes are gathered by text, template and
+diagonal as a set of template positions; diagonals of a template that lie close to each other (words put in or left out) are
+merged, and so are their sets: a position that several diagonals matched counts once. A merged span stands if enough of the
+template's positions are in its set and it is not much longer than the template. Base phrases allow no gap and no missing word.
+
+Runs of common words alone find nothing: a text takes part from the first run that has a long word or a license's name, and
+so does a diagonal.
 """
 
 from __future__ import annotations
@@ -41,24 +44,38 @@ TEMPLATES = (
     Template("cc-by-sa", "licensed under cc by sa 4 0"),
     Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
 )
-#: Share of a template's distinctive runs that a notice must show, the gap between diagonals that are merged, and how
-#: many times its own length a span may have.
+#: Share of a template's runs that a notice must show, the gap between diagonals that are merged, and how many times its
+#: own length a span may have.
 COVERAGE, GAP, STRETCH = 0.8, 3, 2
-#: A run votes only if one of its words has so many letters or is among the names of licenses.
+#: A run is telling if one of its words has so many letters or is among the names of licenses.
 LONG_WORD = 6
 NAMES = ("mit", "gnu", "cc", "bsd", "nc", "sa", "by")
 
 
-def template_table(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """``t, q, gram, runs, label, base``: one row per voting run, of a size that the templates in the code fix."""
+def template_runs(templates: tuple[Template, ...] = TEMPLATES) -> list[tuple[int, int, str, int, int, str, bool, bool]]:
+    """``t, q, gram, runs, span, label, base, telling`` of every run of every template.
+
+    A template has at most 63 runs (a set of its positions is one long), and one that is telling at least.
+    """
     rows = []
     for t, x in enumerate(templates):
         w = x.words.split()
-        runs = [(q, w[q : q + K]) for q in range(len(w) - K + 1)]
-        if not x.base:
-            runs = [(q, r) for q, r in runs if any(len(v) >= LONG_WORD or v in NAMES for v in r)]
-        rows += [f"({t}, {q}, '{' '.join(r)}', {len(runs)}, {len(w)}, '{x.label}', {str(x.base).lower()})" for q, r in runs]
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v(t, q, gram, runs, span, label, base)").withColumn("gram_hash", F.xxhash64("gram"))
+        runs = [w[q : q + K] for q in range(len(w) - K + 1)]
+        telling = [x.base or any(len(v) >= LONG_WORD or v in NAMES for v in r) for r in runs]
+        if not 0 < len(runs) < 64 or not any(telling):
+            raise ValueError(f"a template needs 1 to 63 runs, one of them telling: {x.words!r}")
+        rows += [(t, q, " ".join(r), len(runs), len(w), x.label, x.base, telling[q]) for q, r in enumerate(runs)]
+    return rows
+
+
+def template_values(templates: tuple[Template, ...] = TEMPLATES) -> str:
+    return ", ".join(f"({t}, {q}, '{gram}', {runs}, {span}, '{label}', {base}, {telling})".lower() for t, q, gram, runs, span, label, base, telling in template_runs(templates))
+
+
+def template_table(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """One row per run, of a size that the templates in the code fix."""
+    rows = f"SELECT * FROM VALUES {template_values(templates)} AS v(t, q, gram, runs, span, label, base, telling)"
+    return spark.sql(rows).withColumn("gram_hash", F.xxhash64("gram"))
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -76,7 +93,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     d = docs.select("doc_id", F.xxhash64("text").alias("lic_text"), F.regexp_extract_all(low, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1).alias("lic_words"))
     d = d.withColumn("n_words", F.size("lic_words").cast("long"))
     runs = F.expr(f"CASE WHEN size(lic_words) >= {K} THEN transform(sequence(0, size(lic_words) - {K}), i -> concat_ws(' ', lic_words[i], lic_words[i + 1])) END")
-    each = d.withColumn("lic_runs", runs).select("doc_id", "lic_text", "n_words", F.posexplode_outer("lic_runs").alias("p", "lic_run"))
+    telling = F.array(*[F.lit(g) for g in sorted({r[2] for r in template_runs(templates) if r[7]})])
+    d = d.withColumn("lic_runs", runs).withColumn("lic_runs", F.when(F.arrays_overlap("lic_runs", telling), F.col("lic_runs")))
+    each = d.select("doc_id", "lic_text", "n_words", F.posexplode_outer("lic_runs").alias("p", "lic_run"))
     each = each.withColumn("lic_hash", F.xxhash64("lic_run"))
     # A text's first run stays without a match too, so that one pass gives a row for every text.
     hit = each.join(F.broadcast(tt), (F.col("lic_hash") == F.col("gram_hash")) & (F.col("lic_run") == F.col("gram")), "left")
@@ -84,17 +103,19 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
 
     doc = ["doc_id", "lic_text", "n_words"]
     votes = hit.groupBy(*doc, "t", (F.col("p") - F.col("q")).alias("diagonal")).agg(
-        F.count_distinct("q").alias("votes"), F.min("p").alias("p0"), F.max("p").alias("p1"),
+        F.bit_or(F.expr("shiftleft(1L, q)")).alias("places"), F.min("p").alias("p0"), F.max("p").alias("p1"), F.coalesce(F.max("telling"), F.lit(True)).alias("telling"),
         F.max("runs").alias("runs"), F.max("span").alias("span"), F.max("label").alias("label"), F.max("base").alias("base"),
     )
+    # A text that has no telling diagonal keeps its row by that of its first run, which has no template.
+    votes = votes.withColumns({c: F.when(F.col("telling"), F.col(c)) for c in ("t", "places", "p0", "p1", "runs", "span", "label", "base")})
     line = Window.partitionBy(*doc, "t").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(line) > F.when(F.col("base"), 0).otherwise(GAP)) | F.lag("diagonal").over(line).isNull()
     merged = votes.withColumn("far", far.cast("int")).withColumn("island", F.sum("far").over(line))
     spans = merged.groupBy(*doc, "t", "island").agg(
-        F.sum("votes").alias("votes"), F.min("p0").alias("p0"), F.max("p1").alias("p1"), F.min("diagonal").alias("diagonal"),
+        F.bit_count(F.bit_or("places")).alias("votes"), F.min("p0").alias("p0"), F.max("p1").alias("p1"), F.min("diagonal").alias("diagonal"),
         F.max("runs").alias("runs"), F.max("span").alias("span"), F.max("label").alias("label"), F.max("base").alias("base"),
     )
-    coverage = F.least(F.lit(1.0), F.col("votes") / F.col("runs"))
+    coverage = F.col("votes") / F.col("runs")
     stands = F.when(F.col("base"), F.col("votes") == F.col("runs")).otherwise((coverage >= COVERAGE) & (F.col("p1") - F.col("p0") + K <= STRETCH * F.col("span")))
     spans = spans.withColumn("coverage", coverage).withColumn("ok", F.coalesce(stands, F.lit(False)))
     base = F.col("ok") & F.col("base")
@@ -110,27 +131,18 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     ).drop("lic_text")
 
 
-def template_values(templates: tuple[Template, ...] = TEMPLATES) -> str:
-    rows = []
-    for t, x in enumerate(templates):
-        w = x.words.split()
-        runs = [(q, w[q : q + K]) for q in range(len(w) - K + 1)]
-        runs = runs if x.base else [(q, r) for q, r in runs if any(len(v) >= LONG_WORD or v in NAMES for v in r)]
-        rows += [f"({t}, {q}, '{' '.join(r)}', {len(runs)}, {len(w)}, '{x.label}', {str(x.base).lower()})" for q, r in runs]
-    return ", ".join(rows)
-
-
 #: The same results in DuckDB SQL, without ``spans``.
 SQL = rf"""
-WITH tt(t, q, gram, runs, span, label, base) AS (VALUES {template_values()}),
+WITH tt(t, q, gram, runs, span, label, base, telling) AS (VALUES {template_values()}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 2),
 hit AS (SELECT doc_id, p, tt.* FROM g JOIN tt ON tt.gram = w[p + 1] || ' ' || w[p + 2]),
-v AS (SELECT doc_id, t, p - q AS diagonal, count(DISTINCT q) AS votes, min(p) AS p0, max(p) AS p1, max(runs) AS runs, max(span) AS span, max(label) AS label, bool_or(base) AS base FROM hit GROUP BY ALL),
+v AS (SELECT doc_id, t, p - q AS diagonal, list(DISTINCT q) AS qs, min(p) AS p0, max(p) AS p1, max(runs) AS runs, max(span) AS span, max(label) AS label, bool_or(base) AS base
+      FROM hit GROUP BY doc_id, t, p - q HAVING bool_or(telling)),
 f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER u <= CASE WHEN base THEN 0 ELSE {GAP} END THEN 0 ELSE 1 END AS far FROM v WINDOW u AS (PARTITION BY doc_id, t ORDER BY diagonal)),
 i AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS island FROM f),
-s AS (SELECT doc_id, t, island, sum(votes) AS votes, min(p0) AS p0, max(p1) AS p1, min(diagonal) AS diagonal, max(runs) AS runs, max(span) AS span, max(label) AS label, bool_or(base) AS base FROM i GROUP BY ALL),
-k AS (SELECT *, least(1.0::DOUBLE, votes / runs) AS coverage FROM s WHERE CASE WHEN base THEN votes = runs ELSE votes / runs >= {COVERAGE} AND p1 - p0 + {K} <= {STRETCH} * span END)
+s AS (SELECT doc_id, t, island, len(list_distinct(flatten(list(qs)))) AS votes, min(p0) AS p0, max(p1) AS p1, min(diagonal) AS diagonal, max(runs) AS runs, max(span) AS span, max(label) AS label, bool_or(base) AS base FROM i GROUP BY ALL),
+k AS (SELECT *, votes / runs AS coverage FROM s WHERE CASE WHEN base THEN votes = runs ELSE votes / runs >= {COVERAGE} AND p1 - p0 + {K} <= {STRETCH} * span END)
 SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE base) AS BIGINT) AS n_base,
        CAST(min(diagonal) FILTER (WHERE base) AS BIGINT) AS first_word, CAST(max(diagonal) FILTER (WHERE base) AS BIGINT) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,

@@ -57,3 +57,38 @@ def test_licenses(spark, odd_docs, no_docs):
     odd = license_scan.scan_licenses(odd_docs).collect()
     assert len(odd) == odd_docs.select("doc_id", "text").distinct().count()
     assert license_scan.scan_licenses(no_docs).count() == 0
+
+
+def test_a_position_counts_once_over_diagonals(spark):
+    """Words of a license repeated do not stand for the ones that are missing."""
+    from llm_helpers import docs_of
+
+    texts = [
+        "general public license general public license general public license", "licensed under the gnu lesser general public license",
+        "licensed under the gnu licensed under the gnu general public license public license",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "permission granted permission granted free person obtaining charge copy software and associated documentation files " * 4,
+        "this work is of the and to any it is free of the program under the terms of it and or the of this " * 40,
+    ]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(spark, [(i, x, "en", "s") for i, x in enumerate(texts)])).collect()}
+    assert [(got[i].n_base, got[i].labels) for i in range(6)] == [(3, "gpl"), (1, "gpl,lgpl"), (1, "gpl"), (0, "mit"), (0, ""), (0, "")]
+    assert got[3].spans[0].coverage == 1.0
+
+
+def test_windows_of_a_long_text(spark):
+    """Numbers of windows take as many bits as they need: 70,000 words, and short texts beside."""
+    from llm_helpers import docs_of
+
+    words = [f"w{i}" for i in range(70_000)]
+    words[69_000:69_005] = words[100:105]
+    texts = [" ".join(words), "a b c a b c", "a b", "a b c", ""]
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs_of(spark, [(i, x, "en", "s") for i, x in enumerate(texts)])).collect()}
+    assert [(got[i].n_words, got[i].n_repeat_words) for i in range(5)] == [(base(x)[0], base(x)[4]) for x in texts]
+
+
+def test_sample_of_one_text_many_times(spark):
+    from llm_helpers import docs_of
+
+    docs = docs_of(spark, [(7, "one text", "en", "s")] * 5000)
+    order = quality_rules.order_rules(docs, sample_rows=100)
+    assert {r.name: share for r, _, share in order}["few_words"] == 1.0
