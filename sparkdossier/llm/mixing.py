@@ -4,8 +4,8 @@ The leaves of a tree (domain, language, source) hold tokens; each node has a wei
 goes down the tree: siblings share their parent's budget by weight, none gets more than its leaves can supply in
 ``max_epochs`` passes, and what one cannot use goes to its siblings. Since a node's supply is the sum of its leaves, a
 shortage is first made up inside the subtree where it arises, and reaches an ancestor's siblings only when the whole
-subtree is used up. Each leaf then takes whole passes over its documents and a prefix of one more, each pass in an order
-seeded anew.
+subtree is used up. Each leaf then takes whole passes over its documents and a prefix of the tokens of one more, in an order seeded
+by the number of passes.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkdossier.session import cut
+
 LEVELS = ("domain", "language", "origin")
 
 
@@ -79,6 +81,35 @@ def _leaf(mix: Mix) -> list[F.Column]:
     return [F.expr(mix.domain_sql).alias("domain"), F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("origin")]
 
 
+def _drawn(docs: DataFrame, mix: Mix, *texts: F.Column) -> DataFrame:
+    """One row per leaf, doc_id, token count (and text): ``n`` rows of it, whole passes, and what the prefix takes of them.
+
+    Rows alike in all of these are interchangeable, so they are counted first and stand beside each other in the order; neither
+    a repeated nor a null doc_id fills a slice. The prefix takes ``n_full`` of them whole and ``part`` tokens of one more.
+    """
+    # Words are counted once; what follows reads the written counts.
+    counted = docs.select("doc_id", *_leaf(mix), token_count().alias("tokens"), *texts)
+    d = cut(counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("n")))
+    more = [c for c in d.columns if c not in ("doc_id", *LEVELS, "tokens", "n")]
+    leaves = d.groupBy(*LEVELS).agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens")).where("tokens > 0")
+    plan = budgets(leaves, mix).select(*LEVELS, F.expr("take div tokens").alias("whole"), F.expr("take % tokens").alias("rest"))
+
+    # The order key's first three hex digits deal a leaf into 4096 slices; sums of slices find the one in which the
+    # prefix ends, so that no leaf is ever sorted or summed in one task.
+    key = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    placed = d.join(plan, list(LEVELS)).withColumn("key", key).withColumn("slice", F.substring("key", 1, 3)).withColumn("sum", F.col("tokens") * F.col("n"))
+    slices = placed.groupBy(*LEVELS, "slice").agg(F.sum("sum").alias("slice_tokens"))
+    up = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("before_slice", F.coalesce(F.sum("slice_tokens").over(up), F.lit(0))).drop("slice_tokens")
+    inside = Window.partitionBy(*LEVELS, "slice").orderBy("key", "doc_id", "tokens", *more).rowsBetween(Window.unboundedPreceding, -1)
+    x = placed.join(slices, [*LEVELS, "slice"]).withColumn("before", F.col("before_slice") + F.coalesce(F.sum("sum").over(inside), F.lit(0)))
+    # Of n rows side by side those that begin before the prefix ends are taken; where it ends within one, that one in part.
+    left = F.greatest(F.col("rest") - F.col("before"), F.lit(0))
+    x = x.withColumn("n_full", F.when(F.col("tokens") > 0, F.least(F.col("n"), F.expr("greatest(rest - before, 0) div greatest(tokens, 1)"))).otherwise(F.when(left > 0, F.col("n")).otherwise(0)))
+    x = x.withColumn("part", F.when((F.col("n_full") < F.col("n")) & (F.col("tokens") > 0), left - F.col("n_full") * F.col("tokens")).otherwise(0))
+    return x.select("doc_id", *LEVELS, "tokens", *more, "n", "whole", F.col("n_full").cast("long").alias("n_full"), F.col("part").cast("long").alias("part"))
+
+
 def mix_plan(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     """One row per document and pass that takes it: ``doc_id, domain, language, origin, epoch, tokens, tokens_used``.
 
@@ -88,34 +119,44 @@ def mix_plan(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     gets no budget and gives no rows. An empty table gives no rows. ``tokens_used`` is less than ``tokens`` only for the
     document at the end of a leaf's prefix.
     """
-    d = docs.select("doc_id", *_leaf(mix), token_count().alias("tokens"))
-    leaves = d.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    plan = budgets(leaves, mix).select(*LEVELS, F.expr("take div tokens").alias("whole"), F.expr("take % tokens").alias("rest"))
+    passes = F.expr(
+        "concat(flatten(transform(array_remove(sequence(0L, whole), whole), e -> array_repeat(named_struct('epoch', e, 'used', tokens), CAST(n AS INT)))),"
+        " array_repeat(named_struct('epoch', whole, 'used', tokens), CAST(n_full AS INT)), array_repeat(named_struct('epoch', whole, 'used', part), CAST(part > 0 AS INT)))"
+    )
+    x = _drawn(docs, mix).select("doc_id", *LEVELS, "tokens", F.explode(passes).alias("p"))
+    return x.select("doc_id", *LEVELS, F.col("p.epoch").cast("int").alias("epoch"), "tokens", F.col("p.used").alias("tokens_used"))
 
-    # The order key's first three hex digits deal a leaf into 4096 slices; sums of slices find the one in which the
-    # prefix ends, so that no leaf is ever sorted or summed in one task.
-    key = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = d.join(plan, list(LEVELS)).withColumn("key", key).withColumn("slice", F.substring("key", 1, 3))
-    slices = placed.groupBy(*LEVELS, "slice").agg(F.sum("tokens").alias("slice_tokens"))
-    up = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("before_slice", F.coalesce(F.sum("slice_tokens").over(up), F.lit(0))).drop("slice_tokens")
-    inside = Window.partitionBy(*LEVELS, "slice").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    x = placed.join(slices, [*LEVELS, "slice"]).withColumn("before", F.col("before_slice") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    part = F.when(F.col("before") < F.col("rest"), F.least(F.col("tokens"), F.col("rest") - F.col("before")))
-    passes = F.expr("transform(sequence(0, CAST(whole AS INT)), e -> named_struct('epoch', e, 'tokens_used', if(e < whole, tokens, part)))")
-    x = x.withColumn("part", part).select("doc_id", *LEVELS, "tokens", F.explode(passes).alias("p"))
-    return x.select("doc_id", *LEVELS, F.col("p.epoch").alias("epoch"), "tokens", F.col("p.tokens_used").alias("tokens_used")).where("tokens_used is not null")
+
+def token_prefix(text: F.Column, n: F.Column) -> F.Column:
+    """The text up to the end of its ``n``-th word and the blanks behind it."""
+    pieces = F.split(text, r"(?<=[ \t\n\r])(?=[^ \t\n\r])", -1)
+    lead = text.rlike(r"^[ \t\n\r]").cast("int")
+    return F.array_join(F.slice(pieces, F.lit(1), (n + lead).cast("int")), "")
 
 
 def mix_documents(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
-    """Whole rows of ``docs``, once for each pass that takes them; rows with a null doc_id or of no tokens follow their leaf."""
-    times = mix_plan(docs, mix).groupBy(F.col("doc_id").alias("mix_id")).agg(F.count(F.lit(1)).cast("int").alias("mix_n"))
-    # A doc_id on several rows: its rows share the passes that took any of them.
-    rows = docs.groupBy(F.col("doc_id").alias("mix_rid")).agg(F.count(F.lit(1)).cast("int").alias("mix_rows"))
-    times = times.join(rows, F.col("mix_id").eqNullSafe(F.col("mix_rid"))).select("mix_id", F.expr("CAST(ceil(mix_n / mix_rows) AS INT)").alias("mix_times"))
-    row = docs.select(F.struct("*").alias("mix_row"), F.col("doc_id").alias("mix_key"))
-    got = row.join(times, F.col("mix_key").eqNullSafe(F.col("mix_id")))
-    return got.select("mix_row", F.explode(F.sequence(F.lit(1), "mix_times"))).select("mix_row.*")
+    """Rows of ``docs``, once for each pass that takes them; where a leaf's prefix ends within a text, that row has the text up
+    to there (and ``n_chars``, if there is such a column, its length).
+
+    Rows that repeat a leaf, doc_id and text are drawn as often as all of them together, as copies of one of them. Rows with a
+    null doc_id or of no tokens follow their leaf. An empty table gives no rows.
+    """
+    text = F.col("text").cast("string")
+    drawn = _drawn(docs, mix, F.xxhash64(text).alias("mix_hash")).withColumn("mix_times", F.col("whole") * F.col("n") + F.col("n_full")).where("mix_times > 0 or part > 0")
+    k = cut(drawn.select(F.struct(*LEVELS, "doc_id", "mix_hash").alias("mix_key"), F.col("n").alias("mix_n"), "mix_times", F.col("part").alias("mix_part")))
+    row = docs.select(F.struct("*").alias("mix_row"), F.struct(*_leaf(mix), "doc_id", F.xxhash64(text).alias("mix_hash")).alias("mix_id"))
+    on = F.col("mix_id").eqNullSafe(F.col("mix_key"))
+    once = row.join(k.where("mix_n = 1"), on).select("mix_row", "mix_times", "mix_part")
+    plain = [F.col(f"mix_row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    again = row.join(k.where("mix_n > 1"), on).groupBy("mix_id").agg(
+        F.min_by("mix_row", F.xxhash64(*plain)).alias("mix_row"), F.max("mix_times").alias("mix_times"), F.max("mix_part").alias("mix_part")
+    )
+    got = once.unionByName(again.select("mix_row", "mix_times", "mix_part"))
+    whole = got.where("mix_times > 0").select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), "mix_times")).alias("mix_i")).select("mix_row.*")
+    cut_off = got.where("mix_part > 0").select("mix_row.*", F.col("mix_part")).withColumn("text", token_prefix(text, F.col("mix_part")))
+    if "n_chars" in docs.columns:
+        cut_off = cut_off.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(cut_off.select(*docs.columns))
 
 
 #: The plan for ``MIX`` in DuckDB SQL.
