@@ -31,8 +31,47 @@ def test_warc_round_trip(spark, tmp_path):
         magic, size = struct.unpack("<II", raw[:8])
         assert magic == 0x184D2A5D
         d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size]))
-        assert d.decompressobj().decompress(raw[8 + size :]).startswith(b"WARC/1.1")
-    assert not list(tmp_path.glob("w/.*-*"))
+        assert d.decompressobj().decompress(raw[8 + size :]).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    assert sorted((r.page_id or 0, r.url or "") for r in got) == sorted((i or 0, u or "") for i, u, _ in rows)
+
+
+def test_urls_come_back_as_they_are(spark, tmp_path, monkeypatch):
+    """Also where repeated payloads are too many to broadcast."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    urls = [None, "", "http://a/b c", " x\r\ny: z", "http://é/\u2028", "http://a?q=%20"]
+    folder = warc.write_archives(page_rows(spark, [(i, u, "z" * 1500, "d", 1) for i, u in enumerate(urls)]), f"file://{tmp_path}/w")
+    got = {r.page_id: r for r in warc.read_archives(spark, folder).collect()}
+    assert [got[i].url for i in range(6)] == urls and [got[i].refers_to for i in range(6)] == [5] * 5 + [None]
+
+
+def test_a_second_attempt_leaves_the_first_alone(tmp_path):
+    """Two attempts of a task write archives of their own; each list reads back its own rows."""
+    import pyarrow as pa
+
+    class Task:
+        def __init__(self, attempt):
+            self.attempt = attempt
+
+        def partitionId(self):
+            return 3
+
+        def taskAttemptId(self):
+            return self.attempt
+
+    listed = []
+    for attempt, ids in ((10, [1, 2, 3]), (11, [3, 1])):
+        warc.TaskContext.get, before = staticmethod(lambda a=attempt: Task(a)), warc.TaskContext.get
+        try:
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(["u"] * len(ids)), pa.array(["h"] * len(ids)), pa.array([hashlib.sha1(b"h").hexdigest()] * len(ids)), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.string())],
+                ["page_id", "url", "html", "digest", "refers_to", "refers_url"],
+            )
+            listed += warc._writer(f"file://{tmp_path}", "2024-01-01T00:00:00Z")(iter([batch]))
+        finally:
+            warc.TaskContext.get = before
+    assert len({x.column(0)[0].as_py() for x in listed}) == 2
+    for x, want in zip(listed, ([1, 2, 3], [3, 1])):
+        assert [i for y in warc._reader(f"file://{tmp_path}", False)(iter([x])) for i in y.column(0).to_pylist()] == want
 
 
 def test_warc_empty(spark, tmp_path):
