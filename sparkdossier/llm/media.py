@@ -1,7 +1,7 @@
 """Media columns: ISO base media containers.
 
-``walk`` goes through nested boxes and ``sample_table`` decodes the tables of a track (sizes, chunks, offsets, times, sync
-samples) without touching a payload byte. ``build`` writes a container whose one video track holds uncompressed 8-bit
+``walk`` goes through nested boxes and ``tracks`` decodes the tables of each track (sizes, chunks, offsets, times, sync samples,
+edits, and the runs of fragments) without touching a payload byte. ``build`` writes a container whose one video track holds uncompressed 8-bit
 grey frames of 24 x 24 samples, so that any bytes of a multiple of 576 are stored without loss.
 """
 
@@ -89,64 +89,198 @@ def walk(data: bytes | memoryview, at: int = 0, end: int | None = None, path: tu
         start = at + 8
         if size == 1:
             if at + 16 > end:
-                raise ValueError("a box ends within its header")
+                raise Damaged("a box ends within its header")
             size, start = struct.unpack_from(">Q", data, at + 8)[0], at + 16
         stop = end if size == 0 else at + size
         if stop < start or stop > end:
-            raise ValueError(f"box {kind!r} is longer than what holds it")
+            raise Damaged(f"box {kind!r} does not fit in what holds it")
         yield (*path, kind), start, stop
         if kind in CONTAINERS:
             yield from walk(data, start, stop, (*path, kind))
         at = stop
 
 
-def _ints(data, at: int, n: int, kind: str = ">u4") -> np.ndarray:
+class Damaged(ValueError):
+    """A container whose boxes or tables do not fit together."""
+
+
+def _ints(data, at: int, n: int, end: int, kind: str = ">u4") -> np.ndarray:
+    if at + n * np.dtype(kind).itemsize > end:
+        raise Damaged("a table is longer than its box")
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
-def tracks(data: bytes) -> list[dict]:
-    """For each track: handler, codec, timescale, duration, sample sizes and offsets, and which samples are in sync."""
+def _small_sizes(data, a: int, z: int) -> np.ndarray:
+    """Sizes of a compact table: 4, 8 or 16 bits each."""
+    bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if bits == 4:
+        pairs = _ints(data, a + 12, -(-n // 2), z, "u1")
+        return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n]
+    if bits not in (8, 16):
+        raise Damaged(f"sample sizes of {bits} bits")
+    return _ints(data, a + 12, n, z, "u1" if bits == 8 else ">u2")
+
+
+def _edits(data, a: int, z: int) -> list[tuple[int, int]]:
+    """Entries of an edit list: duration in the movie's timescale and media time (-1 for an empty edit)."""
+    wide, n = data[a] == 1, struct.unpack_from(">I", data, a + 4)[0]
+    size = 20 if wide else 12
+    if a + 8 + n * size > z:
+        raise Damaged("a table is longer than its box")
+    return [struct.unpack_from(">Qq" if wide else ">Ii", data, a + 8 + i * size) for i in range(n)]
+
+
+#: Sample flags that say a sample depends on others.
+NOT_SYNC = 0x10000
+
+
+def _run(data, a: int, z: int, head: dict, base: int) -> tuple[dict, int]:
+    """A fragment's run of samples: sizes, offsets, durations and sync flags, and where its data ends."""
+    flags, n = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+    at = a + 8
+    if flags & 1:
+        base, at = head["base"] + struct.unpack_from(">i", data, at)[0], at + 4
+    first = None
+    if flags & 4:
+        first, at = struct.unpack_from(">I", data, at)[0], at + 4
+    fields = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    table = _ints(data, at, n * len(fields), z).reshape(n, len(fields)) if fields else np.zeros((n, 0), np.int64)
+    value = {name: table[:, fields.index(name)] if name in fields else np.full(n, head.get(name, 0), np.int64) for name in ("duration", "size", "flags")}
+    if first is not None and n and "flags" not in fields:
+        value["flags"] = value["flags"].copy()
+        value["flags"][0] = first
+    begin = base + np.cumsum(value["size"]) - value["size"]
+    end = base + int(value["size"].sum())
+    if end > len(data) or base < 0:
+        raise Damaged("a run of samples ends beyond the file")
+    return {"sizes": value["size"], "offsets": begin, "ticks": int(value["duration"].sum()), "sync": np.flatnonzero(value["flags"] & NOT_SYNC == 0)}, end
+
+
+def _read(data) -> list[dict]:
     out: list[dict] = []
+    defaults: dict[int, dict] = {}
+    head: dict = {}
+    fragment, next_at = 0, 0
     for path, a, z in walk(data):
         kind = path[-1]
-        if kind == b"trak":
-            out.append({"sync": None})
+        if kind == b"trak" and path[-2:] == (b"moov", b"trak"):
+            out.append({"sync": None, "id": len(out) + 1, "runs_of": []})
+        elif kind == b"mvhd":
+            movie = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+            defaults["movie"] = {"timescale": movie}
+        elif kind == b"trex":
+            number, _, duration, size, flags = struct.unpack_from(">5I", data, a + 4)
+            defaults[number] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"moof":
+            fragment, next_at = next(s for s in (a - 8, a - 16) if data[s + 4 : s + 8] == b"moof"), None
+        elif kind == b"tfhd":
+            flags, number = struct.unpack_from(">II", data, a)
+            at, head = a + 8, dict(defaults.get(number, {}), id=number, base=fragment)
+            if flags & 1:
+                head["base"], at = struct.unpack_from(">Q", data, at)[0], at + 8
+            elif not flags & 0x20000 and next_at is not None:
+                head["base"] = next_at  # where the data of the fragment's track before it ends
+            at += 4 if flags & 2 else 0
+            for bit, name in ((8, "duration"), (16, "size"), (32, "flags")):
+                if flags & bit:
+                    head[name], at = struct.unpack_from(">I", data, at)[0], at + 4
+            run_at = head["base"]
+        elif kind == b"trun":
+            track = next((t for t in out if t["id"] == head.get("id")), None)
+            if track is None:
+                raise Damaged("a fragment of an unknown track")
+            run, run_at = _run(data, a, z, head, run_at)
+            next_at = run_at
+            track["runs_of"].append(run)
         if not out or b"trak" not in path:
             continue
         t = out[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t["id"] = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+        elif kind == b"mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
         elif kind == b"hdlr":
-            t["handler"] = data[a + 8 : a + 12].decode("latin-1")
+            t["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
         elif kind == b"stsd":
-            t["codec"] = data[a + 12 : a + 16].decode("latin-1") if z - a >= 16 else ""
+            t["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1") if z - a >= 16 else ""
         elif kind == b"stts":
-            pairs = _ints(data, a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0]).reshape(-1, 2)
+            pairs = _ints(data, a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0], z).reshape(-1, 2)
             t["times"] = int((pairs[:, 0] * pairs[:, 1]).sum())
+        elif kind == b"ctts":
+            pairs = _ints(data, a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0], z, ">i4" if data[a] == 1 else ">u4").reshape(-1, 2)
+            t["shifts"] = np.repeat(pairs[:, 1], np.maximum(pairs[:, 0], 0))
+        elif kind == b"elst":
+            t["edits"] = _edits(data, a, z)
         elif kind == b"stss":
-            t["sync"] = _ints(data, a + 8, struct.unpack_from(">I", data, a + 4)[0]) - 1
+            t["sync"] = _ints(data, a + 8, struct.unpack_from(">I", data, a + 4)[0], z) - 1
         elif kind == b"stsz":
             each, n = struct.unpack_from(">II", data, a + 4)
-            t["sizes"] = np.full(n, each, np.int64) if each else _ints(data, a + 12, n)
+            if each and n * each > len(data):
+                raise Damaged("more samples than the file holds")
+            t["sizes"] = np.full(n, each, np.int64) if each else _ints(data, a + 12, n, z)
+        elif kind == b"stz2":
+            t["sizes"] = _small_sizes(data, a, z)
         elif kind == b"stsc":
-            t["runs"] = _ints(data, a + 8, 3 * struct.unpack_from(">I", data, a + 4)[0]).reshape(-1, 3)
+            t["runs"] = _ints(data, a + 8, 3 * struct.unpack_from(">I", data, a + 4)[0], z).reshape(-1, 3)
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = _ints(data, a + 8, struct.unpack_from(">I", data, a + 4)[0], ">u4" if kind == b"stco" else ">u8")
+            t["chunks"] = _ints(data, a + 8, struct.unpack_from(">I", data, a + 4)[0], z, ">u4" if kind == b"stco" else ">u8")
     for t in out:
-        sizes, chunks, runs = (t.get(k, np.zeros(0, np.int64)) for k in ("sizes", "chunks", "runs"))
-        per = np.zeros(len(chunks), np.int64)
-        for i, (first, n, _) in enumerate(runs.reshape(-1, 3)):
-            per[first - 1 : runs[i + 1][0] - 1 if i + 1 < len(runs) else None] = n
-        if per.sum() != len(sizes):
-            raise ValueError("the chunks do not hold as many samples as there are sizes")
-        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        first = np.concatenate(([0], np.cumsum(per)))[:-1]
-        within = begin - np.repeat(begin[first] if len(first) else begin[:0], per)
-        t["sizes"], t["offsets"] = sizes, np.repeat(chunks, per) + within
-        t["sync"] = np.arange(len(sizes)) if t["sync"] is None else t["sync"]
+        _lay_out(t, defaults.get("movie", {}).get("timescale", 0), len(data))
     return out
 
 
+def _lay_out(t: dict, movie: int, end: int) -> None:
+    """Offsets of a track's samples from its tables, then those of its fragments."""
+    for name in ("codec", "handler", "timescale", "duration"):
+        if name not in t:
+            raise Damaged(f"a track has no {name}")
+    if not t["timescale"]:
+        raise Damaged("a track's timescale is 0")
+    sizes, chunks, runs = (t.get(k, np.zeros(0, np.int64)) for k in ("sizes", "chunks", "runs"))
+    runs = runs.reshape(-1, 3)
+    firsts = runs[:, 0]
+    if len(runs) and (firsts[0] != 1 or (np.diff(firsts) <= 0).any() or firsts[-1] > len(chunks)):
+        raise Damaged("runs of chunks are not in order")
+    per = np.repeat(runs[:, 1], np.diff(np.append(firsts, len(chunks) + 1))) if len(runs) else np.zeros(len(chunks), np.int64)
+    if int(per.sum()) != len(sizes) or len(sizes) > end:
+        raise Damaged("the chunks do not hold as many samples as there are sizes")
+    begin = np.cumsum(sizes) - sizes
+    first = np.cumsum(per) - per
+    full = per > 0
+    within = begin - np.repeat(begin[first[full]], per[full])
+    offsets = np.repeat(chunks, per) + within
+    sync = np.arange(len(sizes)) if t["sync"] is None else t["sync"]
+    if len(sync) and (sync.min() < 0 or sync.max() >= len(sizes)):
+        raise Damaged("a sync sample that is not there")
+    ticks = 0
+    for run in t.pop("runs_of"):
+        sync = np.concatenate((sync, run["sync"] + len(sizes)))
+        sizes, offsets, ticks = np.concatenate((sizes, run["sizes"])), np.concatenate((offsets, run["offsets"])), ticks + run["ticks"]
+    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > end):
+        raise Damaged("a sample lies beyond the file")
+    if "shifts" in t and len(t["shifts"]) != len(t.get("sizes", ())):
+        raise Damaged("time shifts are not as many as samples")
+    t["sizes"], t["offsets"], t["sync"] = sizes, offsets, sync
+    t["duration"] = t["duration"] or t.get("times", 0)
+    t["duration"] += ticks
+    # What is shown: the edits' lengths, else all of it.
+    shown = sum(d for d, at in t.get("edits", ()) if at >= 0)
+    t["shown_seconds"] = shown / movie if shown and movie else t["duration"] / t["timescale"]
+
+
+def tracks(data: bytes) -> list[dict]:
+    """For each track: handler, codec, timescale, duration, sample sizes and offsets, and which samples are in sync.
+
+    Samples of fragments (``moof``) follow those of the tables. Whatever does not fit raises ``Damaged``.
+    """
+    try:
+        return _read(data)
+    except Damaged:
+        raise
+    except (struct.error, IndexError, ValueError, StopIteration, OverflowError, RecursionError, MemoryError) as e:
+        raise Damaged(str(e) or type(e).__name__) from e
+
+
 def keyframes(track: dict) -> list[tuple[int, int]]:
     """Byte ranges ``(offset, length)`` of the sync samples."""
     at = track["sync"]
@@ -197,26 +331,37 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows: list[list] = [[], [], [], []]
+    rows: list[list] = [[] for _ in range(6)]
     for data in batch.column(1).to_pylist():
-        found = tracks(data) if data is not None else []
+        found, error = [], None
+        if data is not None:
+            try:
+                found = tracks(data)
+            except Damaged as e:
+                error = str(e)
         for x, y in zip(rows, (
-            [t["codec"] for t in found], [t["duration"] / t["timescale"] for t in found], [len(t["sizes"]) for t in found],
-            [[{"offset": a, "length": n} for a, n in keyframes(t)] for t in found],
+            [t["codec"] for t in found], [t["duration"] / t["timescale"] for t in found], [t["shown_seconds"] for t in found], [len(t["sizes"]) for t in found],
+            [[{"offset": a, "length": n} for a, n in keyframes(t)] for t in found], error,
         ), strict=True):
             x.append(y)
     span = pa.struct([("offset", pa.int64()), ("length", pa.int64())])
-    kinds = (pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.list_(span)))
-    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows, kinds, strict=True))], ["doc_id", "codecs", "seconds", "n_samples", "keyframes"])
+    kinds = (pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.list_(span)), pa.string())
+    names = ["doc_id", "codecs", "seconds", "shown_seconds", "n_samples", "keyframes", "error"]
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows, kinds, strict=True))], names)
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """``doc_id, codecs, seconds, n_samples, keyframes`` of each container, an entry per track; a null container has none.
+    """``doc_id, codecs, seconds, shown_seconds, n_samples, keyframes, error`` of each container, an entry per track.
 
-    Nothing but box headers and sample tables is read. A container whose boxes or tables do not fit raises an error.
+    Nothing but box headers and sample tables is read, fragments' too. ``seconds`` is the media's length, ``shown_seconds`` that
+    of its edit list. A null container has no tracks. One whose boxes or tables do not fit has none either, and says why in
+    ``error``, null for all others; no container stops the job. Repeated rows and null ids give a row each.
     """
     m = media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media"))
-    schema = "doc_id long, codecs array<string>, seconds array<double>, n_samples array<long>, keyframes array<array<struct<offset: long, length: long>>>"
+    schema = (
+        "doc_id long, codecs array<string>, seconds array<double>, shown_seconds array<double>, n_samples array<long>, "
+        "keyframes array<array<struct<offset: long, length: long>>>, error string"
+    )
     return m.mapInArrow(_batches(_describe), schema)
 
 

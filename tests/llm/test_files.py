@@ -107,3 +107,53 @@ def test_media_of_odd_rows(spark, odd_docs, no_docs):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     assert all(r.codecs == ["raw "] and len(r.keyframes) == 1 for r in media.describe_media(stored).collect())
     assert media.digest_media(media.store_texts(no_docs)).count() == 0
+
+
+def fragmented(parts, sync_first=True):
+    """An empty movie and a fragment for each list of samples."""
+    b, f = media.box, media.full
+    mdhd = f(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, 50, 0, 0x55C4, 0))
+    stbl = b(b"stbl", f(b"stsd", 0, struct.pack(">I", 1), b(b"avc1", bytes(78))), *(f(k, 0, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")), f(b"stsz", 0, struct.pack(">II", 0, 0)))
+    trak = b(b"trak", f(b"tkhd", 3, struct.pack(">III", 0, 0, 9), bytes(68)), b(b"mdia", mdhd, f(b"hdlr", 0, bytes(4), b"vide", bytes(13)), b(b"minf", stbl)))
+    mvex = b(b"mvex", f(b"trex", 0, struct.pack(">5I", 9, 1, 2, 0, media.NOT_SYNC)))
+    out = b(b"ftyp", b"isom", bytes(4)) + b(b"moov", f(b"mvhd", 0, struct.pack(">IIII", 0, 0, 50, 0), bytes(80)), trak, mvex)
+    for samples in parts:
+        def moof(offset, samples=samples):
+            run = struct.pack(">IiI", len(samples), offset, 0) + b"".join(struct.pack(">I", len(x)) for x in samples)
+            return b(b"moof", f(b"mfhd", 0, bytes(4)), b(b"traf", f(b"tfhd", 0x20000, struct.pack(">I", 9)), f(b"trun", 0x205, run)))
+        out += moof(len(moof(0)) + 8) + b(b"mdat", *samples)
+    return out
+
+
+def test_fragments():
+    parts = [[b"key0", b"a", b"bb"], [b"key1", b"cc"]]
+    data = fragmented(parts)
+    (track,) = media.tracks(data)
+    assert media.samples(data, track) == b"".join(x for p in parts for x in p)
+    assert [data[a : a + n] for a, n in media.keyframes(track)] == [b"key0", b"key1"]
+    assert track["codec"] == "avc1" and track["duration"] == 10
+
+
+def test_compact_sizes_and_edits():
+    packed = media.full(b"stz2", 0, b"\0\0\0\x04", struct.pack(">I", 3), b"\x12\x30")[8:]
+    assert media._small_sizes(packed, 0, len(packed)).tolist() == [1, 2, 3]
+    elst = media.full(b"elst", 0, struct.pack(">I", 2), struct.pack(">Iii", 5, -1, 1), struct.pack(">Iii", 20, 0, 1))[8:]
+    assert media._edits(elst, 0, len(elst)) == [(5, -1), (20, 0)]
+
+
+def test_damaged_containers_are_rows_with_an_error(spark):
+    """Whatever byte is cut or changed, the job goes on and the other rows are right."""
+    good = media.build(media.pad(b"x" * 5000))
+    r = random.Random(5)
+    bad = [good[: r.randrange(1, len(good))] for _ in range(60)] + [b"", b"junk", bytes(200), b"\0\0\0\x08moov" * 3]
+    for _ in range(200):
+        x = bytearray(good)
+        x[r.randrange(0, 700)] = r.randrange(256)
+        bad.append(bytes(x))
+    for gone in (b"stsd", b"mdhd", b"hdlr"):
+        bad.append(good.replace(gone, b"free", 1))
+    bad.append(good.replace(struct.pack(">IIHH", media.RATE, 9, 0x55C4, 0), struct.pack(">IIHH", 0, 9, 0x55C4, 0)))
+    rows = [(0, good), (1, None), *((i, x) for i, x in enumerate(bad, 2))]
+    got = {x.doc_id: x for x in media.describe_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert len(got) == len(rows) and got[0].codecs == ["raw "] and got[0].error is None and got[1].codecs == [] and got[1].error is None
+    assert all(x.codecs == [] for x in got.values() if x.error) and all(got[len(rows) - i].error for i in (1, 2, 3, 4))
