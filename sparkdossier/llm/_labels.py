@@ -20,9 +20,10 @@ def sample_ids(labelled: DataFrame, limit: int) -> DataFrame:
 def sample_texts(docs: DataFrame, ids: DataFrame, max_chars: int) -> pa.Table:
     """``(doc_id, text, label)`` of the sampled rows whose text has at most ``max_chars`` characters, by doc_id.
 
-    ``ids`` has a bounded row count, so it is broadcast and the documents are not shuffled; the bounded
-    result goes to the driver.
+    ``ids`` has a bounded row count, so it is broadcast and the documents are not shuffled. Of the texts of a repeated doc_id
+    that which is least by hash is taken, so at most a row for each sampled id goes to the driver.
     """
-    d = docs.select("doc_id", F.col("text").alias("text"))
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     got = d.join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    return got.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    one = got.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"), F.max("label").alias("label"))
+    return one.select("doc_id", "one.text", "label").toArrow().sort_by([("doc_id", "ascending")])

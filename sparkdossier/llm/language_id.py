@@ -25,8 +25,8 @@ GRAMS = (1, 2, 3, 4)
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = _LETTERS[65:91] = range(97, 123)
 _LETTERS[128:] = range(128, 256)
-#: Bytes counted at once, in whole texts.
-PIECE = 1 << 20
+#: Bytes and texts counted at once: each text takes a row of all features.
+PIECE, PIECE_TEXTS = 1 << 20, 512
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def fit(texts: pa.ChunkedArray, labels: list[str], rounds: int = 150, ridge: flo
     code = codewords(len(langs))
     if len(langs) < 2:
         return Model(langs, code, np.zeros((1 << BITS, code.shape[1]), np.float32), np.ones(code.shape[1], np.float32))
-    x = np.concatenate([rates(data, offsets) for _, _, data, offsets in B.pieces(*B.text_buffer(texts), B.FIT_BYTES)])
+    x = np.concatenate([rates(data, offsets) for _, _, data, offsets in B.pieces(*B.text_buffer(texts), B.FIT_BYTES, PIECE_TEXTS)])
     number = np.array([langs.index(v) for v in labels])
     target = ((code[number] + 1) / 2).astype(np.float32)
     share = (1.0 / (len(langs) * np.bincount(number, minlength=len(langs))[number]))[:, None].astype(np.float32)
@@ -117,7 +117,7 @@ def _predict(model: Model, gap: float):
         letter = regex.compile(r"\p{L}")
         for batch in batches:
             texts = batch.column(1)
-            for a, z, data, offsets in B.pieces(*B.text_buffer(texts), PIECE):
+            for a, z, data, offsets in B.pieces(*B.text_buffer(texts), PIECE, PIECE_TEXTS):
                 n = z - a
                 # ASCII letters settle most texts; only the others are searched for letters beyond ASCII.
                 s = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128))))

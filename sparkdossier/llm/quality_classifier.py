@@ -81,6 +81,29 @@ def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: fl
     return np.bincount(doc, weights=weights[f], minlength=n) / np.sqrt(np.maximum(size, 1)) + bias
 
 
+def dual_descent(
+    rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, top: np.ndarray, rounds: int, rng: np.random.Generator, width: int = 1 << BITS
+) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables that minimise 0.5 (|w|^2 + b^2) + sum of ``top`` times the hinge loss, row by row."""
+    w, b, alpha = np.zeros(width), 0.0, np.zeros(len(rows))
+    norm = np.array([float(v @ v) + 1.0 for v in values])
+    for _ in range(rounds):
+        most = 0.0
+        for i in rng.permutation(len(rows)):
+            f, v = rows[i], values[i]
+            g = sign[i] * (float(w[f] @ v) + b) - 1.0
+            new = min(max(alpha[i] - g / norm[i], 0.0), top[i])
+            step = (new - alpha[i]) * sign[i]
+            if step:
+                w[f] += step * v
+                b += step
+                alpha[i] = new
+                most = max(most, abs(step) * norm[i] ** 0.5)
+        if most < 1e-3:
+            break
+    return w, b, alpha
+
+
 def fit(texts: pa.ChunkedArray, y: np.ndarray, cost: float = 1.0, rounds: int = 30, smooth: float = 1.0) -> Model:
     """Log count ratios, then min 0.5 |w|^2 + cost * sum of hinge losses by coordinate descent on its dual."""
     if len(set(y.tolist())) < 2:  # one class, or none: the share of label 1 for every text
@@ -100,24 +123,10 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, cost: float = 1.0, rounds: int =
     sign = np.where(y > 0, 1.0, -1.0)
     values = [(ratio[f] / np.sqrt(max(1, len(f)))).astype(np.float32) for f in rows]
 
+    top = np.where(y > 0, cost * len(y) / (2.0 * max(1, n1)), cost * len(y) / (2.0 * max(1, len(y) - n1)))
+
     def descend(use: np.ndarray) -> tuple[np.ndarray, float]:
-        w, b, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
-        top = np.where(y > 0, cost * len(y) / (2.0 * max(1, n1)), cost * len(y) / (2.0 * max(1, len(y) - n1)))
-        norm = np.array([float(v @ v) + 1.0 for v in values])
-        for _ in range(rounds):
-            most = 0.0
-            for i in rng.permutation(use):
-                f, v = rows[i], values[i]
-                g = sign[i] * (float(w[f] @ v) + b) - 1.0
-                new = min(max(alpha[i] - g / norm[i], 0.0), top[i])
-                step = (new - alpha[i]) * sign[i]
-                if step:
-                    w[f] += step * v
-                    b += step
-                    alpha[i] = new
-                    most = max(most, abs(step) * norm[i] ** 0.5)
-            if most < 1e-3:
-                break
+        w, b, _ = dual_descent([rows[i] for i in use], [values[i] for i in use], sign[use], top[use], rounds, rng)
         return w, b
 
     # Log odds from margins that the model was not fitted to.
@@ -190,5 +199,9 @@ def _keep(model: Model, text: str, threshold: float):
 
 
 def keep_quality_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, as they are."""
+    """The rows of ``docs`` that score at least ``threshold``, as they are.
+
+    A null text is scored as an empty one and stays a null. Repeated rows and null ids are judged each, equal texts alike. An
+    empty table gives no rows; without labelled rows all texts score the same, so all stay or none.
+    """
     return docs.mapInArrow(_keep(model, "text", threshold), docs.schema)

@@ -6,7 +6,9 @@ to six bytes) is fitted to the marked tokens by its gradient, which forward-back
 text, from forward-backward over its whole length, make its score (greatest marginal and expected number of toxic tokens,
 through a logistic fit to the document labels) and its offending spans.
 
-Forward-backward runs over all texts of an Arrow batch at once, one token position at a time.
+No token is labelled in the tables: the marks are guessed from labels of documents, and the chain learns the guess.
+
+Forward-backward runs over many texts at once, bounded by their tokens, one token position at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ PREFIXES = (3, 4, 5, 6)
 #: A word or prefix marks tokens if so large a share of toxic training documents has it, its rate there is so many
 #: times the rate elsewhere, and the log likelihood ratio of that is so large.
 SUPPORT, TIMES, EVIDENCE = 0.03, 12.0, 9.0
+#: Tokens that forward-backward works on at once; a text of more is worked on alone.
+GROUP_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -167,41 +171,53 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, share: float, rounds: int = 60) -
     return Model(w.astype(np.float32), float(bias), moves, d)
 
 
+def document_scores(model: Model, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Scores of texts from the marginals of their tokens."""
+    return 1 / (1 + np.exp(-np.clip(_document(p, at) @ model.document, -30, 30)))
+
+
 def _score(model: Model):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
+    def finish(ids: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+        """Scores and spans of the texts of some pieces."""
+        sizes = [len(w.hash) for _, _, w, _ in held]
+        first = np.cumsum([0, *sizes])
+        at = np.concatenate(([0], *(w.at[1:] + f for (_, _, w, _), f in zip(held, first))))
+        o, q, _ = marginals(np.concatenate([e for _, _, _, e in held]), at, model.moves)
+        p = _chance(o * q)
+        score = document_scores(model, p, at)
+        starts, ends, rows, row = [], [], [], 0
+        for (data, offsets, w, _), base in zip(held, first):
+            bad = np.flatnonzero(p[base : base + len(w.hash)] >= 0.5)
+            if len(bad):
+                head = np.ones(len(bad), bool)  # neighbours in a text make one span
+                head[1:] = (bad[1:] != bad[:-1] + 1) | (w.doc[bad[1:]] != w.doc[bad[:-1]])
+                tail = np.append(head[1:], True)
+                point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
+                shift = point[offsets[w.doc[bad[head]]]]
+                starts.append(point[w.start[bad[head]]] - shift)
+                ends.append(point[w.end[bad[tail]]] - shift)
+                rows.append(w.doc[bad[head]] + row)
+            row += len(offsets) - 1
+        n = np.bincount(np.concatenate(rows), minlength=row) if rows else np.zeros(row, np.int64)
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (starts, ends)], fields=list(span))
+        spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([ids, pa.array(score), spans], ["doc_id", "score", "spans"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e, at, held, first = [], [0], [], 0
-            for a, _, data, offsets in B.pieces(*B.text_buffer(batch.column(1))):
+            held, tokens, begin = [], 0, 0
+            for _, z, data, offsets in B.pieces(*B.text_buffer(batch.column(1))):
                 w = B.Words(data, offsets)
-                total = np.zeros(len(w.hash), np.float32)
+                e = np.full(len(w.hash), np.float32(model.bias))
                 for row in token_features(w):
-                    total += model.weights[row]
-                e.append(total + np.float32(model.bias))
-                at += (w.at[1:] + first).tolist()
-                held.append((a, data, offsets, w.start, w.end, w.doc, first))
-                first += len(w.hash)
-            at = np.array(at)
-            o, q, _ = marginals(np.concatenate(e) if e else np.zeros(0, np.float32), at, model.moves)
-            p = _chance(o * q)
-            score = 1 / (1 + np.exp(-np.clip(_document(p, at) @ model.document, -30, 30)))
-            starts, ends, rows = [], [], []
-            for a, data, offsets, start, end, doc, base in held:
-                bad = np.flatnonzero(p[base : base + len(start)] >= 0.5)
-                if len(bad):
-                    head = np.ones(len(bad), bool)  # neighbours in a text make one span
-                    head[1:] = (bad[1:] != bad[:-1] + 1) | (doc[bad[1:]] != doc[bad[:-1]])
-                    tail = np.append(head[1:], True)
-                    point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
-                    shift = point[offsets[doc[bad[head]]]]
-                    starts.append(point[start[bad[head]]] - shift)
-                    ends.append(point[end[bad[tail]]] - shift)
-                    rows.append(doc[bad[head]] + a)
-            n = np.bincount(np.concatenate(rows), minlength=batch.num_rows) if rows else np.zeros(batch.num_rows, np.int64)
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (starts, ends)], fields=list(span))
-            spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), spans], ["doc_id", "score", "spans"])
+                    e += model.weights[row]
+                held.append((data, offsets, w, e))
+                tokens += len(w.hash)
+                if tokens >= GROUP_TOKENS or z == batch.num_rows:
+                    yield finish(batch.column(0).slice(begin, z - begin), held)
+                    held, tokens, begin = [], 0, z
 
     return run
 

@@ -48,9 +48,24 @@ def test_mix_odd_rows(spark, odd_docs, no_docs):
     assert sum(x.tokens_used for x in plan) == sum(len((r.text or "").split()) for r in odd_docs.select("text").collect())
     mixed = mixing.mix_documents(odd_docs)
     assert mixed.columns == odd_docs.columns and mixed.count() > 0
+    drawn = sorted((x.doc_id or -1, len((x.text or "").split())) for x in mixed.collect())
+    assert drawn == sorted((x.doc_id or -1, x.tokens_used) for x in plan)
     assert mixing.mix_plan(no_docs).count() == 0 and mixing.mix_documents(no_docs).count() == 0
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    """One leaf short of its budget, rows alike: passes and prefix take each as often as if they were told apart."""
+    rows = [(None, "a b c", "en", "s")] * 40 + [(7, " d e\n", "en", "s")] * 25 + [(7, "f g h i", "en", "s"), (8, "j", "fr", "s")]
+    docs = docs_of(spark, rows)
+    mix = mixing.Mix({}, {"en": 5, "fr": 1}, max_epochs=3, budget_milli=400)
+    plan = mixing.mix_plan(docs, mix).collect()
+    total = 40 * 3 + 25 * 2 + 4 + 1
+    assert sum(r.tokens_used for r in plan) == total * 400 // 1000
+    got = mixing.mix_documents(docs, mix).collect()
+    assert sorted((r.doc_id or -1, len(r.text.split())) for r in got) == sorted((r.doc_id or -1, r.tokens_used) for r in plan)
+    assert all(any(r.text == x[1] or x[1].startswith(r.text) for x in rows) and r.n_chars in (3, 5, len(r.text), 7, 1) for r in got)
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return packing.Encoder(corpus_pipeline.tokenizer_path())
@@ -269,20 +284,20 @@ def test_pipeline_against_plain_python(spark, sf, encoder):
                 assert sorted(r.doc_id for r in seen[name]) == sorted(want), name
                 kept = {r.doc_id: r for r in before}
                 assert all(r == kept[r.doc_id] for r in seen[name])
-    # Mixing: whole documents, and about as many tokens as there were.
+    # Mixing: documents, at most one of a leaf cut, and exactly as many tokens as there were.
     unique = {r.doc_id: r for r in seen["jaccard_join"]}
-    assert all(r == unique[r.doc_id] for r in seen["mixing"])
+    parts = [r for r in seen["mixing"] if r != unique[r.doc_id]]
+    assert all(unique[r.doc_id].text.startswith(r.text) and r.n_chars == len(r.text) for r in parts)
+    leaves = [(r.lang, r.source) for r in parts]
+    assert len(leaves) == len(set(leaves))
     size = lambda rows: sum(len(r.text.split()) for r in rows)
-    leaves = len({(r.lang, r.source) for r in seen["jaccard_join"]})
-    assert size(unique.values()) <= size(seen["mixing"]) <= size(unique.values()) + leaves * max(len(r.text.split()) for r in unique.values())
+    assert size(unique.values()) == size(seen["mixing"])
     # Packing: every drawn document whole, sequences gapless, no padding.
-    drawn = [r.doc_id for r in seen["mixing"]]
-    assert sorted(r.doc_id for r in rows if r.start == 0) == sorted(drawn)
-    tokens = {i: len(encoder.whole(unique[i].text)) + 1 for i in set(drawn)}
-    assert sum(r.length for r in rows) == sum(tokens[i] for i in drawn)
+    drawn = [(r.doc_id, len(encoder.whole(r.text)) + 1) for r in seen["mixing"]]
+    assert sorted((r.doc_id, r.doc_tokens) for r in rows if r.start == 0) == sorted(drawn)
+    assert sum(r.length for r in rows) == sum(n for _, n in drawn)
     by_seq = {}
     for r in rows:
-        assert r.doc_tokens == tokens[r.doc_id]
         by_seq.setdefault(r.sequence_id, []).append(r)
     for pieces in by_seq.values():
         at = 0

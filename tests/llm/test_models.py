@@ -99,3 +99,118 @@ def test_coordinate_descent_separates():
 
     s = quality_classifier.margins(*B.text_buffer(texts), m.weights, m.bias)
     assert (s[:5] > 0).all() and (s[5:] < 0).all()
+
+
+def test_dual_descent_against_a_plain_solver():
+    """The dual objective and the weights of projected gradient steps on the whole quadratic program."""
+    r = np.random.default_rng(4)
+    rows = [np.sort(r.choice(12, r.integers(2, 7), replace=False)) for _ in range(40)]
+    values = [r.normal(size=len(f)) for f in rows]
+    sign, top = r.choice((-1.0, 1.0), 40), r.uniform(0.2, 2, 40)
+    w, b, alpha = quality_classifier.dual_descent(rows, values, sign, top, 3000, np.random.default_rng(1), 12)
+    x = np.zeros((40, 13))
+    for i, (f, v) in enumerate(zip(rows, values)):
+        x[i, f] = v
+    x[:, 12] = 1
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    plain = np.zeros(40)
+    for _ in range(200_000):
+        plain = np.clip(plain - (q @ plain - 1) / np.linalg.norm(q, 2), 0, top)
+    dual = lambda a: a.sum() - 0.5 * a @ q @ a
+    assert abs(dual(alpha) - dual(plain)) < 1e-3
+    both = (plain * sign) @ x
+    assert np.allclose(w, both[:12], atol=0.02) and abs(b - both[12]) < 0.02
+
+
+def test_log_count_ratios_scale_the_features():
+    texts = pa.chunked_array([["red red blue", "red green", "blue grey", "grey grey green", "red blue"]])
+    y = np.array([1, 1, 0, 0, 1])
+    m = quality_classifier.fit(texts, y)
+    from sparkdossier.llm import _bytes as B
+
+    doc, f = quality_classifier.features(*B.text_buffer(texts))
+    sets = [set(f[doc == i].tolist()) for i in range(5)]
+    for x in set(f.tolist()):
+        one, zero = (sum(x in s for s, label in zip(sets, y) if label == k) + 1 for k in (1, 0))
+        ratio = np.log(one / 5) - np.log(zero / 4)
+        assert ratio != 0 or m.weights[x] == 0
+
+
+def plain_rates(text):
+    """Roots of shares of hashed n-grams, a byte at a time."""
+    b, out = [], np.zeros(1 << language_id.BITS)
+    for c in text.encode():
+        c = c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32
+        if not (c == 32 and b and b[-1] == 32):
+            b.append(c)
+    for k in language_id.GRAMS:
+        for i in range(len(b) - k + 1):
+            h = 0
+            for j in range(1, k + 1):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ ((b[i + j - 1] + j) * 0x9E3779B1 & 0xFFFFFFFF)
+            out[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - language_id.BITS] += 1
+    return np.sqrt(out / max(out.sum(), 1))
+
+
+def test_languages_against_a_plain_decoder(spark, sf):
+    """Every text's features, loss-weighted distances and answer, one at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    model = language_id.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {r.doc_id: r for r in language_id.identify_language(docs, model).collect()}
+    for r in docs.collect():
+        x = plain_rates(r.text)
+        z = [float(x @ model.weights[:, j]) + float(model.bias[j]) for j in range(model.weights.shape[1])]
+        loss = [sum(np.log1p(np.exp(-np.clip(v, -30, 30) * c)) for v, c in zip(z, code)) for code in model.codes]
+        p = np.exp(-np.array(loss))
+        p /= p.sum()
+        if r.text and any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == model.langs[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-4
+            assert abs(got[r.doc_id].score - p.max()) < 1e-3
+            assert got[r.doc_id].ambiguous == (np.sort(p)[-1] - np.sort(p)[-2] < 0.2) or abs(np.sort(p)[-1] - np.sort(p)[-2] - 0.2) < 1e-3
+
+
+def test_toxicity_score_against_a_plain_chain(spark, monkeypatch):
+    """Marginals by sums over all states, a token at a time, and the score from them; groups of few tokens too."""
+    import re
+
+    docs, labels = labelled(spark, 150)
+    model = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "GROUP_TOKENS", 100)
+    from functools import partial
+
+    from sparkdossier.llm import _bytes as B
+
+    monkeypatch.setattr(B, "pieces", partial(B.pieces, rows=4))
+    rows = docs.limit(30).collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([r.doc_id for r in rows]), pa.array([r.text for r in rows])], ["doc_id", "text"])
+    out = list(toxicity._score(model)(iter([batch])))
+    assert len(out) > 5
+    got = {i: s for x in out for i, s in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    a = np.exp(model.moves).reshape(2, 2)
+    for r in rows:
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", r.text.lower())
+        e = []
+        for w in words:
+            x = B.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+            e.append(model.bias + sum(float(model.weights[f[0]]) for f in toxicity.token_features(x)))
+        f = [np.array([1.0, np.exp(np.clip(e[0], -30, 30))])]
+        for v in e[1:]:
+            x = (f[-1] @ a) * [1.0, np.exp(np.clip(v, -30, 30))]
+            f.append(x / x.sum())
+        b = [np.ones(2)]
+        for v in e[:0:-1]:
+            x = a @ (b[-1] * [1.0, np.exp(np.clip(v, -30, 30))])
+            b.append(x / x.sum())
+        p = np.array([(x * y)[1] / (x * y).sum() for x, y in zip(f, b[::-1])])
+        top = min(max(p.max(), 1e-6), 1 - 1e-6)
+        want = 1 / (1 + np.exp(-np.clip(model.document @ [np.log(top / (1 - top)), np.log1p(p.sum()), 1.0], -30, 30)))
+        assert abs(want - got[r.doc_id]) < 1e-3
+
+
+def test_a_labelled_id_on_many_texts_is_one_row(spark):
+    from sparkdossier.llm._labels import sample_ids, sample_texts
+
+    docs = docs_of(spark, [(1, f"text {i % 3}", "en", "s") for i in range(3000)] + [(2, None, "en", "s"), (3, "x" * 50, "en", "s")])
+    ids = sample_ids(spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (None, 1)], "doc_id long, label int"), 10)
+    got = sample_texts(docs, ids, 20)
+    assert got.num_rows == 1 and got.column("label").to_pylist() == [1]
