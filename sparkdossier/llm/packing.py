@@ -292,15 +292,17 @@ def _count(kind: str):
     """Per token id the documents that have it; under -1 the number of documents, under -2 that of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(0, np.int64), 0, 0
+        df, at, n, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                all_ids = np.frombuffer(raw, kind)
-                ids = np.unique(all_ids)
-                if ids[-1] >= len(df):
-                    df = np.concatenate((df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)))
-                df[ids] += 1
-                n, total = n + 1, total + len(all_ids)
+                ids = np.frombuffer(raw, kind)
+                if (top := int(ids.max())) >= len(df):
+                    df = np.concatenate((df, np.zeros(top + 1 - len(df), np.int64)))
+                    at = np.zeros(len(df), np.int64)
+                place = np.arange(len(ids))
+                at[ids] = place  # of an id's places the last one stays
+                df[ids[at[ids] == place]] += 1
+                n, total = n + 1, total + len(ids)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, (-1, -2))), pa.array(np.append(df[some], (n, total)))], ["term", "n"])
 
@@ -322,14 +324,18 @@ class Topics:
 
     def __init__(self, stats: Statistics):
         self.mean = max(stats.mean, 1)
-        idf = np.log(1 + (stats.n - stats.df + 0.5) / (stats.df + 0.5))
-        self.idf = np.where(stats.df >= max(2, TOPIC_SHARE * stats.n), idf, 0.0)
+        self.terms = np.flatnonzero(stats.df >= max(2, TOPIC_SHARE * stats.n))
+        df = stats.df[self.terms]
+        self.idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
+        self.number = np.full(len(stats.df), len(self.terms), np.int64)
+        self.number[self.terms] = np.arange(len(self.terms))
 
     def of(self, ids: np.ndarray) -> int:
-        term, tf = np.unique(ids, return_counts=True)
-        weight = self.idf[term] * tf / (tf + K1 * (1 - B_LENGTH + B_LENGTH * len(ids) / self.mean))
-        best = int(weight.argmax())
-        return int(term[best]) + 1 if weight[best] > 0 else 0
+        tf = np.bincount(self.number[ids], minlength=len(self.terms) + 1)[:-1]
+        if not tf.any():
+            return 0
+        weight = self.idf * (tf / (tf + K1 * (1 - B_LENGTH + B_LENGTH * len(ids) / self.mean)))
+        return int(self.terms[weight.argmax()]) + 1
 
 
 def _count_topics(stats: Statistics, kind: str):
