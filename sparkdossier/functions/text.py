@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkdossier.functions.scanners import EMAIL
+
 # Routes that are counted, longest first, and the label of all others.
 ROUTES = ("/dokument/operasjoner", "/dokument", "/forhandssjekk", "/sladd", "/ekko", "/spor", "/jobb", "/innsyn", "/hjelp", "/metrics", "/dokumentasjon", "/openapi.json")
 OTHER_ROUTE = "annet"
 # Words that tell two languages apart.
 NORWEGIAN = ("og", "i", "på", "det", "som", "til", "er", "av")
 ENGLISH = ("the", "and", "of", "to", "is", "for")
-# Characters of ordinary Norwegian text.
-NORWEGIAN_LETTERS = "abcdefghijklmnopqrstuvwxyzæøåéèêóòôäöü"
-EMAIL = r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24})(?![A-Za-z0-9-])"
+
+
+# Spellings that are folded, in this order.
+FOLDS = (("æ", "a"), ("ø", "o"), ("å", "a"), ("ae", "a"), ("oe", "o"), ("aa", "a"))
 
 
 def fold(c: Column) -> Column:
     """Lower case with the letters that are spelled in two ways made one: æ, ae, å and aa to a, ø and oe to o."""
     out = F.lower(c)
-    for old, new in (("æ", "a"), ("ae", "a"), ("å", "a"), ("aa", "a"), ("ø", "o"), ("oe", "o")):
+    for old, new in FOLDS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
+def folded(word: str) -> str:
+    """``fold`` of a constant."""
+    word = word.lower()
+    for old, new in FOLDS:
+        word = word.replace(old, new)
+    return word
+
+
 def route(path: Column) -> Column:
     """The known route a path lies below; a version prefix and the query string do not count."""
     p = F.regexp_replace(F.substring_index(F.coalesce(path, F.lit("")), "?", 1), "^(/api/v1)+", "")
@@ -53,8 +64,8 @@ def plausibility(text: Column, odd: str = r"[^\x00-\x7fæøåéèêóòôäöü]
 
 
 def amount(raw: Column) -> Column:
-    """Amount as written with blanks and dots between thousands and a comma before decimals; letters O are zeros."""
-    s = F.regexp_replace(F.translate(raw, "oO", "00"), r"(?U)\s", "")
+    """Amount as written with blanks and dots between thousands and a comma or ``,-`` behind; letters O are zeros."""
+    s = F.replace(F.regexp_replace(F.translate(raw, "oO", "00"), r"(?U)\s", ""), F.lit(",-"))
     comma = F.replace(F.replace(s, F.lit(".")), F.lit(","), F.lit("."))
     dotted = F.when(s.rlike(r"\.\d{2}$"), F.concat(F.replace(F.regexp_replace(s, r"\.\d{2}$", ""), F.lit(".")), F.lit("."), F.right(s, F.lit(2)))).otherwise(F.replace(s, F.lit(".")))
     return F.when(s.contains(","), comma).otherwise(dotted).try_cast("double")
@@ -78,7 +89,8 @@ def sampled(key: Column, share: float, salt: str = "kalibrering:") -> Column:
 
 
 def emails(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(EMAIL), 1))
+    """Mail addresses in order, each once; letters of any script may stand in them."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?U)({EMAIL})"), 1))
 
 
 def title_lines(text: Column) -> Column:

@@ -1,21 +1,16 @@
-"""Contact data, currencies, due dates, and digit runs that an identifier may hide in."""
+"""Contact data, currencies, words but for inflection, rectangles and answer pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdossier.functions import identifiers as I
-from sparkdossier.operators.extraction import norwegian_date
-
-# Forms of a telephone number.
-PHONE = r"(?<!\d)(?:(?:\+|00)47[ ]?)?([2-9]\d(?: \d{2}){3}|[2-9]\d{2} \d{2} \d{3}|[2-9]\d{7})(?!\d)"
+from sparkdossier.functions import scanners
 
 
 def phones(text: Column) -> Column:
     """Telephone numbers without blanks, in order, each once; not after a label of another number."""
-    labelled = r"(?i)(?:faktura|kunde|ordre|saks)(?:nummer|nr\.?)?[: ]{0,3}(?:(?:\+|00)47[ ]?)?\d[\d ]{6,10}\d"
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_replace(text, labelled, " "), F.lit(PHONE), 1), lambda x: F.replace(x, F.lit(" "), F.lit(""))))
+    return F.array_distinct(F.transform(scanners.scan("phones", text), lambda x: x["tall"]))
 
 
 def currency(text: Column) -> Column:
@@ -24,51 +19,23 @@ def currency(text: Column) -> Column:
     return F.when(hit == "", None).when(F.lower(hit) == "kr", "NOK").otherwise(F.upper(hit))
 
 
-def due_date(text: Column) -> Column:
-    """A date within 24 characters of the first label of a due date."""
-    near = F.regexp_extract(text, r"(?is)(?:forfalls?dato|forfall|betalingsfrist)\b[:\s]*(.{0,24})", 1)
-    return norwegian_date(F.regexp_extract(near, r"(\d{1,2}\.\s?\d{1,2}\.\s?\d{4})", 1))
-
-
 def post_places(text: Column) -> Column:
     """``nnnn PLACE`` that stand on a line of their own, as ``nnnn place``."""
     return F.regexp_extract_all(text, F.lit(r"(?m)^(\d{4} [A-ZÆØÅ][A-Za-zÆØÅæøå ]{1,30})$"), 1)
 
 
-def digit_numbers(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id, tall``: contiguous blocks of digits, between single blanks, dots or hyphens, that add up to ``length``.
+def same_word(asked: Column, found: Column) -> Column:
+    """One word but for inflection, letters of either spelling alike.
 
-    Blocks of one run are numbered; a number is a range of blocks whose digits add up, so several may start in one run.
+    Words of four letters or more are the same if the found one begins with the asked, or if they share at least five letters from
+    the start and 70 % of the shorter; where the asked one goes on behind the whole of the found, of the asked.
     """
-    runs = F.regexp_extract_all("tekst", F.lit(r"(?<!\d)(\d{1,25}(?:[ .\-]\d{1,25}){0,24})(?!\d)"), 1)
-    blocks = docs.select("doc_id", F.explode(runs).alias("run")).select("doc_id", F.split("run", r"[ .\-]").alias("b"))
-    from_each = F.transform(F.sequence(F.lit(1), F.size("b")), lambda i: F.aggregate(
-        F.slice(F.col("b"), i, F.size("b") - i + 1), F.lit(""), lambda a, x: F.when(F.length(a) >= length, a).otherwise(F.concat(a, x)),
-    ))
-    return blocks.select("doc_id", F.explode(from_each).alias("tall")).where(F.length("tall") == length).distinct()
-
-
-def identifiers(docs: DataFrame) -> DataFrame:
-    """Checked identifiers of a text with their kind; eleven digits that pass as both are a person's."""
-    eleven = digit_numbers(docs, 11).withColumn("type", F.when(I.valid_person(F.col("tall")), "fnr").when(I.valid_account(F.col("tall")), "konto"))
-    nine = digit_numbers(docs, 9).withColumn("type", F.when(I.valid_company(F.col("tall")), "orgnr"))
-    return eleven.unionByName(nine).where("type is not null")
-
-
-def suspects(docs: DataFrame) -> DataFrame:
-    """Labelled numbers that a redaction would miss: of a wrong length, or with a wrong control digit."""
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("tekst", F.lit(r"(?i)\bfødselsnummer[: ]{1,3}(\d{4,14})(?!\d)"), 1)).alias("tall"))
-    reason = F.when(F.length("tall") != 11, "feil_lengde").when(~I.valid_person(F.col("tall")), "kontrollsiffer_feilet")
-    return found.withColumn("grunn", reason).where("grunn is not null")
-
-
-def same_word(asked: Column, found: Column) -> Column:
-    """One word but for inflection: the found one begins with the asked, or they share at least five letters and 70 % of the longer."""
-    fold = lambda c: F.replace(F.replace(F.replace(c, F.lit("æ"), F.lit("ae")), F.lit("ø"), F.lit("oe")), F.lit("å"), F.lit("aa"))
-    a, b = fold(asked), fold(found)
+    spelled = lambda c: F.replace(F.replace(F.replace(c, F.lit("æ"), F.lit("ae")), F.lit("ø"), F.lit("oe")), F.lit("å"), F.lit("aa"))
+    a, b = spelled(asked), spelled(found)
     n = F.least(F.length(a), F.length(b))
     shared = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i)))
-    return (a == b) | ((F.length(a) >= 4) & F.startswith(b, a)) | ((shared >= 5) & (shared >= 0.7 * F.greatest(F.length(a), F.length(b))))
+    share = shared >= 0.7 * F.when(F.startswith(a, b), F.length(a)).otherwise(n)
+    return (a == b) | ((n >= 4) & (F.startswith(b, a) | ((shared >= 5) & share)))
 
 
 def rectangles(regions: DataFrame) -> DataFrame:

@@ -5,34 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Month names, and the role of each kind of date.
-MONTHS = ("januar", "februar", "mars", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "desember")
-ROLES = {"vedtaksdato": "dokument", "brevdato": "dokument", "mottatt": "behandling", "arkivert": "behandling", "forfall": "innhold", "fodselsdato": "innhold"}
-OTHER_ROLE, NO_ROLE = "innhold", "ukjent"
-
-
-def all_dates(text: Column, as_of_year: int) -> Column:
-    """Valid dates of a text written d.m.yyyy, yyyy-mm-dd or ``d. month yyyy``, each once, in order."""
-    dots = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\d.])(\d{1,2}\.\s?\d{1,2}\.\s?\d{4})(?!\d)"), 1), lambda x: F.try_to_date(F.regexp_replace(x, r"\s", ""), "d.M.yyyy"))
-    iso = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)"), 1), lambda x: F.try_to_date(x, "yyyy-MM-dd"))
-    names = "|".join(MONTHS)
-    words = F.regexp_extract_all(F.lower(text), F.lit(rf"(\d{{1,2}}\.? (?:{names}) \d{{4}})"), 1)
-
-    def named(x: Column) -> Column:
-        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(x, r"([a-z]+)", 1))
-        return F.try_to_date(F.concat_ws("-", F.regexp_extract(x, r"(\d{4})$", 1), month.cast("string"), F.regexp_extract(x, r"^(\d+)", 1)), "yyyy-M-d")
-
-    found = F.filter(F.concat(dots, iso, F.transform(words, named)), lambda d: F.year(d).between(1854, as_of_year + 1))
-    return F.array_sort(F.array_distinct(found))
-
-
-def role(kind: Column) -> Column:
-    out = F.when(kind.isNull(), NO_ROLE)
-    for k, v in ROLES.items():
-        out = out.when(kind == k, v)
-    return out.otherwise(OTHER_ROLE)
-
-
 def age(date: Column, as_of: str) -> tuple[Column, Column, Column]:
     """Days, years of 365.25 days to two places, and whether the date is to come."""
     days = F.datediff(F.lit(as_of).cast("date"), date)

@@ -21,16 +21,10 @@ def document_type(text: F.Column) -> F.Column:
 
 def benefit(text: F.Column) -> F.Column:
     low = T.fold(text)
-    hits = [F.when(F.locate(T_fold(b), low) > 0, F.struct(F.locate(T_fold(b), low).alias("p"), F.lit(b).alias("navn"))) for b in BENEFITS]
+    hits = [F.when(F.locate(T.folded(b), low) > 0, F.struct(F.locate(T.folded(b), low).alias("p"), F.lit(b).alias("navn"))) for b in BENEFITS]
     return F.array_min(F.array_compact(F.array(*hits)))["navn"]
 
 
-def T_fold(word: str) -> str:
-    for old, new in (("æ", "a"), ("ae", "a"), ("å", "a"), ("aa", "a"), ("ø", "o"), ("oe", "o")):
-        word = word.replace(old, new)
-    return word
-
-
 def labelled(text: F.Column, label: str, value: str) -> F.Column:
     """The first value after a label that begins a line; null without one."""
     v = F.regexp_extract(text, rf"(?im)^[ \t]*{label}[ \t]*:?[ \t]*({value})", 1)
@@ -52,7 +46,3 @@ def fields(docs: DataFrame) -> DataFrame:
         norwegian_date(labelled(t, "Vedtaksdato", r"\d{1,2}\.\s?\d{1,2}\.\s?\d{4}")).alias("dato"),
         T.amount(F.regexp_replace(rate, r"(?i)^kr[ \t]*", "")).alias("dagsats"), F.array_join(T.statutes(t), ",").alias("hjemler"),
     )
-
-
-def redact_emails(text: F.Column) -> F.Column:
-    return F.regexp_replace(text, T.EMAIL, "[SLADDET epost]")

@@ -51,12 +51,6 @@ def greedy(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode(fold).alias("x")).select("doc_id", "x.start", "x.slutt")
 
 
-def islands(rows: DataFrame, by: str, order: str, new: F.Column) -> DataFrame:
-    """Numbers runs of rows; ``new`` marks the first row of a run."""
-    w = Window.partitionBy(by).orderBy(order)
-    return rows.withColumn("nr", F.sum(F.when(new | (F.row_number().over(w) == 1), 1).otherwise(0)).over(w).cast("int"))
-
-
 def best_pages(scored: DataFrame, most: int = 3, least: float = 1.5) -> DataFrame:
     """Up to ``most`` pages per question by score and page; where none or all reach ``least``, every page."""
     q = Window.partitionBy("sporsmal")

@@ -9,29 +9,6 @@ from sparkdossier.plans.queries import _TEXTS, query
 from sparkdossier.sources import tables as S
 from sparkdossier.sources.tables import bare, derived, table
 
-_MONTH = "CASE month(o_orderdate) " + " ".join(f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate(D.MONTHS)) + " END"
-_DATED = (
-    "SELECT o_orderkey AS doc_id, 'Dato ' || CAST(day(o_orderdate) AS STRING) || '. ' || " + _MONTH + " || ' ' || CAST(year(o_orderdate) AS STRING) || ', frist ' || "
-    "CAST(year(o_orderdate) + 1 AS STRING) || '-' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '-01, ugyldig 31.02.2001 og sak 1.2.3.2004' AS tekst FROM {orders}"
-)
-
-
-@query(
-    "SELECT o_orderkey AS doc_id, CAST(CAST(o_orderdate AS DATE) AS STRING) || ',' || CAST(year(o_orderdate) + 1 AS STRING) || '-' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '-01' AS datoer FROM orders"
-)
-def d1_dates(spark, d):
-    dates = D.all_dates(F.col("tekst"), 2100)
-    return derived(spark, d, _DATED).select("doc_id", F.array_join(F.transform(dates, lambda x: x.cast("string")), ",").alias("datoer"))
-
-
-_KINDS = "CASE o_orderkey % 8 WHEN 0 THEN 'vedtaksdato' WHEN 1 THEN 'brevdato' WHEN 2 THEN 'mottatt' WHEN 3 THEN 'arkivert' WHEN 4 THEN 'forfall' WHEN 5 THEN 'fodselsdato' WHEN 6 THEN 'annet' END"
-
-
-@query(f"SELECT o_orderkey AS doc_id, CASE WHEN k IS NULL THEN 'ukjent' WHEN k IN ('vedtaksdato', 'brevdato') THEN 'dokument' WHEN k IN ('mottatt', 'arkivert') THEN 'behandling' ELSE 'innhold' END AS rolle FROM (SELECT o_orderkey, {_KINDS} AS k FROM orders)")
-def d7_roles(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), D.role(F.expr(_KINDS)).alias("rolle"))
-
-
 @query("SELECT o_orderkey AS doc_id, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') AS INTEGER) AS dager, round(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') / 365.25, 2) + 0.0 AS aar, CAST(o_orderdate AS DATE) > DATE '1998-01-01' AS fremtid FROM orders")
 def d8_age(spark, d):
     days, years, future = D.age(F.col("o_orderdate").cast("date"), "1998-01-01")

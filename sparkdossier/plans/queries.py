@@ -371,16 +371,6 @@ def i2_person_ids(spark, d):
     return derived(spark, d, S.NUMBERS).where(I.valid_person(F.col("fnr"))).select("doc_id", "fnr")
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){0,4}\\.[A-Za-z]{2,24}'))) AS INTEGER) AS antall FROM documents WHERE contains(text, '@')")
-def i12_emails(spark, d):
-    return table(spark, d, "documents").where(F.col("text").contains("@")).select("doc_id", F.size(T.emails(F.col("text"))).alias("antall"))
-
-
-@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){0,4}\\.[A-Za-z]{2,24}', '[SLADDET epost]', 'g') AS tekst FROM documents WHERE contains(text, '@')")
-def i13_redacted(spark, d):
-    return table(spark, d, "documents").where(F.col("text").contains("@")).select("doc_id", extraction.redact_emails(F.col("text")).alias("tekst"))
-
-
 def _words(ws) -> str:
     return " + ".join(f"(length(t) - length(replace(t, ' {w} ', ''))) // {len(w) + 2}" for w in ws)
 
@@ -497,9 +487,3 @@ _ANSWERS = "SELECT o_orderkey AS id, 'Svar: kr ' || CAST(o_orderkey % 1000 AS ST
 def z1_unsupported_numbers(spark, d):
     a = derived(spark, d, _ANSWERS)
     return spans.unsupported_numbers(a.select("id", "svar"), a.select("id", "kilde"))
-
-
-@query("SELECT o_orderkey AS id, CAST(o_orderkey // 1000 * 1000 + o_orderkey % 1000 AS DOUBLE) + 0.25 AS belop FROM orders")
-def b1_amounts(spark, d):
-    raw = F.concat(F.expr("CAST(o_orderkey div 1000 AS STRING)"), F.lit(" "), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(",25"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.amount(raw).alias("belop"))

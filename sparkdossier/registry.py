@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sparkdossier.plans.contact_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.more_queries  # noqa: F401  registers its queries
+import sparkdossier.plans.scan_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.scoring_queries  # noqa: F401  registers its queries
 from sparkdossier.plans.queries import ORACLE, QUERIES
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sparkdossier.functions import identifiers as I
 from sparkdossier.functions import text as T
-from sparkdossier.operators import evaluation, extraction, logs, spans
+from sparkdossier.operators import evaluation, logs, spans
 from sparkdossier.operators.graph import connected_components
 from sparkdossier.streaming import events
 
@@ -40,11 +40,6 @@ def test_text_scalars(spark):
     assert r.g == "norsk" and r.h == 0.0
 
 
-def test_email_redaction(spark):
-    r = one(spark, a=extraction.redact_emails(F.lit("skriv til a.b@c-d.no, ikke a@b")))
-    assert r.a == "skriv til [SLADDET epost], ikke a@b"
-
-
 def test_job_moves(spark):
     r = one(spark, a=logs.legal_move(F.lit("kø"), F.lit("Ferdig")), b=logs.legal_move(F.lit("ferdig"), F.lit("feil")), c=logs.legal_move(F.lit("pågår"), F.lit("avbrytes")))
     assert (r.a, r.b, r.c) == (False, False, True)
