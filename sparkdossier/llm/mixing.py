@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from sparkdossier.session import cut
 
 LEVELS = ("domain", "language", "origin")
+#: Budgets are broadcast up to so many leaves; beyond, rows are joined to them by a shuffle that can be split.
+BROADCAST_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -92,15 +94,19 @@ def _drawn(docs: DataFrame, mix: Mix, *texts: F.Column) -> DataFrame:
     d = cut(counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("n")))
     more = [c for c in d.columns if c not in ("doc_id", *LEVELS, "tokens", "n")]
     leaves = d.groupBy(*LEVELS).agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens")).where("tokens > 0")
-    plan = budgets(leaves, mix).select(*LEVELS, F.expr("take div tokens").alias("whole"), F.expr("take % tokens").alias("rest"))
+    plan = cut(budgets(leaves, mix).select(*LEVELS, F.expr("take div tokens").alias("whole"), F.expr("take % tokens").alias("rest")))
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan
 
     # The order key's first three hex digits deal a leaf into 4096 slices; sums of slices find the one in which the
     # prefix ends, so that no leaf is ever sorted or summed in one task.
     key = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     placed = d.join(plan, list(LEVELS)).withColumn("key", key).withColumn("slice", F.substring("key", 1, 3)).withColumn("sum", F.col("tokens") * F.col("n"))
-    slices = placed.groupBy(*LEVELS, "slice").agg(F.sum("sum").alias("slice_tokens"))
-    up = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("before_slice", F.coalesce(F.sum("slice_tokens").over(up), F.lit(0))).drop("slice_tokens")
+    # They are summed in two steps, 256 blocks of 16 slices, so that no window of a leaf holds more than that.
+    slices = placed.groupBy(*LEVELS, F.substring("slice", 1, 2).alias("block"), "slice").agg(F.sum("sum").alias("slice_tokens"))
+    earlier = lambda by, order: F.coalesce(F.sum("slice_tokens").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = slices.groupBy(*LEVELS, "block").agg(F.sum("slice_tokens").alias("slice_tokens")).withColumn("before_block", earlier(LEVELS, "block")).drop("slice_tokens")
+    slices = slices.withColumn("before_slice", earlier((*LEVELS, "block"), "slice")).join(blocks, [*LEVELS, "block"])
+    slices = slices.select(*LEVELS, "slice", (F.col("before_slice") + F.col("before_block")).alias("before_slice"))
     inside = Window.partitionBy(*LEVELS, "slice").orderBy("key", "doc_id", "tokens", *more).rowsBetween(Window.unboundedPreceding, -1)
     x = placed.join(slices, [*LEVELS, "slice"]).withColumn("before", F.col("before_slice") + F.coalesce(F.sum("sum").over(inside), F.lit(0)))
     # Of n rows side by side those that begin before the prefix ends are taken; where it ends within one, that one in part.
