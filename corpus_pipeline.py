@@ -22,28 +22,38 @@ def tokenizer_path() -> str:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality classifier rejects; it learns from the labelled rows of the input documents."""
+    """Drops what the quality classifier rejects; it learns from the labelled rows of the input documents.
+
+    A null text is scored as an empty one. Repeated rows are judged each, equal texts alike. Without labels all stay or none.
+    """
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.keep_quality_documents(docs, model)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what a quality rule rejects."""
+    """Drops what a quality rule rejects: a null or empty text has too few words; repeated rows are judged each."""
     return quality_rules.keep_quality(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies, that with the least doc_id."""
+    """Keeps one document of each class of near copies, that with the least doc_id.
+
+    Of rows that repeat a doc_id and a text one stays; a doc_id on texts of several classes stays with each. Texts without
+    words are a class for each doc_id and text, and rows with a null doc_id stay, all of them.
+    """
     return jaccard_join.keep_one_per_class(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents, some in several passes, so that tokens meet the target weights."""
+    """Draws documents, some in several passes, so that tokens meet the target weights; a leaf's last one up to its budget.
+
+    Null languages and sources are nodes of their own. Rows that repeat a doc_id and a text are drawn as often as all of them.
+    """
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lays the drawn documents out in sequences."""
+    """Lays the drawn documents out in sequences: each row whole, a null text as its end id alone; an empty table gives none."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
