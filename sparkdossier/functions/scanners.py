@@ -138,7 +138,9 @@ def _dates(text: str, as_of_year: int) -> list[dict]:
 
 
 def _numbers(text: str, length: int, guard: bool) -> list[dict]:
-    taken = [(s, e) for s, e, *_ in (*date_hits(text, 9998), *amount_hits(text))] if guard else []
+    taken = []
+    if guard and number_hits(text, int(length), []):  # most texts have no candidate
+        taken = [(s, e) for s, e, *_ in (*date_hits(text, 9998), *amount_hits(text))]
     return [{"start": s, "slutt": e, "tall": d, "foran": _before(text, s, 28)} for s, e, d in number_hits(text, int(length), taken)]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdossier.operators.graph import connected_components
+from sparkdossier.session import cut
 
 # Labelled amounts that are compared, and type pairs of which the second cannot come first.
 AMOUNTS = ("dagsats", "manedsbelop", "utbetalt_belop", "tilbakebetalingsbelop")
@@ -80,6 +81,8 @@ def unequal_amounts(cased: DataFrame) -> DataFrame:
 
 
 def contradictions(cased: DataFrame) -> DataFrame:
+    """Findings of the three checks, over what they need of the cases, written once."""
+    cased = cut(cased.select("sak", "fnr", "type", "dato", "behandlingsdato", *AMOUNTS))
     return several_persons(cased).unionByName(impossible_order(cased)).unionByName(unequal_amounts(cased))
 
 

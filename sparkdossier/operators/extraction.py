@@ -12,15 +12,14 @@ TYPES = (("klagevedtak", "klagevedtak"), ("klage", "klage"), ("vedtak", "vedtak"
 BENEFITS = ("dagpenger", "sykepenger", "foreldrepenger", "uføretrygd")
 
 
-def document_type(text: F.Column) -> F.Column:
-    """The type whose word comes first in the title, the longest at one place; null without one."""
-    title = F.lower(F.array_join(T.title_lines(text), "\n"))
+def document_type(title: F.Column) -> F.Column:
+    """The type whose word comes first in a title in lower case, the longest at one place; null without one."""
     hits = [F.when(F.locate(w, title) > 0, F.struct(F.locate(w, title).alias("p"), F.lit(-len(w)).alias("n"), F.lit(code).alias("kode"))) for w, code in TYPES]
     return F.array_min(F.array_compact(F.array(*hits)))["kode"]
 
 
-def benefit(text: F.Column) -> F.Column:
-    low = T.fold(text)
+def benefit(low: F.Column) -> F.Column:
+    """The benefit whose name comes first in a folded text; null without one."""
     hits = [F.when(F.locate(T.folded(b), low) > 0, F.struct(F.locate(T.folded(b), low).alias("p"), F.lit(b).alias("navn"))) for b in BENEFITS]
     return F.array_min(F.array_compact(F.array(*hits)))["navn"]
 
@@ -41,8 +40,10 @@ def fields(docs: DataFrame) -> DataFrame:
     """One row per document of the fields that a case needs."""
     t = F.col("tekst")
     rate = labelled(t, "Dagsats", r"(?:kr[ \t]*)?\d[\d .]{0,20}(?:,\d{2})?(?![\d,]*[ \t]*(?:%|prosent|pst))")
+    # Title and folded text stand in a projection of their own, so that each is computed once a row.
+    docs = docs.withColumns({"x_tittel": F.lower(F.array_join(T.title_lines(t), "\n")), "x_lav": T.fold(t)})
     return docs.select(
-        "doc_id", document_type(t).alias("type"), benefit(t).alias("ytelse"), labelled(t, "Saksnummer", r"\d{5,9}").alias("saksnummer"),
+        "doc_id", document_type(F.col("x_tittel")).alias("type"), benefit(F.col("x_lav")).alias("ytelse"), labelled(t, "Saksnummer", r"\d{5,9}").alias("saksnummer"),
         norwegian_date(labelled(t, "Vedtaksdato", r"\d{1,2}\.\s?\d{1,2}\.\s?\d{4}")).alias("dato"),
         T.amount(F.regexp_replace(rate, r"(?i)^kr[ \t]*", "")).alias("dagsats"), F.array_join(T.statutes(t), ",").alias("hjemler"),
     )

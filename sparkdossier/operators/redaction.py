@@ -59,12 +59,11 @@ def redact(docs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
 
     A text without findings, empty or null, stays as it is, with an empty map. ``doc_id`` names one row.
     """
-    spans = redacted_spans(docs, kinds)
-    counts = spans.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("antall"))
-    held = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "slutt", "type"))).alias("omraader")).join(counts, "doc_id")
+    held = redacted_spans(docs, kinds).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "slutt", "type"))).alias("omraader"))
     out = docs.select("doc_id", "tekst").join(held, "doc_id", "left")
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    return out.select("doc_id", scanners.replace_spans("tekst", "omraader").alias("sladdet"), F.coalesce("antall", none).alias("antall"))
+    found = F.coalesce(F.col("omraader.type"), F.array().cast("array<string>"))
+    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(found)), lambda t: F.struct(t, F.size(F.filter(found, lambda x: x == t)).cast("long"))))
+    return out.select("doc_id", scanners.replace_spans("tekst", "omraader").alias("sladdet"), counts.alias("antall"))
 
 
 def suspects(docs: DataFrame, spans: DataFrame) -> DataFrame:
