@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdossier.llm import language_id, license_scan, media, mixing, packing, quality_classifier, quality_rules, toxicity, warc
+from sparkdossier.llm import language_id, license_scan, media, mixing, packing, quality_classifier, quality_rules, spelling_variants, toxicity, vector_codes, warc
 from sparkdossier.llm.jaccard_join import jaccard_classes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
-ORACLE |= {"op1_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL, "op4_mixing": mixing.plan_sql(), "op5_license_scan": license_scan.SQL}
+ORACLE |= {"op1_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL, "op4_mixing": mixing.plan_sql(), "op5_license_scan": license_scan.SQL, "op12_vector_codes": vector_codes.codes_sql()}
