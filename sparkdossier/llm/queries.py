@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdossier.llm import language_id, license_scan, media, mixing, packing, quality_classifier, quality_rules, spelling_variants, toxicity, vector_codes, warc
+from sparkdossier.llm import language_id, license_scan, media, mixing, packing, quality_classifier, quality_rules, spelling_variants, toxicity, url_filters, vector_codes, warc
 from sparkdossier.llm.jaccard_join import jaccard_classes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
