@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, sf, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = QUERIES[name](spark, sf), db.execute(ORACLE[name])
     columns = [c[0] for c in want.description]
