@@ -3,8 +3,9 @@
 Every run of two words of a text is hashed and joined to the positions of template phrases. A match, whose words are compared
 themselves, at text position p and template position q votes for the diagonal p - q. Votes are gathered by text, template and
 diagonal as a set of template positions; diagonals of a template that lie close to each other (words put in or left out) are
-merged, and so are their sets: a position that several diagonals matched counts once. A merged span stands if enough of the
-template's positions are in its set and it is not much longer than the template. Base phrases allow no gap and no missing word.
+merged, and so are their sets: a position that several diagonals matched counts once. A merged island stands if enough of the
+template's positions are in the set of its best window, the first of those not much longer than the template that has most.
+Base phrases allow no gap and no missing word.
 
 Runs of common words alone find nothing: a text takes part from the first run that has a long word or a license's name, and
 so does a diagonal.
@@ -12,6 +13,7 @@ so does a diagonal.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -78,6 +80,15 @@ def template_table(spark: SparkSession, templates: tuple[Template, ...] = TEMPLA
     return spark.sql(rows).withColumn("gram_hash", F.xxhash64("gram"))
 
 
+def window_unit(templates: tuple[Template, ...] = TEMPLATES) -> int:
+    """A common multiple of how far apart a span's first and last run may begin, for each template: positions are measured in
+    shares of it, so that one window fits all templates."""
+    unit = math.lcm(*(STRETCH * len(x.words.split()) - K for x in templates))
+    if unit > 1 << 31:
+        raise ValueError("the templates' lengths have no common multiple below 2^31")
+    return unit
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans`` for each document.
 
@@ -111,12 +122,21 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     line = Window.partitionBy(*doc, "t").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(line) > F.when(F.col("base"), 0).otherwise(GAP)) | F.lag("diagonal").over(line).isNull()
     merged = votes.withColumn("far", far.cast("int")).withColumn("island", F.sum("far").over(line))
-    spans = merged.groupBy(*doc, "t", "island").agg(
-        F.bit_count(F.bit_or("places")).alias("votes"), F.min("p0").alias("p0"), F.max("p1").alias("p1"), F.min("diagonal").alias("diagonal"),
-        F.max("runs").alias("runs"), F.max("span").alias("span"), F.max("label").alias("label"), F.max("base").alias("base"),
+    # An island may chain many notices and repeats of their words: it is judged by its best window, one that is as wide as a
+    # notice may be. A diagonal and its set of positions give back where each match stands.
+    places = F.expr("filter(sequence(0, 62), q -> (shiftrightunsigned(places, q) & 1) = 1)")
+    match = merged.select(*doc, "t", "island", "diagonal", "runs", "label", "base", "span", F.explode_outer(places).alias("q"))
+    match = match.withColumn("p", F.col("diagonal") + F.col("q"))
+    unit = window_unit(templates)
+    window = Window.partitionBy(*doc, "t", "island").orderBy(F.expr(f"p * ({unit}L div ({STRETCH} * span - {K}))")).rangeBetween(-unit, 0)
+    match = match.withColumn("seen", F.bit_count(F.bit_or(F.expr("shiftleft(1L, q)")).over(window))).withColumn("p0", F.min("p").over(window))
+    spans = match.groupBy(*doc, "t", "island").agg(
+        F.max(F.struct("seen", (-F.col("p")).alias("p1"), "p0")).alias("best"), F.min("diagonal").alias("diagonal"),
+        F.max("runs").alias("runs"), F.max("label").alias("label"), F.max("base").alias("base"),
     )
+    spans = spans.select("*", F.col("best.seen").alias("votes"), F.col("best.p0").alias("p0"), (-F.col("best.p1")).alias("p1"))
     coverage = F.col("votes") / F.col("runs")
-    stands = F.when(F.col("base"), F.col("votes") == F.col("runs")).otherwise((coverage >= COVERAGE) & (F.col("p1") - F.col("p0") + K <= STRETCH * F.col("span")))
+    stands = F.when(F.col("base"), F.col("votes") == F.col("runs")).otherwise(coverage >= COVERAGE)
     spans = spans.withColumn("coverage", coverage).withColumn("ok", F.coalesce(stands, F.lit(False)))
     base = F.col("ok") & F.col("base")
     names = lambda when: F.array_join(F.sort_array(F.collect_set(F.when(when, F.col("label")))), ",")
@@ -141,8 +161,10 @@ v AS (SELECT doc_id, t, p - q AS diagonal, list(DISTINCT q) AS qs, min(p) AS p0,
       FROM hit GROUP BY doc_id, t, p - q HAVING bool_or(telling)),
 f AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER u <= CASE WHEN base THEN 0 ELSE {GAP} END THEN 0 ELSE 1 END AS far FROM v WINDOW u AS (PARTITION BY doc_id, t ORDER BY diagonal)),
 i AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS island FROM f),
-s AS (SELECT doc_id, t, island, len(list_distinct(flatten(list(qs)))) AS votes, min(p0) AS p0, max(p1) AS p1, min(diagonal) AS diagonal, max(runs) AS runs, max(span) AS span, max(label) AS label, bool_or(base) AS base FROM i GROUP BY ALL),
-k AS (SELECT *, votes / runs AS coverage FROM s WHERE CASE WHEN base THEN votes = runs ELSE votes / runs >= {COVERAGE} AND p1 - p0 + {K} <= {STRETCH} * span END)
+m AS (SELECT doc_id, t, island, diagonal, runs, span, label, base, unnest(qs) AS q, diagonal + unnest(qs) AS p FROM i),
+e AS (SELECT *, bit_count(bit_or(CAST(1 AS BIGINT) << CAST(q AS INTEGER)) OVER (PARTITION BY doc_id, t, island ORDER BY p RANGE BETWEEN {STRETCH} * span - {K} PRECEDING AND CURRENT ROW)) AS seen FROM m),
+s AS (SELECT doc_id, t, island, max(seen) AS votes, min(diagonal) AS diagonal, max(runs) AS runs, max(label) AS label, bool_or(base) AS base FROM e GROUP BY ALL),
+k AS (SELECT *, votes / runs AS coverage FROM s WHERE CASE WHEN base THEN votes = runs ELSE votes / runs >= {COVERAGE} END)
 SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE base) AS BIGINT) AS n_base,
        CAST(min(diagonal) FILTER (WHERE base) AS BIGINT) AS first_word, CAST(max(diagonal) FILTER (WHERE base) AS BIGINT) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,

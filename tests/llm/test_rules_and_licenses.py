@@ -92,3 +92,50 @@ def test_sample_of_one_text_many_times(spark):
     docs = docs_of(spark, [(7, "one text", "en", "s")] * 5000)
     order = quality_rules.order_rules(docs, sample_rows=100)
     assert {r.name: share for r, _, share in order}["few_words"] == 1.0
+
+
+def plain_labels(text):
+    """Labels by trying every window of every island of every template."""
+    import re
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
+    out = set()
+    for x in license_scan.TEMPLATES:
+        t = x.words.split()
+        runs = [f"{a} {b}" for a, b in zip(t, t[1:])]
+        by = {}
+        for p, gram in enumerate(pairs):
+            for q, run in enumerate(runs):
+                if gram == run:
+                    by.setdefault(p - q, set()).add((p, q))
+        telling = lambda d: any(x.base or any(len(v) >= license_scan.LONG_WORD or v in license_scan.NAMES for v in runs[q].split()) for _, q in by[d])  # noqa: E731, B023
+        islands = []
+        for d in sorted(d for d in by if telling(d)):
+            if islands and d - islands[-1][-1] <= (0 if x.base else license_scan.GAP):
+                islands[-1].append(d)
+            else:
+                islands.append([d])
+        for island in islands:
+            hits = [h for d in island for h in by[d]]
+            wide = license_scan.STRETCH * len(t) - license_scan.K
+            best = max(len({q for p, q in hits if end - wide <= p <= end}) for end, _ in hits)
+            if best >= (1.0 if x.base else license_scan.COVERAGE) * len(runs):
+                out.add(x.label)
+    return ",".join(sorted(out))
+
+
+def test_chains_are_cut_at_their_best_window(spark):
+    import random
+
+    from llm_helpers import docs_of
+
+    r = random.Random(8)
+    words = ["licensed", "under", "the", "gnu", "lesser", "general", "public", "license", "mozilla", "x", "terms", "of"]
+    notice = "licensed under the gnu lesser general public license"
+    texts = [notice + " public license" * 6, "public license " * 9 + notice, "the gnu " * 30 + notice + " general public" * 40]
+    texts += [" ".join(r.choice([notice, r.choice(words), "public license", "under the gnu", "lesser general"]) for _ in range(r.randrange(2, 40))) for _ in range(60)]
+    texts += [" ".join(r.choice(words) for _ in range(400)) for _ in range(20)]
+    got = {x.doc_id: x for x in license_scan.scan_licenses(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert all(got[i].labels == "gpl,lgpl" for i in range(3))
+    assert [got[i].labels for i in range(len(texts))] == [plain_labels(t) for t in texts]
