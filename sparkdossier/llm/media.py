@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,16 +145,23 @@ def _run(data, a: int, z: int, head: dict, base: int) -> tuple[dict, int]:
     if flags & 4:
         first, at = struct.unpack_from(">I", data, at)[0], at + 4
     fields = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
-    table = _ints(data, at, n * len(fields), z).reshape(n, len(fields)) if fields else np.zeros((n, 0), np.int64)
-    value = {name: table[:, fields.index(name)] if name in fields else np.full(n, head.get(name, 0), np.int64) for name in ("duration", "size", "flags")}
-    if first is not None and n and "flags" not in fields:
-        value["flags"] = value["flags"].copy()
-        value["flags"][0] = first
-    begin = base + np.cumsum(value["size"]) - value["size"]
-    end = base + int(value["size"].sum())
+    # What the run says is held against the file before anything of that length is made.
+    if "size" not in fields and n and not 0 < head.get("size", 0) * n <= len(data) - max(base, 0):
+        raise Damaged("a run of samples ends beyond the file")
+    table = _ints(data, at, n * len(fields), z).reshape(n, len(fields)) if fields else None
+    sizes = table[:, fields.index("size")] if "size" in fields else np.full(n, head.get("size", 0), np.int64)
+    ticks = int(table[:, fields.index("duration")].sum()) if "duration" in fields else n * head.get("duration", 0)
+    if "flags" in fields:
+        sync = np.flatnonzero(table[:, fields.index("flags")] & NOT_SYNC == 0)
+    else:
+        own = [head.get("flags", 0) if first is None else first][:n]
+        sync = np.arange(1, n) if n > 1 and not head.get("flags", 0) & NOT_SYNC else np.zeros(0, np.int64)
+        sync = np.concatenate(([0] if own and not own[0] & NOT_SYNC else [], sync)).astype(np.int64)
+    begin = base + np.cumsum(sizes) - sizes
+    end = base + int(sizes.sum())
     if end > len(data) or base < 0:
         raise Damaged("a run of samples ends beyond the file")
-    return {"sizes": value["size"], "offsets": begin, "ticks": int(value["duration"].sum()), "sync": np.flatnonzero(value["flags"] & NOT_SYNC == 0)}, end
+    return {"sizes": sizes, "offsets": begin, "ticks": ticks, "sync": sync}, end
 
 
 def _read(data) -> list[dict]:
@@ -205,10 +213,10 @@ def _read(data) -> list[dict]:
             t["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1") if z - a >= 16 else ""
         elif kind == b"stts":
             pairs = _ints(data, a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0], z).reshape(-1, 2)
-            t["times"] = int((pairs[:, 0] * pairs[:, 1]).sum())
+            t["timed"], t["times"] = int(pairs[:, 0].sum()), sum(n * d for n, d in pairs.tolist())
         elif kind == b"ctts":
             pairs = _ints(data, a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0], z, ">i4" if data[a] == 1 else ">u4").reshape(-1, 2)
-            t["shifts"] = np.repeat(pairs[:, 1], np.maximum(pairs[:, 0], 0))
+            t["shifts"] = int((pairs[:, 0] & 0xFFFFFFFF).sum())
         elif kind == b"elst":
             t["edits"] = _edits(data, a, z)
         elif kind == b"stss":
@@ -236,6 +244,9 @@ def _lay_out(t: dict, movie: int, end: int) -> None:
             raise Damaged(f"a track has no {name}")
     if not t["timescale"]:
         raise Damaged("a track's timescale is 0")
+    for name, what in (("shifts", "time shifts"), ("timed", "durations")):
+        if t.get(name, len(t.get("sizes", ()))) != len(t.get("sizes", ())):
+            raise Damaged(f"{what} are not as many as samples")
     sizes, chunks, runs = (t.get(k, np.zeros(0, np.int64)) for k in ("sizes", "chunks", "runs"))
     runs = runs.reshape(-1, 3)
     firsts = runs[:, 0]
@@ -258,8 +269,6 @@ def _lay_out(t: dict, movie: int, end: int) -> None:
         sizes, offsets, ticks = np.concatenate((sizes, run["sizes"])), np.concatenate((offsets, run["offsets"])), ticks + run["ticks"]
     if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > end):
         raise Damaged("a sample lies beyond the file")
-    if "shifts" in t and len(t["shifts"]) != len(t.get("sizes", ())):
-        raise Damaged("time shifts are not as many as samples")
     t["sizes"], t["offsets"], t["sync"] = sizes, offsets, sync
     t["duration"] = t["duration"] or t.get("times", 0)
     t["duration"] += ticks
@@ -302,7 +311,7 @@ def feature(track: dict) -> str:
     keys = keyframes(track)
     ranges = zlib.crc32(np.array(keys, "<i8").tobytes())
     ms = 1000 * track["duration"] // track["timescale"]
-    return f"codec={track['codec'].strip()};handler={track['handler']};duration_ms={ms};samples={len(track['sizes'])};keyframes={len(keys)};first_key={keys[0][0]}+{keys[0][1]};ranges={ranges:08x}"
+    return f"codec={track['codec'].strip()};handler={track['handler']};duration_ms={ms};samples={len(track['sizes'])};keyframes={len(keys)};first_key={"+".join(map(str, keys[0])) if keys else "none"};ranges={ranges:08x}"
 
 
 def pad(raw: bytes) -> bytes:
@@ -310,11 +319,22 @@ def pad(raw: bytes) -> bytes:
     return raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME)
 
 
+#: Bytes of texts or containers that are worked on at once; a larger one is worked on alone.
+BATCH_BYTES = 8 << 20
+
+
 def _batches(make):
+    """Runs ``make`` on pieces of a batch that hold about ``BATCH_BYTES`` in their second column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                yield make(batch.slice(at, 500))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                held = ends[at - 1] if at else 0
+                end = min(max(at + 1, int(np.searchsorted(ends, held + BATCH_BYTES, "right"))), at + 500)
+                yield make(batch.slice(at, end - at))
+                at = end
 
     return run
 
@@ -368,7 +388,16 @@ def describe_media(media: DataFrame) -> DataFrame:
 def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
     for data in batch.column(1).to_pylist():
-        track = tracks(data)[0]
+        if data is None:
+            rows.append((None,) * 7)
+            continue
+        try:
+            track = next(iter(tracks(data)), None)
+            if track is None:
+                raise Damaged("no track")
+        except Damaged as e:
+            rows.append((None, None, None, None, len(data), hashlib.sha256(data).hexdigest(), f"error={e}"))
+            continue
         got = samples(data, track)
         n = len(got) - FRAME + len(got[-FRAME:].rstrip(b"\xff"))  # no UTF-8 text holds a byte 255
         rows.append((n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(track)))
@@ -380,7 +409,8 @@ def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
 def digest_media(media: DataFrame) -> DataFrame:
     """Digests of the payload that is read back from each container by its sample table, of the container, and a feature.
 
-    Repeated rows and null ids give a row each; equal texts give equal values.
+    Repeated rows and null ids give a row each; equal texts give equal values. A null container has nulls alone; one that is
+    damaged or has no track has nulls for the payload and says why in ``feature``.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return media.select("doc_id", "media").mapInArrow(_batches(_digest), schema)

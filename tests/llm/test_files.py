@@ -3,6 +3,7 @@ import random
 import struct
 import zlib
 
+import pytest
 import zstandard
 from sparkdossier.llm import media, warc
 
@@ -157,3 +158,38 @@ def test_damaged_containers_are_rows_with_an_error(spark):
     got = {x.doc_id: x for x in media.describe_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
     assert len(got) == len(rows) and got[0].codecs == ["raw "] and got[0].error is None and got[1].codecs == [] and got[1].error is None
     assert all(x.codecs == [] for x in got.values() if x.error) and all(got[len(rows) - i].error for i in (1, 2, 3, 4))
+
+
+def test_counts_are_held_against_the_file_before_they_are_used(spark):
+    import resource
+
+    whole = media.build(media.pad(b"abc"))
+    boxes = {path[-1]: (a, z) for path, a, z in media.walk(whole)}
+
+    def with_box(kind, content):
+        """The container with a box put into the sample table, its parents' sizes made to fit."""
+        extra, out = media.box(kind, content), bytearray(whole)
+        at = boxes[b"stbl"][1]
+        out[at:at] = extra
+        for parent in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+            a = boxes[parent][0] - 8
+            out[a : a + 4] = (int.from_bytes(out[a : a + 4], "big") + len(extra)).to_bytes(4, "big")
+        return bytes(out)
+
+    many = (4_000_000_000).to_bytes(4, "big")
+    cases = [with_box(b"ctts", bytes(4) + (1).to_bytes(4, "big") + many + bytes(4)), with_box(b"stts", bytes(4) + (1).to_bytes(4, "big") + many + many)]
+    # A fragment whose run names four thousand million samples, of a constant size and of none.
+    for size in (0, 1):
+        tfhd = media.box(b"tfhd", (0x10).to_bytes(4, "big") + (1).to_bytes(4, "big") + size.to_bytes(4, "big"))
+        trun = media.box(b"trun", bytes(4) + many)
+        cases.append(whole + media.box(b"moof", media.box(b"traf", tfhd, trun)))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for data in cases:
+        with pytest.raises(media.Damaged):
+            media.tracks(data)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # kB
+    rows = spark.createDataFrame([(1, None), (2, cases[0]), (3, b""), (4, whole), (5, whole[:40])], "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.digest_media(rows).collect()}
+    assert len(got) == 5 and got[1].media_bytes is None and got[1].feature is None
+    assert got[4].n_bytes == 3 and got[4].payload_bytes == 576
+    assert all(got[i].payload_sha256 is None and got[i].feature.startswith("error=") for i in (2, 3, 5))
