@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 
 def rows_of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each ``(doc_id, text_hash, n)`` of ``keys``; ``n`` is how many rows hold that id and text.
+    """One row of ``docs`` for each ``(doc_id, text_hash)`` of ``keys``: of rows that repeat both the least by a hash of its columns.
 
-    Texts are shuffled once, for the join. Only where ``n`` is more than 1 is a row chosen (the least by a hash of its columns),
-    by an aggregate that each mapper begins, so that no number of repeated rows meets in one task.
+    The row is chosen by an aggregate that each mapper begins, before anything is joined, so a mapper sends one row for an id
+    and text however often they are repeated. The keys are joined on the same two columns, so texts are shuffled once.
     """
-    k = keys.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), F.col("n").alias("key_n"))
-    row = docs.select(F.struct("*").alias("key_row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"))
-    on = (F.col("row_id") == F.col("key_id")) & (F.col("row_hash") == F.col("key_hash"))
-    once = row.join(k.where("key_n = 1"), on, "left_semi").select("key_row.*")
-    plain = [F.col(f"key_row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    again = row.join(k.where("key_n > 1"), on).groupBy("row_id", "row_hash").agg(F.min_by("key_row", F.xxhash64(*plain)).alias("key_row"))
-    return once.unionByName(again.select("key_row.*"))
+    k = keys.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
+    row = docs.select(F.struct("*").alias("key_row"), F.col("doc_id").cast("long").alias("key_id"), F.xxhash64(F.col("text").cast("string")).alias("key_hash"))
+    plain = [F.col(f"key_row.`{f.name}`") for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = row.groupBy("key_id", "key_hash").agg(F.min_by("key_row", F.xxhash64(*plain) if plain else F.lit(0)).alias("key_row"))
+    return one.join(k, ["key_id", "key_hash"], "left_semi").select("key_row.*")

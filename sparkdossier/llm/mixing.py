@@ -83,6 +83,24 @@ def _leaf(mix: Mix) -> list[F.Column]:
     return [F.expr(mix.domain_sql).alias("domain"), F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("origin")]
 
 
+def slice_digits(rows: F.Column) -> F.Column:
+    """Hex digits that deal so many rows into slices of about 50,000, three at least."""
+    return F.greatest(F.lit(3), F.ceil(F.log(16.0, F.greatest(rows, F.lit(1)) / 50_000)).cast("int"))
+
+
+def repeated(rows: DataFrame, times: str, number: str = "mix_i", few: int = 256) -> DataFrame:
+    """Each row as often as its column ``times`` says, numbered from 1.
+
+    More than ``few`` are made in parts of ``few``, dealt anew, so that neither an array nor a task holds all of a row's repeats.
+    """
+    small = rows.where(f"{times} between 1 and {few}").withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    parts = rows.where(f"{times} > {few}").withColumn("mix_part_of", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {few}"))))
+    parts = parts.repartition("mix_part_of", times)
+    first, last = F.col("mix_part_of") * few + 1, F.least(F.col(times), (F.col("mix_part_of") + 1) * few)
+    big = parts.withColumn(number, F.explode(F.sequence(first, last))).drop("mix_part_of")
+    return small.unionByName(big)
+
+
 def _drawn(docs: DataFrame, mix: Mix, *texts: F.Column) -> DataFrame:
     """One row per leaf, doc_id, token count (and text): ``n`` rows of it, whole passes, and what the prefix takes of them.
 
@@ -93,16 +111,16 @@ def _drawn(docs: DataFrame, mix: Mix, *texts: F.Column) -> DataFrame:
     counted = docs.select("doc_id", *_leaf(mix), token_count().alias("tokens"), *texts)
     d = cut(counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("n")))
     more = [c for c in d.columns if c not in ("doc_id", *LEVELS, "tokens", "n")]
-    leaves = d.groupBy(*LEVELS).agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens")).where("tokens > 0")
-    plan = cut(budgets(leaves, mix).select(*LEVELS, F.expr("take div tokens").alias("whole"), F.expr("take % tokens").alias("rest")))
+    leaves = d.groupBy(*LEVELS).agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens"), F.count(F.lit(1)).alias("n_rows")).where("tokens > 0")
+    plan = cut(budgets(leaves, mix).select(*LEVELS, F.expr("take div tokens").alias("whole"), F.expr("take % tokens").alias("rest"), slice_digits(F.col("n_rows")).alias("digits")))
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan
 
-    # The order key's first three hex digits deal a leaf into 4096 slices; sums of slices find the one in which the
-    # prefix ends, so that no leaf is ever sorted or summed in one task.
+    # The order key's first hex digits deal a leaf into slices, more of them the more rows it has; sums of slices find the one
+    # in which the prefix ends, so that no leaf is ever sorted or summed in one task.
     key = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = d.join(plan, list(LEVELS)).withColumn("key", key).withColumn("slice", F.substring("key", 1, 3)).withColumn("sum", F.col("tokens") * F.col("n"))
-    # They are summed in two steps, 256 blocks of 16 slices, so that no window of a leaf holds more than that.
-    slices = placed.groupBy(*LEVELS, F.substring("slice", 1, 2).alias("block"), "slice").agg(F.sum("sum").alias("slice_tokens"))
+    placed = d.join(plan, list(LEVELS)).withColumn("key", key).withColumn("slice", F.expr("substring(key, 1, digits)")).withColumn("sum", F.col("tokens") * F.col("n"))
+    # They are summed in two steps, blocks of slices and then slices, so that a window holds about the root of their number.
+    slices = placed.groupBy(*LEVELS, F.expr("substring(slice, 1, (length(slice) + 1) div 2)").alias("block"), "slice").agg(F.sum("sum").alias("slice_tokens"))
     earlier = lambda by, order: F.coalesce(F.sum("slice_tokens").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = slices.groupBy(*LEVELS, "block").agg(F.sum("slice_tokens").alias("slice_tokens")).withColumn("before_block", earlier(LEVELS, "block")).drop("slice_tokens")
     slices = slices.withColumn("before_slice", earlier((*LEVELS, "block"), "slice")).join(blocks, [*LEVELS, "block"])
@@ -126,11 +144,12 @@ def mix_plan(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     document at the end of a leaf's prefix.
     """
     passes = F.expr(
-        "concat(flatten(transform(array_remove(sequence(0L, whole), whole), e -> array_repeat(named_struct('epoch', e, 'used', tokens), CAST(n AS INT)))),"
-        " array_repeat(named_struct('epoch', whole, 'used', tokens), CAST(n_full AS INT)), array_repeat(named_struct('epoch', whole, 'used', part), CAST(part > 0 AS INT)))"
+        "concat(transform(array_remove(sequence(0L, whole), whole), e -> named_struct('epoch', e, 'used', tokens, 'copies', n)),"
+        " array(named_struct('epoch', whole, 'used', tokens, 'copies', n_full), named_struct('epoch', whole, 'used', part, 'copies', CAST(part > 0 AS BIGINT))))"
     )
     x = _drawn(docs, mix).select("doc_id", *LEVELS, "tokens", F.explode(passes).alias("p"))
-    return x.select("doc_id", *LEVELS, F.col("p.epoch").cast("int").alias("epoch"), "tokens", F.col("p.used").alias("tokens_used"))
+    x = x.select("doc_id", *LEVELS, F.col("p.epoch").cast("int").alias("epoch"), "tokens", F.col("p.used").alias("tokens_used"), F.col("p.copies").alias("mix_copies"))
+    return repeated(x, "mix_copies").drop("mix_copies", "mix_i")
 
 
 def token_prefix(text: F.Column, n: F.Column) -> F.Column:
@@ -149,20 +168,20 @@ def mix_documents(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     """
     text = F.col("text").cast("string")
     drawn = _drawn(docs, mix, F.xxhash64(text).alias("mix_hash")).withColumn("mix_times", F.col("whole") * F.col("n") + F.col("n_full")).where("mix_times > 0 or part > 0")
-    k = cut(drawn.select(F.struct(*LEVELS, "doc_id", "mix_hash").alias("mix_key"), F.col("n").alias("mix_n"), "mix_times", F.col("part").alias("mix_part")))
+    k = cut(drawn.select(F.struct(*LEVELS, "doc_id", "mix_hash").alias("mix_id"), "mix_times", F.col("part").alias("mix_part")))
     row = docs.select(F.struct("*").alias("mix_row"), F.struct(*_leaf(mix), "doc_id", F.xxhash64(text).alias("mix_hash")).alias("mix_id"))
-    on = F.col("mix_id").eqNullSafe(F.col("mix_key"))
-    once = row.join(k.where("mix_n = 1"), on).select("mix_row", "mix_times", "mix_part")
-    plain = [F.col(f"mix_row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    again = row.join(k.where("mix_n > 1"), on).groupBy("mix_id").agg(
-        F.min_by("mix_row", F.xxhash64(*plain)).alias("mix_row"), F.max("mix_times").alias("mix_times"), F.max("mix_part").alias("mix_part")
-    )
-    got = once.unionByName(again.select("mix_row", "mix_times", "mix_part"))
-    whole = got.where("mix_times > 0").select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), "mix_times")).alias("mix_i")).select("mix_row.*")
-    cut_off = got.where("mix_part > 0").select("mix_row.*", F.col("mix_part")).withColumn("text", token_prefix(text, F.col("mix_part")))
+    # Of rows alike one is chosen by an aggregate that mappers begin, before anything is joined; texts are shuffled once.
+    plain = [F.col(f"mix_row.`{f.name}`") for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = row.groupBy("mix_id").agg(F.min_by("mix_row", F.xxhash64(*plain)).alias("mix_row"))
+    got = one.join(k, "mix_id").select("mix_row", "mix_times", "mix_part")
+    whole = repeated(got, "mix_times").select("mix_row.*")
+    # Columns are taken out of the row one by one: the documents may have columns named like those beside it.
+    short = token_prefix(F.col("mix_row.text").cast("string"), F.col("mix_part"))
+    changed = {"text": short}
     if "n_chars" in docs.columns:
-        cut_off = cut_off.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(cut_off.select(*docs.columns))
+        changed["n_chars"] = F.length(short).cast(docs.schema["n_chars"].dataType)
+    cut_off = got.where("mix_part > 0").select(*[changed.get(c, F.col(f"mix_row.`{c}`")).alias(c) for c in docs.columns])
+    return whole.unionByName(cut_off)
 
 
 #: The plan for ``MIX`` in DuckDB SQL.

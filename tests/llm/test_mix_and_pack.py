@@ -305,3 +305,17 @@ def test_pipeline_against_plain_python(spark, sf, encoder):
             assert r.offset == at
             at += r.length
         assert at <= 1024 and at & (at - 1) == 0
+
+
+def test_repeats_beyond_one_part(spark):
+    from pyspark.sql import functions as F
+
+    from sparkdossier.llm.mixing import repeated, slice_digits
+
+    rows = spark.createDataFrame([("a", 3), ("b", 0), ("c", 600), ("d", 256), ("e", 257)], "x string, times long")
+    got = {}
+    for r in repeated(rows, "times").collect():
+        got.setdefault(r.x, []).append(r.mix_i)
+    assert {x: sorted(v) for x, v in got.items()} == {x: list(range(1, n + 1)) for x, n in (("a", 3), ("c", 600), ("d", 256), ("e", 257))}
+    digits = spark.sql("SELECT explode(array(0L, 1L, 100000L, 1000000000L, 100000000000L)) AS n").select(slice_digits(F.col("n"))).collect()
+    assert [d[0] for d in digits] == [3, 3, 3, 4, 6]
