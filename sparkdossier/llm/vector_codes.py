@@ -240,22 +240,28 @@ def encode_vectors(embeddings: DataFrame, vector: str = "embedding", rounds: int
     labels, nulls together; a sum beyond a long is null. An empty table gives no rows.
     """
     spark = embeddings.sparkSession
-    x = F.col(vector).cast("array<double>")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    whole = lambda v: F.floor(v.cast("double") * SCALE)
+    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     got = embeddings.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & fine)
-    got = got.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("vq_label"), F.transform(x, lambda v: F.floor(v * SCALE).cast("double")).alias("vq_cells"))
-    empty = got.select("vec_id", "vq_label", "vq_cells", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
+    got = got.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("vq_label"), F.col(vector).alias("vq_vector"))
 
-    first = got.where(F.size("vq_cells") % PARTS == 0)
-    head = first.where(F.forall("vq_cells", lambda v: F.abs(v) <= F.sqrt(F.lit(2.0**61) / F.size("vq_cells")))).orderBy(F.col("vec_id").asc_nulls_last(), "vq_cells").limit(1).first()
-    if head is None:
+    def fits(limit: F.Column) -> F.Column:
+        return F.forall("vq_vector", lambda v: F.abs(whole(v)).cast("double") <= limit)
+
+    def least(rows: DataFrame) -> list:
+        return rows.orderBy(F.col("vec_id").asc_nulls_last(), "vq_vector").limit(entries).select(F.transform("vq_vector", whole).alias("cells")).collect()
+
+    empty = got.select("vec_id", "vq_label", "vq_vector", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
+    seeds = least(got.where((F.size("vq_vector") % PARTS == 0) & fits(F.sqrt(F.lit(2.0**61) / F.size("vq_vector")))))
+    if not seeds:
         return empty.select("vec_id", "code", "error", F.lit(None).cast("long").alias("label_error"), F.lit(hashlib.sha256(b"").hexdigest()).alias("codebooks_sha256"))
-    dims = len(head.vq_cells)
-    fits = (F.size("vq_cells") == dims) & F.forall("vq_cells", lambda v: F.abs(v) <= largest(dims))
-    kept = got.where(fits).withColumn("vq_cells", F.transform("vq_cells", lambda v: v.cast("int")))
-    seeds = kept.orderBy(F.col("vec_id").asc_nulls_last(), "vq_cells").select("vq_cells").limit(entries).collect()
+    dims = len(seeds[0].cells)
+    coded_rows = (F.size("vq_vector") == dims) & fits(F.lit(float(largest(dims))))
+    kept = got.where(coded_rows).select("vec_id", "vq_label", F.transform("vq_vector", lambda v: whole(v).cast("int")).alias("vq_cells"))
+    if any(len(r.cells) != dims for r in seeds):
+        seeds = least(got.where(coded_rows))
     width = dims // PARTS
-    books = np.array([r.vq_cells for r in seeds], np.int64).reshape(len(seeds), PARTS, width).transpose(1, 0, 2).copy()
+    books = np.array([r.cells for r in seeds], np.int64).reshape(len(seeds), PARTS, width).transpose(1, 0, 2).copy()
 
     path = scratch(spark, "vector-forests")
     label_type = got.schema["vq_label"].dataType.simpleString()
@@ -273,7 +279,7 @@ def encode_vectors(embeddings: DataFrame, vector: str = "embedding", rounds: int
     digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
     coded = forests.mapInArrow(_final(books), f"vec_id bigint, vq_label {label_type}, code string, error bigint")
     out = scratch(spark, "vector-codes")
-    coded.unionByName(empty.where(~fits).drop("vq_cells")).write.parquet(out)
+    coded.unionByName(empty.where(~coded_rows).drop("vq_vector")).write.parquet(out)
     rows = spark.read.parquet(out)
     return _with_label_error(rows).withColumn("codebooks_sha256", F.lit(digest))
 
