@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
         e = cut(small.select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.max("u"), F.sum("v")).first()
+        # Sums of 32-bit hashes, which no number of edges and no size of ids can carry beyond a long.
+        now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long")), F.max("u")).first()
         if now == before:
             break
         before = now

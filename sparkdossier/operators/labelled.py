@@ -55,8 +55,11 @@ def value(text: Column, labels: str, form: str) -> Column:
 
 
 def labelled_amount(text: Column, labels: str) -> Column:
-    """The first amount behind one of the labels that is no percentage, as a number; null without."""
-    number = scanners.NUMBER.replace(r"\d+", r"\d++", 1)
+    """The first amount behind one of the labels that is no percentage, as a number; null without.
+
+    No part of the number may be given up to make the rest fit: what is a percentage as a whole is no amount in part.
+    """
+    number = scanners.NUMBER.replace(r"\d+", r"\d++", 1).replace("{0,7}", "{0,7}+") + "+"
     pattern = rf"(?i)(?:{labels}){WORD_END}{BINDING}\s*[:.\-]?\s*(?:kr\.?|NOK)?\s*({number})(?!\d)(?!\s*(?:%|prosent|pst\.?)(?![a-zæøåA-ZÆØÅ0-9]))"
     return T.amount(_none(F.regexp_extract(text, pattern, 1)))
 

@@ -77,3 +77,10 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(2):
         events.append_new(stream.select("klient_id", "sti"), out, str(tmp_path / f"c{i}"), ["klient_id"]).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_components_of_large_ids(spark):
+    near = 1 << 62
+    edges = [(near + i, near + i + 1) for i in range(0, 20, 2)] + [(near + 1, near + 2), ((1 << 63) - 1, near)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got[(1 << 63) - 1] == got[near + 3] == near and got[near + 9] == near + 8

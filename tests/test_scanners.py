@@ -128,3 +128,17 @@ def test_scanners_in_sql(spark):
     scanners.register(spark)
     r = spark.sql("SELECT scan_dates('den 1.2.2020', 2026)[0].dato AS d, size(scan_numbers('12 34', 4, true)) AS n, size(scan_phones(null)) AS p").first()
     assert r.d == datetime.date(2020, 2, 1) and r.n == 1 and r.p == 0
+
+
+def test_percentages_behind_a_label_are_no_amounts(spark):
+    from sparkdossier.operators import labelled
+
+    cases = {
+        "Utbetalt 62,40 prosent": None, "Utbetalt: 1 000 %": None, "Utbetalt 100 prosent": None, "utbetalt 50%": None, "Utbetalt kr 62,40": 62.40, "Utbetalt 1 000 kr": 1000.0,
+        "Utbetalt 80 % av dagsatsen.\nUtbetalt kr 1 234,50": 1234.50, "Utbetalt: 12 500,-": 12500.0,
+    }
+    rows = spark.createDataFrame(list(cases.items()), "tekst string, vil double")
+    from pyspark.sql import functions as F
+
+    for r in rows.withColumn("fikk", labelled.labelled_amount(F.col("tekst"), labelled.AMOUNTS["utbetalt_belop"])).collect():
+        assert r.fikk == r.vil or (r.fikk is not None and r.vil is not None and abs(float(r.fikk) - r.vil) < 1e-9), r
