@@ -4,10 +4,13 @@ Documents become sets of five-word runs (words are runs of ASCII letters and dig
 characters beyond ASCII). Documents with equal sets form one node, told apart by a 128-bit BLAKE2b of the set. Each node has
 a signature of 16 x 8 minimum hashes, that is 16 tries of depth 8. A trie's nodes are matched by prefix, which is shortened
 from the whole path until a pair at the least similarity is met with the target probability, so recall does not depend on
-the mix of duplicates; grouping by a hash of the prefix finds the same groups as neighbours in the sorted trie, without a
-global sort. Nodes that share a prefix are gathered into candidate clusters by connected components, and every pair of nodes
-in a cluster is verified exactly on the sets, in blocks of bounded rows and members; pairs themselves are counted, never
-emitted.
+the mix of duplicates; what lies below that depth is not computed. Grouping by a hash of the prefix finds the same groups as
+neighbours in the sorted trie, without a global sort.
+
+Nodes that share a prefix are candidates and verified exactly on their sets, in blocks of bounded rows and members; pairs
+are counted, never emitted. Connected candidates form a component, and each component takes the cheaper of two ways: all of
+it is compared at once (near copies of one text, who meet in most tries), or each prefix group by itself, where a pair counts
+in the first trie in which it meets (chains of texts that only know their neighbours).
 """
 
 from __future__ import annotations
@@ -53,19 +56,20 @@ def set_keys(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return np.diff(at), both[:, 0], both[:, 1]
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """(n, 128) minima, cut to 16 bits; zeros for empty sets."""
+def signatures(doc: np.ndarray, h: np.ndarray, n: int, depth: int = DEPTH) -> np.ndarray:
+    """(n, 16 x depth) minima, cut to 16 bits: of each trie's path the first ``depth``; zeros for empty sets."""
     at = B.rows_of(doc, n)
     full = np.flatnonzero(np.diff(at))
-    out = np.zeros((n, TREES * DEPTH), np.uint16)
+    out = np.zeros((n, TREES * depth), np.uint16)
     if len(full):
         low, starts = (h >> np.uint64(16)).astype(np.uint32), at[:-1][full]
-        for j in range(TREES * DEPTH):
-            out[full, j] = np.minimum.reduceat((low ^ _XOR[j]) * _MUL[j], starts).astype(np.uint16)
+        for j in range(TREES * depth):
+            k = j // depth * DEPTH + j % depth
+            out[full, j] = np.minimum.reduceat((low ^ _XOR[k]) * _MUL[k], starts).astype(np.uint16)
     return out
 
 
-def _sign(k: int):
+def _sign(k: int, depth: int):
     """Rows (doc_id, text_hash, text) to (doc_id, text_hash, hi, lo, size, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +77,8 @@ def _sign(k: int):
             for a, z, data, offsets in B.pieces(*B.text_buffer(batch.column(2))):
                 doc, h = text_sets(data, offsets, k)
                 size, hi, lo = set_keys(doc, h, z - a)
-                sig = signatures(doc, h, z - a).tobytes()
-                width = 2 * TREES * DEPTH
+                sig = signatures(doc, h, z - a, depth).tobytes()
+                width = 2 * TREES * depth
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(hi), pa.array(lo), pa.array(size.astype(np.int32)),
                      pa.array([sig[i : i + width] for i in range(0, len(sig), width)], pa.binary())],
@@ -85,7 +89,7 @@ def _sign(k: int):
 
 
 def _sets(k: int):
-    """Rows (cluster, nb, nid, copies, hi, lo, text) to (cluster, nb, nid, copies, members), each node once for all rows here."""
+    """Rows (units, paths, nid, copies, hi, lo, text) to (units, paths, nid, copies, members), each node once for all rows here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -101,7 +105,7 @@ def _sets(k: int):
                         same[i] = nid not in seen
                         seen.add(nid)
                 part = part.append_column("members", pa.array([raw[8 * x : 8 * y] for x, y in zip(at, at[1:])], pa.binary()))
-                yield part.select(["cluster", "nb", "nid", "copies", "members"]).filter(pa.array(same))
+                yield part.select(["units", "paths", "nid", "copies", "members"]).filter(pa.array(same))
 
     return run
 
@@ -120,9 +124,10 @@ def _links(left: list[np.ndarray], right: list[np.ndarray] | None, least: float)
     row, col = row[order], col[order]
     n, m = len(left), len(right) if right is not None else len(left)
     common = np.zeros((n, m), np.float32)
-    for c in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-        x, y = np.searchsorted(col, (c, c + 4096))
-        dense = np.zeros((len(both), 4096), np.float32)
+    wide = 1024  # columns of a product, so that its sides stay small beside the counts
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, wide):
+        x, y = np.searchsorted(col, (c, c + wide))
+        dense = np.zeros((len(both), wide), np.float32)
         dense[row[x:y], col[x:y] - c] = 1
         common += dense[:n] @ (dense[n:] if right is not None else dense).T
     total = sizes[:n, None] + (sizes[n:] if right is not None else sizes)[None, :] - common
@@ -148,20 +153,35 @@ def _forest(n: int, found: np.ndarray, shift: int) -> np.ndarray:
             return label
 
 
+def _met_before(left: list[list[int]], right: list[list[int]] | None, trie: int) -> np.ndarray:
+    """Which pairs share a path of a trie before ``trie``."""
+    a = np.array(left, np.int64)
+    b = a if right is None else np.array(right, np.int64)
+    out = np.zeros((len(a), len(b)), bool)
+    for t in range(trie):
+        out |= a[:, t, None] == b[None, :, t]
+    return out
+
+
 def _verify(least: float):
-    """Sorted rows of (cluster, x, y, side, nid, copies, members), x <= y, to per-row counts and a spanning label."""
+    """Sorted rows of (unit, trie, x, y, side, nid, copies, paths, members), x <= y, to per-row counts and a spanning label.
 
-    def close(rows: list[tuple]) -> tuple[list, list, list, list, list]:
-        left = [r for r in rows if r[3] == 0]
-        right = [r for r in rows if r[3] == 1]
+    ``trie`` is -1 for a component compared as a whole, else that of the prefix group.
+    """
+
+    def close(rows: list[tuple]) -> tuple[list, list, list, list]:
+        left = [r for r in rows if r[4] == 0]
+        right = [r for r in rows if r[4] == 1]
         both = left + right
-        if rows[0][1] == rows[0][2]:
-            found, shift, right = _links([r[6] for r in left], None, least), 0, []
+        if rows[0][2] == rows[0][3]:
+            found, shift, right = _links([r[8] for r in left], None, least), 0, []
         elif left and right:
-            found, shift = _links([r[6] for r in left], [r[6] for r in right], least), len(left)
+            found, shift = _links([r[8] for r in left], [r[8] for r in right], least), len(left)
         else:
-            return [], [], [], [], []
-        weight = np.array([r[5] for r in both])
+            return [], [], [], []
+        if rows[0][1] > 0:
+            found &= ~_met_before([r[7] for r in left], [r[7] for r in right] or None, rows[0][1])
+        weight = np.array([r[6] for r in both])
         texts = np.zeros(len(both), np.int64)
         links = np.zeros(len(both), np.int64)
         texts[: len(left)] = found.sum(axis=1)
@@ -169,7 +189,7 @@ def _verify(least: float):
         if right:
             texts[len(left) :] = found.sum(axis=0)
             links[len(left) :] = weight[: len(left)] @ found
-        ids = np.array([r[4] for r in both])
+        ids = np.array([r[5] for r in both])
         order = np.argsort(ids, kind="stable")  # so that the least row is the least id
         if right:
             label = _forest(len(both), found, shift)
@@ -180,27 +200,28 @@ def _verify(least: float):
             label = _forest(len(both), found[np.ix_(order, order)], 0)
             head = np.empty(len(both), np.int64)
             head[order] = ids[order][label]
-        return [r[0] for r in both], ids.tolist(), texts.tolist(), links.tolist(), head.tolist()
+        use = np.flatnonzero((texts > 0) | (head != ids))
+        return ids[use].tolist(), texts[use].tolist(), links[use].tolist(), head[use].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [])
 
         def give() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["cluster", "nid", "texts", "links", "head"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["nid", "texts", "links", "head"])
             for x in out:
                 x.clear()
             return batch
 
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), map(lambda x: np.frombuffer(x, np.uint64), batch.column(6).to_pylist())):
-                if rows and rows[0][:3] != r[:3]:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(8)), map(lambda x: np.frombuffer(x, np.uint64), batch.column(8).to_pylist())):
+                if rows and rows[0][:4] != r[:4]:
                     for x, y in zip(out, close(rows)):
                         x += y
                     rows = []
                     if len(out[0]) > 20_000:
                         yield give()
-                if not rows or rows[-1][3:5] != r[3:5]:  # a repeated row is no second node
+                if not rows or rows[-1][4:6] != r[4:6]:  # a repeated row is no second node
                     rows.append(r)
         if rows:
             for x, y in zip(out, close(rows)):
@@ -211,9 +232,12 @@ def _verify(least: float):
 
 
 def _paths(nodes: DataFrame, depth: int) -> DataFrame:
-    """One row per node and trie: the hash of the path's first ``depth`` components."""
-    each = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {2 * DEPTH} + 1, {2 * depth})))")
-    return nodes.select("nid", F.explode(each).alias("path"))
+    """One row per node and trie: the trie's number and the hash of the path."""
+    return nodes.select("nid", F.posexplode(_hashed_paths(depth)).alias("trie", "path"))
+
+
+def _hashed_paths(depth: int) -> F.Column:
+    return F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {2 * depth} + 1, {2 * depth})))")
 
 
 def path_depth(least: float, target: float, least_depth: int = 1) -> int:
@@ -231,9 +255,10 @@ def _classes(docs: DataFrame, k: int, least: float, target: float, least_depth:
     """What ``jaccard_classes`` returns, with ``text_hash`` (of the row's text) and ``class_nid`` (null without a set or id)."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
+    depth = path_depth(least, target, least_depth)
     signed = cut(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
-            _sign(k), "doc_id long, text_hash long, hi long, lo long, size int, sig binary"
+            _sign(k, depth), "doc_id long, text_hash long, hi long, lo long, size int, sig binary"
         )
     )
     ids = signed.where("doc_id is not null and size > 0")
@@ -241,29 +266,42 @@ def _classes(docs: DataFrame, k: int, least: float, target: float, least_depth:
     grouped = ids.groupBy("hi", "lo").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("sig").alias("sig"))
     nodes = cut(grouped.withColumn("nid", F.monotonically_increasing_id()))
 
-    paths = _paths(nodes, path_depth(least, target, least_depth))
-    heads = paths.groupBy("path").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = cut(paths.join(heads, "path").select("nid", "head").distinct())
-
-    clusters = connected_components(met.where("nid <> head"), "nid", "head").withColumnsRenamed({"node": "nid", "component": "cluster"})
-    sized = nodes.select("nid", "rid", "hi", "lo", "copies", "size").join(clusters, "nid")
-    most = F.least(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCKS), F.lit(BLOCK_ROWS)), F.lit(MOST_ROWS))
-    nb = F.greatest(F.ceil(F.sum(F.col("size").cast("long")) / BLOCK_MEMBERS), F.ceil(F.count(F.lit(1)) / most))
-    wanted = cut(sized.join(sized.groupBy("cluster").agg(nb.cast("int").alias("nb")), "cluster").select("cluster", "nb", "nid", "rid", "hi", "lo", "copies"))
+    paths = _paths(nodes, depth)
+    groups = paths.groupBy("trie", "path").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(paths.join(groups, ["trie", "path"]).select("nid", "head", "trie", "path", "n"))
+    clusters = connected_components(met.where("nid <> head").select("nid", "head").distinct(), "nid", "head").withColumnsRenamed({"node": "nid", "component": "cluster"})
+
+    # What a component costs: all of its pairs at once, or those of its prefix groups one by one.
+    square = F.col("n").cast("double") * F.col("n")
+    by_groups = met.where("nid = head").join(clusters, "nid").groupBy("cluster").agg(F.sum(square).alias("cost"))
+    whole = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(by_groups, "cluster").select("cluster", (square <= F.col("cost")).alias("whole"))
+    placed = cut(clusters.join(whole, "cluster"))
+    of_whole = placed.where("whole").select("nid", F.col("cluster").alias("unit"), F.lit(-1).alias("trie"))
+    of_groups = met.join(placed.where("not whole"), "nid", "left_semi").select("nid", F.col("path").alias("unit"), "trie")
+    units = of_whole.unionByName(of_groups)
+    sized = units.join(nodes.select("nid", "size"), "nid").groupBy("unit", "trie").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("members"))
+    most = F.least(F.greatest(F.ceil(F.col("n") / BLOCKS), F.lit(BLOCK_ROWS)), F.lit(MOST_ROWS))
+    nb = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("n") / most)).cast("int")
+    # A node is in one unit, or in one for each trie.
+    of_node = units.join(sized.select("unit", "trie", nb.alias("nb")), ["unit", "trie"]).groupBy("nid").agg(F.collect_list(F.struct("unit", "trie", "nb")).alias("units"))
+    paths_of = F.when(F.col("units")[0]["trie"] >= 0, _hashed_paths(depth))
+    wanted = cut(of_node.join(nodes.select("nid", "rid", "hi", "lo", "copies", "sig"), "nid").select("units", paths_of.alias("paths"), "nid", "rid", "hi", "lo", "copies"))
     n_wanted = wanted.count()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "rid")
-    sets = found.select("cluster", "nb", "nid", "copies", "hi", "lo", "text").mapInArrow(_sets(k), "cluster long, nb int, nid long, copies long, members binary")
+    unit_type = "array<struct<unit: long, trie: int, nb: int>>"
+    sets = found.select("units", "paths", "nid", "copies", "hi", "lo", "text").mapInArrow(_sets(k), f"units {unit_type}, paths array<long>, nid long, copies long, members binary")
+    sets = sets.select("nid", "copies", "paths", "members", F.explode("units").alias("u")).select("u.unit", "u.trie", "u.nb", "nid", "copies", "paths", "members")
     # Block b meets blocks x < b as the right side, itself, and blocks y > b as the left side.
     sets = sets.withColumn("b", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int"))
     meets = F.expr("transform(sequence(0, nb - 1), o -> named_struct('x', least(b, o), 'y', greatest(b, o), 'side', if(o < b, 1, 0)))")
-    tasks = sets.select("cluster", "nid", "copies", "members", F.explode(meets).alias("t")).select("cluster", "t.x", "t.y", "t.side", "nid", "copies", "members")
-    # A cluster's pairs of blocks go to one task after the other, not by chance.
+    tasks = sets.select("unit", "trie", "nid", "copies", "paths", "members", F.explode(meets).alias("t")).select("unit", "trie", "t.x", "t.y", "t.side", "nid", "copies", "paths", "members")
+    # A unit's pairs of blocks go to one task after the other, not by chance.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    number = F.expr(f"CAST(pmod(xxhash64(cluster) + CAST(y AS BIGINT) * (y + 1) div 2 + x, {parts}) AS INT)")
-    tasks = tasks.repartitionById(parts, number).sortWithinPartitions("cluster", "x", "y", "side", "nid")
-    checked = cut(tasks.mapInArrow(_verify(least), "cluster long, nid long, texts long, links long, head long"))
+    number = F.expr(f"CAST(pmod(xxhash64(unit) + CAST(y AS BIGINT) * (y + 1) div 2 + x, {parts}) AS INT)")
+    tasks = tasks.repartitionById(parts, number).sortWithinPartitions("unit", "trie", "x", "y", "side", "nid")
+    checked = cut(tasks.mapInArrow(_verify(least), "nid long, texts long, links long, head long"))
 
     counts = checked.groupBy("nid").agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))
     linked = connected_components(checked.where("nid <> head"), "nid", "head").withColumnsRenamed({"node": "nid", "component": "class_nid"})

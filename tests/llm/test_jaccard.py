@@ -173,3 +173,25 @@ def test_many_short_near_copies(spark):
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(head + " tail"), F.col("id").cast("string")).alias("text"))
     got = jaccard_classes(docs).groupBy("class_id", "n_text_links", "n_links").count().collect()
     assert [tuple(x) for x in got] == [(0, n - 1, n - 1, n)]
+
+
+def test_a_chain_is_compared_by_its_prefix_groups(spark):
+    """Each text is near its two neighbours only; a component of all of them is never compared as a whole."""
+    from sparkdossier.llm import jaccard_join as J
+
+    n, step, words = 600, 8, 64
+    rows = [(i, " ".join(f"t{i * step + j}" for j in range(words)), "en", "s") for i in range(n)]
+    rows += [(n + i, rows[5][1], "en", "s") for i in range(3)]  # copies of one of them
+    got = {r.doc_id: r for r in J.jaccard_classes(docs_of(spark, rows), least=0.7).collect()}
+    assert all(got[i].class_id == 0 for i in got)
+    assert [got[i].n_text_links for i in range(n)] == [1] + [2] * (n - 2) + [1]
+    assert got[4].n_links == 2 + 3 and got[5].n_links == 2 + 3 and got[7].n_links == 2
+
+
+def test_a_pair_counts_in_its_first_trie():
+    from sparkdossier.llm import jaccard_join as J
+
+    left, right = [[1, 2, 3], [1, 9, 9]], [[1, 2, 3], [7, 2, 3], [7, 8, 3]]
+    assert J._met_before(left, right, 0).tolist() == [[False] * 3] * 2
+    assert J._met_before(left, right, 1).tolist() == [[True, False, False], [True, False, False]]
+    assert J._met_before(left, right, 2).tolist() == [[True, True, False], [True, False, False]]
