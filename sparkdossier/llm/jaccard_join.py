@@ -282,8 +282,10 @@ def _classes(docs: DataFrame, k: int, least: float, target: float, least_depth:
     sized = units.join(nodes.select("nid", "size"), "nid").groupBy("unit", "trie").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("members"))
     most = F.least(F.greatest(F.ceil(F.col("n") / BLOCKS), F.lit(BLOCK_ROWS)), F.lit(MOST_ROWS))
     nb = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("n") / most)).cast("int")
-    # A node is in one unit, or in one for each trie.
-    of_node = units.join(sized.select("unit", "trie", nb.alias("nb")), ["unit", "trie"]).groupBy("nid").agg(F.collect_list(F.struct("unit", "trie", "nb")).alias("units"))
+    # Written, so that the join stands on two plain exchanges and a large unit's nodes can be split among tasks. A node is in
+    # one unit, or in one for each trie.
+    blocks = cut(sized.select("unit", "trie", nb.alias("nb")))
+    of_node = units.join(blocks, ["unit", "trie"]).groupBy("nid").agg(F.collect_list(F.struct("unit", "trie", "nb")).alias("units"))
     paths_of = F.when(F.col("units")[0]["trie"] >= 0, _hashed_paths(depth))
     wanted = cut(of_node.join(nodes.select("nid", "rid", "hi", "lo", "copies", "sig"), "nid").select("units", paths_of.alias("paths"), "nid", "rid", "hi", "lo", "copies"))
     n_wanted = wanted.count()
