@@ -9,12 +9,12 @@ A null text has no matches (an empty array). Positions count code points from 0;
 
 from __future__ import annotations
 
-import bisect
 import datetime
 import functools
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,10 @@ EMAIL = r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}\.[\w.]{2,24}(?![\w.-])"
 REFERENCE_LABEL = r"\bkid[\s-]*(?:nummer|nr\.?)?[.:\s-]*"
 SEPARATORS = r" .\-‐-―"
 PAGE_MARK = r"\[Side (\d+) av \d+\]"
+# A page shorter than this has no foot; a foot is so many characters, or a fifth of its page if that is more.
+LEAST_PAGE, FOOT, FOOT_SHARE = 200, 600, 5
+# The forms of a date (and whether its year has two digits), of an amount, and of codes.
+CODES = (r"(?<!\d)\d{4,10}(?!\d)", r"\b(?=[A-Z0-9]{0,11}[A-Z])(?=[A-Z0-9]{0,11}\d)[A-Z0-9]{6,12}\b")
 
 _NAMES = "|".join(MONTHS)
 _DATES = (
@@ -47,7 +51,8 @@ _AMOUNT = re.compile(
 )
 _RUN = re.compile(rf"(?<!\d)\d(?:(?:[{SEPARATORS}]|\r?\n[ \t]*)?\d)+(?!\d)")
 _BLOCK = re.compile(r"\d+")
-_PHONE, _NO_PHONE, _EMAIL = re.compile(PHONE), re.compile(NO_PHONE, re.I), re.compile(EMAIL)
+_NOT_DIGIT, _BREAK = re.compile(r"\D"), re.compile("\n")
+_PHONE, _SPOILED, _EMAIL = re.compile(PHONE), re.compile(rf"\d$|{NO_PHONE}", re.I), re.compile(EMAIL)
 _REFERENCE = re.compile(REFERENCE_LABEL + r"((?:\d[ .]?){2,30}\d)", re.I)
 _MARK = re.compile(PAGE_MARK)
 
@@ -74,65 +79,79 @@ def amount_hits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m[m.lastgroup]) for m in _AMOUNT.finditer(text)]
 
 
+def _blocks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the digit blocks that stand in runs, and each block's run."""
+    found = [(r.start() + b.start(), r.start() + b.end(), k) for k, r in enumerate(_RUN.finditer(text)) for b in _BLOCK.finditer(r[0])]
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
 def number_hits(text: str, length: int, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Digit blocks in a row that add up to ``length`` and overlap nothing ``taken``: start, end, digits."""
-    taken = sorted(taken)
-    starts, ends, most = [s for s, _ in taken], [], 0
-    for _, e in taken:
-        most = max(most, e)
-        ends.append(most)
-    out = []
-    for run in _RUN.finditer(text):
-        blocks = [(run.start() + b.start(), run.start() + b.end()) for b in _BLOCK.finditer(run[0])]
-        for i, (start, _) in enumerate(blocks):
-            have = 0
-            for j in range(i, len(blocks)):
-                have += blocks[j][1] - blocks[j][0]
-                if have >= length:
-                    end = blocks[j][1]
-                    before = bisect.bisect_left(starts, end)
-                    if have == length and not (before and ends[before - 1] > start):
-                        out.append((start, end, "".join(text[a:z] for a, z in blocks[i : j + 1])))
-                    break
-    return out
+    """Digit blocks in a row that add up to ``length`` and overlap nothing ``taken``: start, end, digits.
+
+    With the digits before each block summed up, blocks i to j hold ``length`` digits if the sums before i and behind j differ by it.
+    """
+    start, end, run = _blocks(text)
+    if not len(start):
+        return []
+    behind = np.cumsum(end - start)
+    before = behind - (end - start)
+    last = np.searchsorted(behind, before + length)
+    fits = last < len(behind)
+    last = np.where(fits, last, 0)
+    fits &= (behind[last] == before + length) & (run[last] == run)
+    at, z = start[fits], end[last[fits]]
+    if taken:  # an interval overlaps what is taken if fewer intervals end before it begins than begin before it ends
+        begins, ends = (np.sort(np.array(x)) for x in zip(*taken, strict=True))
+        free = np.searchsorted(ends, at, "right") == np.searchsorted(begins, z, "left")
+        at, z = at[free], z[free]
+    return [(a, b, _NOT_DIGIT.sub("", text[a:b])) for a, b in zip(at.tolist(), z.tolist(), strict=True)]
 
 
 def phone_hits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Telephone numbers by place; a digit or a label of other numbers right before one spoils it, and so do 0 and 1 as its first digit."""
     for m in _PHONE.finditer(text):
-        start, digits = m.start(), "".join(g for g in m.groups() if g)
-        if (start and text[start - 1].isdigit()) or digits[0] in "01" or _NO_PHONE.search(text[max(0, start - 24) : start]):
-            continue
-        yield start + (text[start] == " "), m.end(), digits
+        number = "".join(filter(None, m.groups()))
+        if number[0] not in "01" and not _SPOILED.search(_before(text, m.start(), 24)):
+            yield m.end() - len(m[0].lstrip(" ")), m.end(), number
 
 
 def _before(text: str, start: int, n: int) -> str:
     return text[max(0, start - n) : start]
 
 
+def _asof(points: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """For each point the number of the last mark at or before it, -1 without one."""
+    return np.searchsorted(marks, points, "right") - 1
+
+
 def _dates(text: str, as_of_year: int) -> list[dict]:
+    """Dates with their line and page: as-of joins of all of them to the line breaks and page marks."""
     hits = date_hits(text, int(as_of_year))
     if not hits:
         return []
-    lines = [m.start() for m in re.finditer("\n", text)]
-    marks = [(m.start(), int(m[1])) for m in _MARK.finditer(text)]
-    tops = [s for s, _ in marks]
-    tops = tops if tops and tops[0] == 0 else [0, *tops]
+    start, end = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
+    breaks = np.array([-1, *(m.start() for m in _BREAK.finditer(text)), len(text)])
+    marks = list(_MARK.finditer(text))
+    mark_at, mark_no = np.array([m.start() for m in marks], np.int64), np.array([1, *(int(m[1]) for m in marks)])
+    tops = np.union1d([0], mark_at)
+    edges = np.append(tops, len(text))
+    of_page = _asof(start, tops)
+    top, bottom = edges[of_page], edges[of_page + 1]
+    head = breaks[np.searchsorted(breaks, start) - 1] + 1
+    tail = breaks[np.searchsorted(breaks, end)]
+    size = bottom - top
+    low = (size >= LEAST_PAGE) & (start >= np.maximum(bottom - np.maximum(FOOT, size // FOOT_SHARE), top + size // 2))
+    frame = {
+        "start": start, "slutt": end, "side": mark_no[_asof(start, mark_at) + 1], "nederst": low, "linje_i_side": np.searchsorted(breaks, start) - np.searchsorted(breaks, top),
+        "head": head, "tail": tail, "gap": np.append(start[1:], -1) - end,
+    }
     out = []
-    for i, (start, end, date, assumed) in enumerate(hits):
-        head = text.rfind("\n", 0, start) + 1
-        tail = text.find("\n", end)
-        line = text[head : tail if tail >= 0 else len(text)]
-        page = bisect.bisect_right(tops, start) - 1
-        top, bottom = tops[page], tops[page + 1] if page + 1 < len(tops) else len(text)
-        size = bottom - top
-        at = bisect.bisect_right([s for s, _ in marks], start) - 1 if marks else -1
-        gap = text[end : hits[i + 1][0]] if i + 1 < len(hits) else None
+    for nr, (row, (_, _, date, assumed)) in enumerate(zip(pd.DataFrame(frame).to_dict("records"), hits, strict=True)):
+        a, z, line = row["start"], row["slutt"], text[row["head"] : row["tail"]]
         out.append({
-            "nr": i, "start": start, "slutt": end, "raa": text[start:end], "dato": date, "antatt": assumed, "side": marks[at][1] if at >= 0 else 1,
-            "foran": _before(text, start, min(80, start - head)), "linje": line[:400], "linjelengde": len(line.strip()),
-            "linje_i_side": bisect.bisect_left(lines, start) - bisect.bisect_left(lines, top),
-            "nederst": size >= 200 and start >= max(bottom - max(600, size // 5), top + size // 2),
-            "mellom": gap if gap is not None and len(gap) <= 8 else None, "rundt": text[max(0, start - 120) : end + 200], "kontekst": " ".join(text[max(0, start - 45) : end + 30].split()),
+            "nr": nr, "raa": text[a:z], "dato": date, "antatt": assumed, "foran": _before(text, a, min(80, a - row["head"])), "linje": line[:400], "linjelengde": len(line.strip()),
+            "mellom": text[z : z + max(row["gap"], 0)] if row["gap"] <= 8 and nr + 1 < len(hits) else None,
+            "rundt": text[max(0, a - 120) : z + 200], "kontekst": " ".join(text[max(0, a - 45) : z + 30].split()), **{k: row[k] for k in ("start", "slutt", "side", "nederst", "linje_i_side")},
         })
     return out
 
@@ -150,7 +169,7 @@ def _amounts(text: str) -> list[dict]:
 
 def _codes(text: str) -> list[dict]:
     out = []
-    for pattern in (r"(?<!\d)\d{4,10}(?!\d)", r"\b(?=[A-Z0-9]{0,11}[A-Z])(?=[A-Z0-9]{0,11}\d)[A-Z0-9]{6,12}\b"):
+    for pattern in CODES:
         out += [{"start": m.start(), "slutt": m.end(), "tall": m[0], "foran": " ".join(text[max(0, m.start() - 35) : m.end() + 20].split())} for m in re.finditer(pattern, text)]
     return out
 

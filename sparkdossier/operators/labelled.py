@@ -38,6 +38,7 @@ DATES = {
     "sluttdato": rf"sluttdato|fratr{A}dt|siste\s+arbeidsdag|arbeidsforhold\s+til|opph{O}rsdato",
     "forfallsdato": None,
 }
+# Labels of a due date, beginnings of a total, the number of a form.
 DUE = r"(?:forfalls?dato|forfall|betalingsfrist)\b[:\s]*"
 TOTAL = r"(?i)^\W*(?:total(?:sum|t|beløp|belop)?|sum|å\s*betale|aa\s*betale|til\s*betaling|bel(?:ø|oe?)p\s+(?:å|aa)\s+betale)\b"
 FORM = r"\b([A-ZÆØÅ]{2,6})\s?(\d{2}-\d{2}\.\d{2})\b"
