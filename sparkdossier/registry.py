@@ -6,6 +6,7 @@ import sparkdossier.plans.contact_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.guard_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.layout_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.more_queries  # noqa: F401  registers its queries
+import sparkdossier.plans.profile_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.scan_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.scoring_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.service_queries  # noqa: F401  registers its queries
