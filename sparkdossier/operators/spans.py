@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkdossier.functions import scanners
+
 
 def pages(docs: DataFrame) -> DataFrame:
     """``doc_id, side, start, tekst`` of each marked page; texts without markers give none. ``start`` is the marker's place."""
@@ -71,10 +73,21 @@ def missing_fields(expected: DataFrame, found: DataFrame) -> DataFrame:
     return want.join(found.where("verdi is not null"), ["doc_id", "felt"], "left_anti").select("doc_id", "felt")
 
 
-def unsupported_numbers(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """Numbers of an answer that its source lacks. Blanks, dots between thousands and ``,00`` make no difference."""
-    number = r"(\d{1,3}(?:[ .]\d{3})+(?:,\d{2})?|\d+(?:,\d{2})?)"
-    norm = lambda c: F.regexp_replace(F.regexp_replace(c, r"[ .]", ""), ",00$", "")
-    a = answers.select("id", F.explode(F.regexp_extract_all("svar", F.lit(number), 1)).alias("x")).select("id", norm(F.col("x")).alias("tall")).distinct()
-    s = sources.select("id", F.explode(F.regexp_extract_all("kilde", F.lit(number), 1)).alias("x")).select("id", norm(F.col("x")).alias("tall"))
-    return a.join(s, ["id", "tall"], "left_anti")
+def unsupported_numbers(answers: DataFrame, sources: DataFrame, least: int = 3) -> DataFrame:
+    """``id, tall``: dates and numbers, as an answer (``id, svar``) writes them, that its source (``id, kilde``) lacks, each once.
+
+    Dates are equal in all spellings. Blanks and dots between digits, zeros at the end of decimals, and a dot or comma before them
+    make no difference, but decimals do: 268,00 is 268 and not 26800. A run of blocks also passes if each of its blocks stands in
+    the source. Numbers of fewer than ``least`` digits (decimals among them) are not asked for. An answer without a source has no
+    support; null texts have no numbers. Rows that repeat an id are one answer, and one source.
+    """
+    stated = answers.select("id", F.explode(scanners.scan("stated", F.col("svar"))).alias("x")).select("id", "x.*")
+    # A number counts as whole (part 0) or by its blocks: it lacks support if both its whole and one of its blocks are unknown.
+    stated = stated.where(F.length(F.regexp_replace("tall", r"\D", "")) >= least).distinct()
+    parts = stated.select("id", "raa", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("hel"), F.col("tall").alias("tall"))), F.transform(F.array_distinct("deler"), lambda d: F.struct(F.lit(False).alias("hel"), d.alias("tall"))))).alias("x"))
+    parts = parts.select("id", "raa", "x.*")
+    known = sources.select("id", F.explode(scanners.scan("known", F.col("kilde"))).alias("x")).select("id", "x.tall").distinct().withColumn("kjent", F.lit(True))
+    seen = parts.join(known, ["id", "tall"], "left").groupBy("id", "raa").agg(
+        F.bool_or(F.col("hel") & F.col("kjent").isNotNull()).alias("hele"), F.count_if(~F.col("hel")).alias("n"), F.count_if(~F.col("hel") & F.col("kjent").isNotNull()).alias("k")
+    )
+    return seen.where(~F.col("hele") & ((F.col("n") == 0) | (F.col("k") < F.col("n")))).select("id", F.col("raa").alias("tall"))

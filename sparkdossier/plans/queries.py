@@ -492,10 +492,20 @@ def j15_missing_fields(spark, d):
     return spans.missing_fields(spark.sql(_EXPECTED), derived(spark, d, _FOUND))
 
 
-_ANSWERS = "SELECT o_orderkey AS id, 'Svar: kr ' || CAST(o_orderkey % 1000 AS STRING) || ' og ' || CAST(o_custkey AS STRING) || ',00' AS svar, 'Kilde ' || CAST(o_custkey AS STRING) || ' uten ' || CAST(o_orderkey % 7 AS STRING) AS kilde FROM {orders}"
+# An amount, a date and a customer's number in each answer; its source has them grouped, with a dot, as another date, off by a factor or not.
+_ANSWERS = """
+SELECT id, 'Svar: kr ' || CAST(n AS STRING) || ',50 den ' || lpad(CAST(day(dato) AS STRING), 2, '0') || '.' || lpad(CAST(month(dato) AS STRING), 2, '0') || '.' || CAST(year(dato) AS STRING) || ', kunde ' || CAST(kunde AS STRING) || ',00' AS svar,
+  'Kilde: ' || CASE id % 4 WHEN 0 THEN CAST(CAST(floor(n / 1000) AS BIGINT) AS STRING) || ' ' || lpad(CAST(n % 1000 AS STRING), 3, '0') || ',50' WHEN 1 THEN CAST(n AS STRING) || '50' WHEN 2 THEN CAST(n AS STRING) || '.5' ELSE CAST(n AS STRING) END
+  || ' kroner, dato ' || CASE id % 3 WHEN 0 THEN CAST(dato AS STRING) WHEN 1 THEN CAST(day(dato) AS STRING) || '/' || CAST(month(dato) AS STRING) || '/' || CAST(year(dato) AS STRING) ELSE 'ukjent' END
+  || ' for ' || CASE WHEN id % 5 = 0 THEN CAST(kunde + 1 AS STRING) ELSE CAST(kunde AS STRING) END AS kilde
+FROM (SELECT o_orderkey AS id, o_orderkey + 1000 AS n, CAST(o_orderdate AS DATE) AS dato, 900000000000 + o_custkey AS kunde FROM {orders})
+"""
 
 
-@query("SELECT o_orderkey AS id, CAST(o_orderkey % 1000 AS STRING) AS tall FROM orders WHERE o_orderkey % 1000 <> o_custkey AND o_orderkey % 1000 <> o_orderkey % 7")
+@query(
+    "WITH o AS (SELECT o_orderkey AS id, o_orderkey + 1000 AS n, CAST(o_orderdate AS DATE) AS dato, 900000000000 + o_custkey AS kunde FROM orders) SELECT id, CAST(n AS STRING) || ',50' AS tall FROM o WHERE id % 4 IN (1, 3) "
+    "UNION ALL SELECT id, strftime(dato, '%d.%m.%Y') FROM o WHERE id % 3 = 2 UNION ALL SELECT id, CAST(kunde AS STRING) || ',00' FROM o WHERE id % 5 = 0"
+)
 def z1_unsupported_numbers(spark, d):
     a = derived(spark, d, _ANSWERS)
     return spans.unsupported_numbers(a.select("id", "svar"), a.select("id", "kilde"))
