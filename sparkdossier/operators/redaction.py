@@ -4,39 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdossier.functions import identifiers as I
 from sparkdossier.functions import scanners
 from sparkdossier.operators.dates import eleven_kind
 
-# Kinds that are redacted, and labels of numbers.
+# Kinds that are redacted.
 KINDS = ("fodselsnummer", "kontonummer", "organisasjonsnummer", "kid", "telefon", "epost")
-LABELLED = {
-    "kontonummer": r"\bkonto(?:nummer|nr\.?)?[.:\s]*",
-    "fodselsnummer": r"\b(?:f(?:ø|oe?)dselsnummer|fnr|personnummer|d-?nummer)[.:\s]*",
-    "organisasjonsnummer": r"\b(?:organisasjonsnummer|orgnr\.?|org\.?\s*nr\.?)[.:\s]*",
-    "kid": scanners.REFERENCE_LABEL,
-}
+_CHECKS = {"kontonummer": I.valid_account, "fodselsnummer": I.valid_person, "organisasjonsnummer": I.valid_company, "kid": I.valid_payment_reference}
+
+
+def _kind(hit: Column) -> Column:
+    """What a hit proves to be by its checksum or form; null for what fails and for labelled runs."""
+    form, number = hit["form"], hit["tall"]
+    return (
+        F.when(form == "elleve", eleven_kind(number, hit["foran"])).when((form == "ni") & I.valid_company(number), "organisasjonsnummer")
+        .when((form == "kid") & I.valid_payment_reference(number), "kid").when(form.isin("telefon", "epost"), form)
+    )
+
+
+def _fault(hit: Column) -> Column:
+    """``type, grunn`` of a labelled run that fails its checksum; null for those that pass and for all other hits."""
+    kind, out = F.substring_index(hit["form"], ":", -1), F.lit(None).cast("struct<type:string,grunn:string>")
+    for name, check in _CHECKS.items():
+        wrong = ~F.length(hit["tall"]).isin(9, 11) if name != "kid" else F.lit(False)
+        why = F.when(wrong, "feil_lengde").otherwise("kontrollsiffer_feilet")
+        out = F.when((hit["form"] == f"merket:{name}") & ~check(hit["tall"]), F.struct(kind.alias("type"), why.alias("grunn"))).otherwise(out)
+    return out
 
 
 def candidates(docs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     """``doc_id, start, slutt, type, verdi`` of all that passes its checksum or form, overlaps included."""
+    hits = docs.select("doc_id", F.explode(scanners.scan("identifiers", F.col("tekst"))).alias("x")).withColumn("type", _kind(F.col("x")))
+    return hits.where(F.col("type").isin(*kinds)).select("doc_id", "x.start", "x.slutt", "type", F.col("x.tall").alias("verdi"))
+
 
-    def rows(scan: F.Column) -> DataFrame:
-        return docs.select("doc_id", F.explode(scan).alias("x")).select("doc_id", "x.*")
+def numbers_of_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and, of each kind that has a checksum, the first number and all numbers (each once, in order of first place).
 
-    text, parts = F.col("tekst"), []
-    parts.append(rows(scanners.scan_numbers(text, 11)).withColumn("type", eleven_kind(F.col("tall"), F.col("foran"))))
-    parts.append(rows(scanners.scan_numbers(text, 9)).withColumn("type", F.when(I.valid_company(F.col("tall")), "organisasjonsnummer")))
-    parts.append(rows(scanners.scan("references", text)).withColumn("type", F.when(I.valid_payment_reference(F.col("tall")), "kid")))
-    parts.append(rows(scanners.scan("phones", text)).withColumn("type", F.lit("telefon")))
-    parts.append(rows(scanners.scan("emails", text)).withColumn("type", F.lit("epost")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("type").isin(*kinds)).select("doc_id", "start", "slutt", "type", F.col("tall").alias("verdi"))
+    Documents without any number give no row; the numbers of rows that repeat a doc_id are put together.
+    """
+    kinds = ("fodselsnummer", "kontonummer", "organisasjonsnummer")
+    found = candidates(docs, kinds).groupBy("doc_id", "type", "verdi").agg(F.min("start").alias("start"))
+    each = [F.array_sort(F.collect_list(F.when(F.col("type") == k, F.struct("start", "verdi"))))["verdi"].alias(f"alle_{k}") for k in kinds]
+    rows = found.groupBy("doc_id").agg(*each)
+    return rows.select("doc_id", *(c for k in kinds for c in (F.get(f"alle_{k}", F.lit(0)).alias(k), F.col(f"alle_{k}"))))
 
 
 def redacted_spans(docs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
@@ -54,36 +68,41 @@ def redacted_spans(docs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     return islands.select("doc_id", F.explode(fold).alias("x")).select("doc_id", "x.start", "x.slutt", "x.type", "x.verdi")
 
 
+def _removed(docs: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """``doc_id`` and ``r`` (``sladdet, typer, mistenkt``) of each row: one scan for all kinds, and one pass that removes; nothing is shuffled."""
+    rows = docs.select("doc_id", "tekst", scanners.scan("identifiers", F.col("tekst")).alias("treff"))
+    spans = F.filter(F.transform("treff", lambda h: F.struct(h["start"].alias("start"), h["slutt"].alias("slutt"), _kind(h).alias("type"))), lambda s: s["type"].isin(*kinds))
+    faults = F.filter(F.transform("treff", lambda h: F.struct(h["start"].alias("start"), h["slutt"].alias("slutt"), _fault(h).alias("f"))), lambda s: s["f"].isNotNull())
+    suspect = F.transform(faults, lambda s: F.struct(s["start"].alias("start"), s["slutt"].alias("slutt"), s["f"]["type"].alias("type"), s["f"]["grunn"].alias("grunn")))
+    return rows.select("doc_id", "tekst", spans.alias("s"), suspect.alias("m")).select("doc_id", scanners.remove_spans(F.col("tekst"), F.col("s"), F.col("m")).alias("r"))
+
+
+def _counts(types: Column) -> Column:
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.struct(t, F.size(F.filter(types, lambda x: x == t)).cast("long"))))
+
+
 def redact(docs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     """``doc_id, sladdet, antall``: the text with a visible mark for each span, and the number of spans by kind.
 
-    A text without findings, empty or null, stays as it is, with an empty map. ``doc_id`` names one row.
+    A text without findings, empty or null, stays as it is, with an empty map. Each row is redacted by itself, repeated ones too.
     """
-    held = redacted_spans(docs, kinds).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "slutt", "type"))).alias("omraader"))
-    out = docs.select("doc_id", "tekst").join(held, "doc_id", "left")
-    found = F.coalesce(F.col("omraader.type"), F.array().cast("array<string>"))
-    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(found)), lambda t: F.struct(t, F.size(F.filter(found, lambda x: x == t)).cast("long"))))
-    return out.select("doc_id", scanners.replace_spans("tekst", "omraader").alias("sladdet"), counts.alias("antall"))
+    return _removed(docs, kinds).select("doc_id", "r.sladdet", _counts(F.col("r.typer")).alias("antall"))
 
 
 def suspects(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, type, posisjon, lengde, grunn``: labelled numbers that fail their checksum and lie in no redacted span."""
-    checks = {"kontonummer": I.valid_account, "fodselsnummer": I.valid_person, "organisasjonsnummer": I.valid_company, "kid": I.valid_payment_reference}
-    parts = []
-    for kind, label in LABELLED.items():
-        found = docs.select("doc_id", F.explode(scanners.scan_labelled(F.col("tekst"), label)).alias("x")).select("doc_id", "x.*")
-        wrong = ~F.length("tall").isin(9, 11) if kind != "kid" else F.lit(False)
-        parts.append(found.where(~checks[kind](F.col("tall"))).select("doc_id", F.lit(kind).alias("type"), F.col("start").alias("posisjon"), "slutt", F.length("tall").alias("lengde"), F.when(wrong, "feil_lengde").otherwise("kontrollsiffer_feilet").alias("grunn")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    hits = docs.select("doc_id", F.explode(scanners.scan("identifiers", F.col("tekst"))).alias("x")).withColumn("f", _fault(F.col("x"))).where("f is not null")
+    out = hits.select("doc_id", "f.type", F.col("x.start").alias("posisjon"), "x.slutt", F.length("x.tall").alias("lengde"), "f.grunn")
     s = spans.select(F.col("doc_id").alias("sd"), F.col("start").alias("ss"), F.col("slutt").alias("se"))
     free = out.join(s, (F.col("doc_id") == F.col("sd")) & (F.col("ss") <= F.col("posisjon")) & (F.col("slutt") <= F.col("se")), "left_anti")
     return free.drop("slutt")
 
 
 def redaction_report(docs: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """``doc_id, sladdet, antall, mistenkt, fullstendig``: the redacted text, what was removed, and what looks like a number but stayed."""
-    left = suspects(docs, redacted_spans(docs, kinds)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("posisjon", "type", "grunn"))).alias("mistenkt"))
-    out = redact(docs, kinds).join(left, "doc_id", "left")
+    """``doc_id, sladdet, antall, mistenkt, fullstendig``: the redacted text, what was removed, and what looks like a number but stayed.
+
+    ``mistenkt`` (``posisjon, type, grunn`` by place) is null where nothing is suspected. Each row is reported by itself.
+    """
+    out = _removed(docs, kinds).select("doc_id", "r.sladdet", _counts(F.col("r.typer")).alias("antall"), F.transform("r.mistenkt", lambda m: F.struct(m["start"].alias("posisjon"), m["type"].alias("type"), m["grunn"].alias("grunn"))).alias("m"))
+    out = out.select("doc_id", "sladdet", "antall", F.when(F.size("m") > 0, F.col("m")).alias("mistenkt"))
     return out.withColumn("fullstendig", F.col("mistenkt").isNull())

@@ -12,7 +12,7 @@ from sparkdossier.operators import dates as D
 from sparkdossier.operators import labelled as L
 from sparkdossier.operators import redaction as R
 from sparkdossier.plans.contact_queries import _LETTER
-from sparkdossier.plans.queries import _BIRTH, _NUM, _check, _digits, query
+from sparkdossier.plans.queries import _BIRTH, _NUM, ORACLE, _check, _digits, query
 from sparkdossier.sources import tables as S
 from sparkdossier.sources.tables import bare, derived, table
 
@@ -150,7 +150,7 @@ _BOTH = (
     "b AS (SELECT *, CASE WHEN dd > 40 THEN dd - 40 ELSE dd END AS d2, CASE WHEN mm > 80 THEN mm - 80 WHEN mm > 40 THEN mm - 40 ELSE mm END AS m2, "
     "CASE WHEN s >= 500 AND yy <= 39 THEN 2000 WHEN s >= 900 THEN 1900 WHEN s >= 500 AND yy >= 54 THEN 1800 ELSE 1900 END + yy AS y2 FROM a), "
     "f AS (SELECT *, try_cast(printf('%04d-%02d-%02d', y2, m2, d2) AS DATE) AS fodt FROM b), "
-    f"p AS (SELECT doc_id, tall, CASE WHEN merket = 1 AND {_check('tall', I.ACCOUNT)} THEN 'kontonummer' WHEN {_PERSON} THEN 'fodselsnummer' WHEN {_check('tall', I.ACCOUNT)} THEN 'kontonummer' END AS type FROM f), "
+    f"p AS (SELECT doc_id, tall, merket, CASE WHEN merket = 1 AND {_check('tall', I.ACCOUNT)} THEN 'kontonummer' WHEN {_PERSON} THEN 'fodselsnummer' WHEN {_check('tall', I.ACCOUNT)} THEN 'kontonummer' END AS type FROM f), "
     f"i AS (SELECT DISTINCT doc_id, tall, type FROM p WHERE type IS NOT NULL UNION SELECT doc_id, orgnr, 'organisasjonsnummer' FROM n WHERE {_check('orgnr', I.COMPANY)}) "
 )
 
@@ -169,10 +169,18 @@ def i8_number_kinds(spark, d):
     return _identified(spark, d).where("type <> 'organisasjonsnummer'").groupBy("type").agg(F.count(F.lit(1)).alias("antall"))
 
 
-@query(_BOTH + "SELECT doc_id, max(tall) FILTER (WHERE type = 'fodselsnummer') AS fnr, max(tall) FILTER (WHERE type = 'organisasjonsnummer') AS orgnr FROM i GROUP BY doc_id HAVING count(*) FILTER (WHERE type = 'fodselsnummer') < 2")
+# A person's number stands before the account in the text, so the one that is not labelled comes first.
+_EACH = "arg_min(tall, plass) FILTER (WHERE type = '{0}') AS {0}, coalesce(string_agg(tall, ',' ORDER BY plass) FILTER (WHERE type = '{0}'), '') AS alle_{0}"
+
+
+@query(
+    _BOTH
+    + ", m AS (SELECT doc_id, tall, type, min(merket) AS plass FROM p WHERE type IS NOT NULL GROUP BY doc_id, tall, type UNION ALL SELECT doc_id, tall, type, 2 FROM i WHERE type = 'organisasjonsnummer') "
+    + f"SELECT doc_id, {', '.join(_EACH.format(k) for k in ('fodselsnummer', 'kontonummer', 'organisasjonsnummer'))} FROM m GROUP BY doc_id"
+)
 def i9_numbers_of_document(spark, d):
-    g = _identified(spark, d).groupBy("doc_id").agg(*(F.max(F.when(F.col("type") == t, F.col("tall"))).alias(a) for t, a in (("fodselsnummer", "fnr"), ("organisasjonsnummer", "orgnr"))), F.count_if(F.col("type") == "fodselsnummer").alias("n"))
-    return g.where("n < 2").drop("n")
+    got = R.numbers_of_documents(derived(spark, d, _HIDDEN))
+    return got.withColumns({c: F.array_join(c, ",") for c in got.columns if c.startswith("alle_")})
 
 
 @query(_NUM + f"SELECT doc_id, (11 - ({_digits('orgnr', I.COMPANY)}) % 11) % 11 AS siffer FROM n")
@@ -183,9 +191,8 @@ def i1_control_digits(spark, d):
 _PAY = f"SELECT doc_id, 'Betal innen fristen, ' || CASE doc_id % 3 WHEN 0 THEN 'KID-nummer: ' WHEN 1 THEN 'KID ' ELSE 'referanse ' END || substr(kid, 1, 2) || ' ' || substr(kid, 3) || ' til oss' AS tekst FROM ({S.NUMBERS})"
 
 
-@query()
+@query(f"SELECT doc_id, kid FROM ({ORACLE['i6_payment_references']}) WHERE doc_id % 3 <> 2")
 def i10_references(spark, d):
-    """Held against ``i6`` by a test: the labelled ones of those that pass."""
     found = derived(spark, d, _PAY).select("doc_id", F.explode(scanners.scan("references", F.col("tekst"))).alias("x")).select("doc_id", F.col("x.tall").alias("kid"))
     return found.where(I.valid_payment_reference(F.col("kid")))
 
