@@ -20,7 +20,7 @@ from sparkdossier.functions.scanners import PAGE_MARK
 
 _WORDS = "array<struct<start:int,slutt:int,ord:string>>"
 _PLACES = "array<struct<start:int,side:int,antall:int>>"
-_MARK = re.compile(PAGE_MARK)
+_MARK, _NOT_BARE = re.compile(PAGE_MARK), re.compile(r"[\W_]+")
 
 
 def automaton(words: Iterable[str]) -> ahocorasick.Automaton | None:
@@ -66,15 +66,16 @@ def scan_words(text: Column, words: Iterable[str]) -> Column:
     return _word_udf(tuple(sorted(set(words))))(text)
 
 
-def bare_text(text: str) -> tuple[str, list[int]]:
-    """Letters and digits of a text in lower case, and the place in the text of each."""
-    kept, at = [], []
-    for i, ch in enumerate(text):
-        if ch.isalnum():
-            low = ch.lower()
-            kept.append(low)
-            at += [i] * len(low)
-    return "".join(kept), at
+def bare_text(text: str) -> str:
+    """Letters and digits of a text, each in lower case by itself."""
+    kept = _NOT_BARE.sub("", text)
+    low = kept.lower()
+    return low if len(low) == len(kept) and "Σ" not in kept else "".join(c.lower() for c in kept)
+
+
+def bare_places(text: str) -> list[int]:
+    """The place in the text of each character of its ``bare_text``."""
+    return [i for i, c in enumerate(text) if c.isalnum() for _ in c.lower()]
 
 
 def _first_and_second(text: str, words: set[str]) -> dict[str, tuple[int, int]]:
@@ -94,10 +95,10 @@ def _first_and_second(text: str, words: set[str]) -> dict[str, tuple[int, int]]:
 
 def value_places(text: str, values: list[tuple[str | None, str | None, int | None]]) -> list[dict]:
     """For each value (its second spelling, its stated place) the first place, the page there, and how often it stands in the text, up to two."""
-    bare, at = bare_text(text)
-    strip = {v: bare_text(v)[0] for value, second, _ in values for v in (value, second) if v}
+    at: list[int] = []
+    strip = {v: bare_text(v) for value, second, _ in values for v in (value, second) if v}
     plain = _first_and_second(text, {v for v, _, _ in values if v and v.strip()})
-    loose = _first_and_second(bare, set(strip.values()))
+    loose = _first_and_second(bare_text(text), set(strip.values()))
     marks = [(m.start(), int(m[1])) for m in _MARK.finditer(text)]
     out = []
     for value, second, place in values:
@@ -106,6 +107,7 @@ def value_places(text: str, values: list[tuple[str | None, str | None, int | Non
             first, times = plain.get(value, (None, 0))
             for spelling in (value, second):
                 if first is None and spelling and strip[spelling] in loose:
+                    at = at or bare_places(text)
                     first = at[loose[strip[spelling]][0]]
             place = first if place is None else place
             if times < 2 and strip[value]:  # the bare form finds both ways of writing, so it is what counts
