@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +26,18 @@ def event_date() -> F.Column:
     return F.coalesce("dato", "behandlingsdato")
 
 
-def group_cases(docs: DataFrame) -> DataFrame:
+def group_cases(docs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """``docs`` with ``sak``: the least doc_id among all that share a key, directly or by way of others.
 
+    With ``within``, only keys of documents that agree in those columns (a folder, say) count as shared.
+
     Documents and key values form a bipartite graph; a value that very many documents carry is a star around its least
     document, so no pairs are made. A document without keys is a case of its own.
     """
-    marks = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), key_value(k).alias("v")) for k in KEYS])).alias("x"))
-    marks = marks.select("doc_id", "x.k", "x.v").where("v is not null")
-    heads = marks.groupBy("k", "v").agg(F.min("doc_id").alias("head"))
-    found = connected_components(marks.join(heads, ["k", "v"]).select("doc_id", "head"), "doc_id", "head")
+    marks = docs.select("doc_id", *within, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), key_value(k).alias("v")) for k in KEYS])).alias("x"))
+    marks = marks.select("doc_id", *within, "x.k", "x.v").where("v is not null")
+    heads = marks.groupBy(*within, "k", "v").agg(F.min("doc_id").alias("head"))
+    found = connected_components(marks.join(heads, [*within, "k", "v"]).select("doc_id", "head"), "doc_id", "head")
     return docs.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("sak", F.coalesce("component", "doc_id")).drop("component")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sparkdossier.functions import text as T
+from sparkdossier.functions import trees
 
 # Forms that say little of a document's type; words that end a benefit's name; what a case's folder is kept for.
 GENERIC_FORMS = ("legeerklaring", "egenerklaring")
@@ -28,9 +29,11 @@ def without_sections(pointers: DataFrame, path: str, omitted: Sequence[str]) ->
 
 
 def stable_hash(json: Column, volatile: str = "tid_sekunder") -> Column:
-    """Hash of a JSON text without its numeric member ``volatile``, wherever it stands."""
-    bare = F.regexp_replace(F.regexp_replace(json, rf'"{volatile}"\s*:\s*[0-9.eE+-]+\s*,\s*', ""), rf',?\s*"{volatile}"\s*:\s*[0-9.eE+-]+', "")
-    return F.sha2(bare, 256)
+    """Hash of a JSON text's content, whatever the order of its names, without the member ``volatile`` at any depth.
+
+    Null where the text is null or no JSON.
+    """
+    return F.sha2(trees.canonical(json, (volatile,)), 256)
 
 
 def client_of_key(calls: DataFrame, keys: DataFrame, legacy: str = "") -> DataFrame:

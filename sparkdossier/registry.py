@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sparkdossier.plans.contact_queries  # noqa: F401  registers its queries
+import sparkdossier.plans.folder_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.guard_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.layout_queries  # noqa: F401  registers its queries
 import sparkdossier.plans.more_queries  # noqa: F401  registers its queries
