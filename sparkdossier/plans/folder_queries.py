@@ -121,7 +121,7 @@ def _documents(spark, d):
 
 
 def _states(documents):
-    return case_answers.case_states(documents, cases.contradictions(documents))
+    return case_answers.case_states(documents, cases.findings(documents))
 
 
 @query(
