@@ -23,7 +23,8 @@ def keep_posts(posts: DataFrame, path: str, checkpoint: str, parts: int = 64) ->
 
     A batch writes its own folder and reads only what earlier batches wrote, so a batch that is run again writes the same.
     Posts lie by ``del``, a hash of their folder: a batch reads only the parts its folders fall into, at most ``parts``
-    numbers, which are all that comes to the driver. Calls must come whole within a batch to be counted as one.
+    numbers, which are all that comes to the driver. A path goes with one checkpoint: with a new one, batches count from zero and
+    would write over those that are there. Calls must come whole within a batch to be counted as one.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in posts.schema.fields) + ", del int, bunke long"
 
