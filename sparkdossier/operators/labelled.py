@@ -68,12 +68,12 @@ def labelled_amount(text: Column, labels: str) -> Column:
 def labelled_date(text: Column, labels: str, as_of_year: int, within: int = 32) -> Column:
     """The first date whose century is not assumed in the ``within`` characters behind the first label; null without."""
     near = F.regexp_extract(text, rf"(?is)(?:{labels}){WORD_END}{BINDING}\s*[:.\-]?\s*(.{{0,{within}}})", 1)
-    return D.unambiguous(scanners.scan_dates(near, as_of_year))
+    return D.unambiguous(scanners.scan_days(near, as_of_year))
 
 
 def due_date(text: Column, as_of_year: int) -> Column:
     """A date in the 24 characters behind the first label of a due date."""
-    return D.unambiguous(scanners.scan_dates(F.regexp_extract(text, rf"(?is){DUE}(.{{0,24}})", 1), as_of_year))
+    return D.unambiguous(scanners.scan_days(F.regexp_extract(text, rf"(?is){DUE}(.{{0,24}})", 1), as_of_year))
 
 
 def case_number(text: Column) -> Column:

@@ -17,17 +17,17 @@ _LETTER = (
 
 @query("SELECT o_orderkey AS doc_id, CAST(20 + o_orderkey % 70 AS STRING) || '12345' || CAST(o_orderkey % 10 AS STRING) AS telefon FROM orders")
 def i11_phones(spark, d):
-    return derived(spark, d, _LETTER).select("doc_id", F.array_join(C.phones(F.col("tekst")), ",").alias("telefon"))
+    return derived(spark, d, _LETTER, deal=True).select("doc_id", F.array_join(C.phones(F.col("tekst")), ",").alias("telefon"))
 
 
 @query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'NOK' WHEN 1 THEN 'EUR' END AS valuta FROM orders")
 def b5_currency(spark, d):
-    return derived(spark, d, _LETTER).select("doc_id", C.currency(F.col("tekst")).alias("valuta"))
+    return derived(spark, d, _LETTER, deal=True).select("doc_id", C.currency(F.col("tekst")).alias("valuta"))
 
 
 @query("SELECT o_orderkey AS doc_id, lpad(CAST(o_custkey % 10000 AS STRING), 4, '0') || ' Oslo' AS sted FROM orders")
 def x1_post_places(spark, d):
-    return derived(spark, d, _LETTER).select("doc_id", F.array_join(C.post_places(F.col("tekst")), ",").alias("sted"))
+    return derived(spark, d, _LETTER, deal=True).select("doc_id", F.array_join(C.post_places(F.col("tekst")), ",").alias("sted"))
 
 
 _BOX = "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 90 AS DOUBLE) AS x0, CAST(l_suppkey % 90 AS DOUBLE) AS y0, CAST(l_partkey % 90 + l_quantity - 5 AS DOUBLE) AS x1, CAST(l_suppkey % 90 + 10 AS DOUBLE) AS y1, 640 AS bredde, 480 AS hoyde, l_discount * 10 AS konfidens, CASE WHEN l_linestatus = 'O' THEN 'handskrift' ELSE 'trykt' END AS skrift FROM {lineitem}"

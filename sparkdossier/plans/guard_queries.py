@@ -114,7 +114,7 @@ SELECT doc_id, CASE hvem WHEN 'a' THEN a ELSE b END AS fnr, rolle, etikett, navn
 """
 )
 def w5_numbers_with_labels(spark, d):
-    return owners.numbers_with_labels(derived(spark, d, _OWNED)).drop("posisjon")
+    return owners.numbers_with_labels(derived(spark, d, _OWNED, deal=True)).drop("posisjon")
 
 
 @query(
@@ -127,5 +127,5 @@ SELECT doc_id, sikkerhet, CASE WHEN sikkerhet = 'merket' THEN coalesce(a, b) END
 """
 )
 def x9_document_owners(spark, d):
-    got = owners.document_owners(derived(spark, d, _OWNED))
+    got = owners.document_owners(derived(spark, d, _OWNED, deal=True))
     return got.select("doc_id", "sikkerhet", "fnr", "navn", F.size("andre").alias("andre"))

@@ -143,7 +143,7 @@ def z2_page_questions(spark, d):
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'kåre' || CAST(o_orderkey AS STRING) || '@post.no' ELSE '223344' || CAST(10 + o_orderkey % 90 AS STRING) END AS svar FROM orders")
 def z3_identifier_questions(spark, d):
-    docs = derived(spark, d, _PRIVATE)
+    docs = derived(spark, d, _PRIVATE, deal=True)
     asked = docs.select(F.col("doc_id").alias("id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "Hva er e-posten?").otherwise("Telefonnummer?").alias("sporsmal"))
     return V.identifier_answers(asked, R.redacted_spans(docs, ("epost", "telefon")))
 
