@@ -76,7 +76,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
     on = ["size_left", "side", "half", "key_left"]
     one = without_a_letter(F.col("size"))
-    swaps = one.join(one.withColumnRenamed("word", "other"), on).where("word < other")
+    swaps = one.join(one.withColumnRenamed("word", "other").hint("merge"), on).where("word < other")
     swaps = swaps.where(F.levenshtein("word", "other", 1) == 1).select("word", "other")
 
     longer = without_a_letter(F.col("size") - 1)
@@ -86,7 +86,7 @@ def near_words(words: DataFrame) -> DataFrame:
     half = F.floor(F.col("size_left") / 2).cast("int")
     # A letter beside its like may be taken from either half: such a pair counts by its first half.
     again = (F.col("side") == "last") & (F.substring("word", F.lit(1), half) == F.substring("other", F.lit(1), half))
-    cuts = longer.join(shorter, on).where(~again).where(F.levenshtein("word", "other", 1) == 1).select("word", "other")
+    cuts = longer.join(shorter.hint("merge"), on).where(~again).where(F.levenshtein("word", "other", 1) == 1).select("word", "other")
     pairs = swaps.unionByName(cuts)
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
 
@@ -97,15 +97,15 @@ def spelling_variants(docs: DataFrame, least_letters: int = 5, least_count: int
     ``form`` is the near word that stands most often (of equals the first in code-point order) if it stands at least ``ratio``
     times as often, else null; ``root`` follows forms to the last. Null and wordless texts have no words; repeated rows count
     each; an empty table gives no rows. Forms at least double the count, so ``root`` is found in as many doublings of the path
-    as the logarithm of its length.
+    as the logarithm of its length. All joins merge: a table of words, however well its file is packed, is not for the driver.
     """
     spark = docs.sparkSession
     path = scratch(spark, "spelling-words")
     corpus_words(docs, every).where((F.char_length("word") >= least_letters) & (F.col("n") >= least_count)).write.parquet(path)
     words = spark.read.parquet(path)
-    pairs = near_words(words).join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    pairs = near_words(words).join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")).hint("merge"), "other")
     best = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    got = words.join(best, "word", "left")
+    got = words.join(best.hint("merge"), "word", "left")
     fits = -F.col("best.less") >= ratio * F.col("n")
     got = cut(
         got.select(
@@ -115,8 +115,8 @@ def spelling_variants(docs: DataFrame, least_letters: int = 5, least_count: int
     step = got.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
         ahead = step.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = cut(step.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = cut(step.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         step = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             break
-    return got.join(step, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return got.join(step.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
