@@ -102,15 +102,8 @@ def classify(docs: DataFrame, as_of_year: int, own_labels: Sequence[tuple[str, s
 
 def person_numbers(docs: DataFrame) -> DataFrame:
     """``doc_id, start, slutt, tall`` of the persons' numbers of each text."""
-    found = docs.select("doc_id", F.explode(scanners.scan_numbers(F.col("tekst"), 11)).alias("n")).select("doc_id", "n.*")
-    return found.where(eleven_kind(F.col("tall"), F.col("foran")) == "fodselsnummer").select("doc_id", "start", "slutt", "tall")
-
-
-def eleven_kind(number: Column, before: Column) -> Column:
-    """Of eleven digits that pass as a person's number and as an account's the label before decides, else the person's stands."""
-    person, account = I.valid_person(number), I.valid_account(number)
-    labelled = before.rlike(r"(?i)konto(?:nummer|nr)?[.:\s]*$")
-    return F.when(person & account & labelled, "kontonummer").when(person, "fodselsnummer").when(account, "kontonummer")
+    found = docs.select("doc_id", F.explode(scanners.scan_judged(F.col("tekst"), ["elleve"])).alias("n")).select("doc_id", "n.*")
+    return found.where("type = 'fodselsnummer'").select("doc_id", "start", "slutt", "tall")
 
 
 def document_date(dates: DataFrame, as_of: str, ocr: bool = False, keep: int = 5) -> DataFrame:

@@ -44,3 +44,53 @@ def test_near_words_send_no_table_through_the_driver(spark, tmp_path):
 
     words = stored(spark.createDataFrame([("kontoret",), ("kontorat",)], "word string"), tmp_path / "w")
     assert broadcasts(spelling_variants.near_words(words)) == 0
+
+
+def test_hits_are_judged_in_the_scan_as_by_expressions(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkdossier.functions import identifiers as I
+
+    draw = random.Random(3)
+    numbers = [f"{draw.randint(1, 75):02d}{draw.randint(1, 93):02d}{draw.randrange(10**7):07d}" for _ in range(4000)]
+    numbers += [str(draw.randrange(10 ** draw.randint(2, 26))) for _ in range(2000)] + [f"{draw.randrange(10**9):09d}" for _ in range(500)]
+    checks = {I.is_person: I.valid_person, I.is_account: I.valid_account, I.is_company: I.valid_company, I.is_payment_reference: I.valid_payment_reference}
+    c = F.col("n")
+    rows = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", *(f(c).alias(f"c{i}") for i, f in enumerate(checks.values()))).collect()
+    for row in rows:
+        assert [f(row["n"]) for f in checks] == list(row[1:]), row["n"]
+    assert all(sum(row[i] for row in rows) > 5 for i in range(1, 5))
+
+
+def test_binomial_tail_needs_no_array_of_all_terms():
+    from math import comb
+
+    from sparkdossier.operators import evaluation
+
+    for a, b in ((0, 0), (3, 9), (40, 30), (500, 520)):
+        assert abs(evaluation.binomial_tail(a, b) - sum(comb(a + b, k) for k in range(min(a, b) + 1)) / 2 ** (a + b)) < 1e-9
+    assert best(lambda: evaluation.binomial_tail(10**6, 10**6 + 1000), 1) < 20
+
+
+def test_resampling_weights_by_a_table_are_those_of_the_hashes():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkdossier.operators.evaluation import _resample
+
+    ids, rounds, seed, mask = [5, -3, 10**12, 77, *range(40)], 300, 9, (1 << 64) - 1
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    want = np.zeros(rounds)
+    for r in range(rounds):
+        for i in ids:
+            h = (i & mask) ^ ((r + 1 + seed) * 0x9E3779B97F4A7C15 & mask)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> shift)) * factor & mask
+            want[r] += np.searchsorted(edges, ((h ^ (h >> 31)) >> 11) / float(1 << 53), "right")
+    ones = pa.array(np.ones(len(ids)))
+    got = next(_resample(rounds, seed)(iter([pa.RecordBatch.from_arrays([pa.array(ids), ones, ones], ["id", "e", "c"])])))
+    assert got.column(1).to_numpy().tolist() == want.tolist()
