@@ -50,15 +50,29 @@ def overconfident(pairs: DataFrame, limit: float = 0.05) -> DataFrame:
     return calibration(pairs).where(F.col("avvik") < -limit)
 
 
+def binomial_tail(a: int, b: int) -> float:
+    """Probability of at most ``min(a, b)`` heads in ``a + b`` throws: terms from the largest down, until what is left counts for nothing.
+
+    Terms fall off like a normal distribution's, so they are as many as the root of the throws at most, and none is kept.
+    """
+    n, k = a + b, min(a, b)
+    term, total = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + n * math.log(0.5)), 0.0
+    while k >= 0 and term > 1e-20:
+        total += term
+        term *= k / (n - k + 1)
+        k -= 1
+    return total
+
+
+def _tails(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(map(binomial_tail, a.to_pylist(), b.to_pylist()), type=pa.float64())
+
+
 def mcnemar(live: DataFrame, candidate: DataFrame, key: str, value: str) -> DataFrame:
     """Fixed, broken and the exact two-sided binomial probability, from outcomes joined by question."""
     both = live.select(key, F.col(value).alias("a")).join(candidate.select(key, F.col(value).alias("b")), key)
     n = both.agg(F.count_if(F.expr("a = 0 and b = 1")).alias("rettet"), F.count_if(F.expr("a = 1 and b = 0")).alias("odelagt"))
-    # Terms of the binomial tail one after the other, in logarithms.
-    tail = F.expr(
-        "aggregate(sequence(0, CAST(least(rettet, odelagt) AS INT)), named_struct('l', (rettet + odelagt) * ln(0.5D), 's', 0.0D), "
-        "(x, k) -> named_struct('l', x.l + ln(CAST(greatest(rettet + odelagt - k, 1) AS DOUBLE)) - ln(CAST(k + 1 AS DOUBLE)), 's', x.s + exp(x.l)), x -> x.s)"
-    )
+    tail = F.arrow_udf(_tails, "double")("rettet", "odelagt")
     p = F.when(F.col("rettet") + F.col("odelagt") == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
     return n.withColumn("p", F.round(p, 6))
 
@@ -115,17 +129,33 @@ def _resample(rounds: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+        # The weight by the upper 16 bits; -1 where an edge lies among the numbers that share them, which the lower bits decide.
+        first = np.arange(1 << 16) / float(1 << 16)
+        low, high = np.searchsorted(edges, first, "right"), np.searchsorted(edges, first + (1 / (1 << 16) - 1 / (1 << 53)), "right")
+        table = np.where(low == high, low, -1).astype(float)
         salt = (np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
         sums = np.zeros((2, rounds))
+        rows = 16  # whose hashes stay in the cache
+        hashes, shifted, weights = np.empty((rows, rounds), np.uint64), np.empty((rows, rounds), np.uint64), np.empty((rows, rounds))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                h = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None] ^ salt
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            values = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2)])
+            for at in range(0, len(ids), rows):
+                n = min(rows, len(ids) - at)
+                h, x, w = hashes[:n], shifted[:n], weights[:n]
+                np.bitwise_xor(ids[at : at + n, None], salt, out=h)
                 for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-                weight = np.searchsorted(edges, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right")
-                for i in (0, 1):
-                    sums[i] += part.column(i + 1).to_numpy(zero_copy_only=False).astype(float) @ weight
+                    np.right_shift(h, np.uint64(shift), out=x)
+                    h ^= x
+                    h *= np.uint64(factor)
+                np.right_shift(h, np.uint64(31), out=x)
+                h ^= x
+                np.right_shift(h, np.uint64(48), out=x)
+                np.take(table, x.view(np.int64), out=w, mode="clip")
+                unsure = w < 0
+                if unsure.any():
+                    w[unsure] = np.searchsorted(edges, (h[unsure] >> np.uint64(11)) / float(1 << 53), "right")
+                sums += values[:, at : at + n] @ w
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, rounds + 1)), pa.array(sums[0]), pa.array(sums[1])], ["r", "e", "c"])
 
     return run
