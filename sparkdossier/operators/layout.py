@@ -8,12 +8,16 @@ nothing else, so it is the same at any parallelism.
 from __future__ import annotations
 
 import bisect
+import math
 import re
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 # How far words of one row may differ in height, the share of a character's width below which pieces are one
 # word, the gap between cells, how near a cell lies to its column, and the least table; the overlap that makes a line, and
@@ -65,17 +69,16 @@ class Columns:
 
     def take(self, starts: list[float]) -> bool:
         """Whether every start lies near a column that is known already; only such rows belong to the table."""
-        return all(np.abs(np.array(self.starts) - x).min() <= COLUMN_SLACK for x in starts)
+        return all(any(abs(s - x) <= COLUMN_SLACK for s in self.starts) for x in starts)
 
     def place(self, x: float) -> int:
         """The nearest column, of two equally near ones the left."""
-        return int(np.abs(np.array(self.starts) - x).argmin())
+        return min(range(len(self.starts)), key=lambda k: abs(self.starts[k] - x))
 
 
-def _tables_of_page(page: pd.DataFrame) -> pd.DataFrame:
+def _tables_of_page(page: list[tuple]) -> list[tuple]:
     """Rows of the page's tables: table, row, line, column, text, and whether the row names the columns."""
-    page = page.sort_values("linje")
-    rows = [(int(n), [(float(c["x"]), c["tekst"]) for c in cells_]) for n, cells_ in zip(page["linje"], page["celler"], strict=True)]
+    rows = [(n, [(float(c["x"]), c["tekst"]) for c in cells_]) for n, cells_ in page]
     out, at, table = [], 0, 0
     while at < len(rows):
         columns = Columns([x for x, _ in rows[at][1]])
@@ -92,9 +95,9 @@ def _tables_of_page(page: pd.DataFrame) -> pd.DataFrame:
                 k = columns.place(x)
                 held[k] = f"{held[k]} {text}".strip()
             named = number == 0 and not any(re.match(NUMBER, t.strip()) and re.search(r"\d", t) for t in held if t)
-            out += [(page["doc_id"].iloc[0], page["side"].iloc[0], table, number, line, k, text, named) for k, text in enumerate(held)]
+            out += [(table, number, line, k, text, named) for k, text in enumerate(held)]
         table, at = table + 1, end
-    return pd.DataFrame(out, columns=["doc_id", "side", "tabell", "rad", "linje", "kolonne", "tekst", "overskrift"])
+    return out
 
 
 def tables(line_rows: DataFrame) -> DataFrame:
@@ -104,10 +107,8 @@ def tables(line_rows: DataFrame) -> DataFrame:
     begin where the first line's columns do. ``overskrift`` marks the cells of a first row without a number. Lines that belong
     to no table give no rows.
     """
-    schema = line_rows.select(*PAGE).schema
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     wide = line_rows.where(F.size("celler") >= LEAST_COLUMNS)
-    return wide.groupBy(*PAGE).applyInPandas(_tables_of_page, f"{kinds}, tabell int, rad int, linje int, kolonne int, tekst string, overskrift boolean")
+    return _by_page(wide, ["linje", "celler"], "tabell:int,rad:int,linje:int,kolonne:int,tekst:string,overskrift:boolean", _tables_of_page)
 
 
 def page_texts(words: DataFrame, pages: DataFrame) -> DataFrame:
@@ -136,31 +137,47 @@ def page_texts(words: DataFrame, pages: DataFrame) -> DataFrame:
     return p.select(*PAGE, F.when(better, F.col("ny")).otherwise(F.col("gammel")).alias("tekst"), better.alias("byttet"))
 
 
-def _order_of_page(page: pd.DataFrame) -> pd.DataFrame:
-    """Lines by overlap with a running median band, from the top; regions of a line from the left, with their places in the text."""
-    top, bottom, left = (page[c].to_numpy(float) for c in ("y0", "y1", "x0"))
-    middle = (top + bottom) / 2
-    first, last = np.zeros(len(page)), np.zeros(len(page))  # each line's band
-    tops, bottoms, members = [], [], []
-    for i in np.lexsort((page["nr"].to_numpy(), left, middle)):
-        n = len(members)
-        share = (np.minimum(bottom[i], last[:n]) - np.maximum(top[i], first[:n])) / np.maximum(np.minimum(bottom[i] - top[i], last[:n] - first[:n]), 1.0)
-        k = int(share.argmax()) if n else 0
-        if not n or share[k] < LINE_OVERLAP:
-            k = n
-            tops.append([]), bottoms.append([]), members.append([])
-        bisect.insort(tops[k], top[i])
-        bisect.insort(bottoms[k], bottom[i])
+def _order_of_page(regions: list[tuple]) -> list[tuple]:
+    """Lines by overlap with a running median band, from the top; regions (``nr, x0, y0, y1, tekst``) of a line from the left, with their
+    places in the text."""
+    middle = [(r[2] + r[3]) / 2 for r in regions]
+    first, last, tops, bottoms, members = [], [], [], [], []  # each line's band, its edges and its regions
+    for i in sorted(range(len(regions)), key=lambda i: (middle[i], regions[i][1], regions[i][0])):
+        _, _, top, bottom, _ = regions[i]
+        k, most = -1, -math.inf
+        for j in range(len(members)):
+            share = (min(bottom, last[j]) - max(top, first[j])) / max(min(bottom - top, last[j] - first[j]), 1.0)
+            if share > most:
+                k, most = j, share
+        if most < LINE_OVERLAP:
+            k = len(members)
+            for of_lines, new in ((first, 0.0), (last, 0.0), (tops, []), (bottoms, []), (members, [])):
+                of_lines.append(new)
+        bisect.insort(tops[k], top)
+        bisect.insort(bottoms[k], bottom)
         members[k].append(i)
         first[k], last[k] = tops[k][len(tops[k]) // 2], bottoms[k][len(bottoms[k]) // 2]
     out, at = [], 0
-    text = page["tekst"].tolist()
-    for number, k in enumerate(sorted(range(len(members)), key=lambda k: middle[members[k]].mean())):
-        for place, i in enumerate(sorted(members[k], key=lambda i: left[i])):
+    means = [sum(middle[i] for i in m) / len(m) if len(m) < 8 else np.mean([middle[i] for i in m]) for m in members]
+    for number, k in enumerate(sorted(range(len(members)), key=means.__getitem__)):
+        for place, i in enumerate(sorted(members[k], key=lambda i: regions[i][1])):
+            nr, _, _, _, text = regions[i]
             at += 1 if number or place else 0
-            out.append((page["doc_id"].iloc[0], page["side"].iloc[0], page["nr"].iloc[i], number, place, at, at + len(text[i]), text[i]))
-            at += len(text[i])
-    return pd.DataFrame(out, columns=["doc_id", "side", "nr", "linje", "plass", "start", "slutt", "tekst"])
+            out.append((nr, number, place, at, at + len(text), text))
+            at += len(text)
+    return out
+
+
+def _by_page(rows: DataFrame, columns: list[str], made: str, work: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """``work`` on the rows of each page, sorted by ``columns``: pages come to it many at a time, as arrays, and go back as rows of ``made``."""
+    kind = DataType.fromDDL(f"array<struct<{made}>>")
+    arrow = to_arrow_type(kind)
+
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([work([tuple(r.values()) for r in page]) for page in pages.to_pylist()], type=arrow)
+
+    pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("page"))
+    return pages.select(*PAGE, F.explode(F.arrow_udf(run, kind)("page")).alias("r")).select(*PAGE, "r.*")
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
@@ -171,8 +188,9 @@ def reading_order(regions: DataFrame) -> DataFrame:
     page's text, regions of a line a blank apart and lines a line break. Blank texts and null places count for nothing.
     """
     r = regions.withColumn("tekst", F.regexp_replace(F.coalesce("tekst", F.lit("")), r"(?U)^\s+|\s+$", "")).where("tekst <> '' and x0 is not null and y0 is not null and y1 is not null")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in r.select(*PAGE, "nr").schema.fields)
-    return r.select(*PAGE, "nr", "x0", "y0", "y1", "tekst").groupBy(*PAGE).applyInPandas(_order_of_page, f"{kinds}, linje int, plass int, start int, slutt int, tekst string")
+    columns, number = ["nr", "x0", "y0", "y1", "tekst"], r.schema["nr"].dataType.simpleString()
+    r = r.select(*PAGE, "nr", *(F.col(c).cast("double").alias(c) for c in columns[1:4]), "tekst")
+    return _by_page(r, columns, f"nr:{number},linje:int,plass:int,start:int,slutt:int,tekst:string", _order_of_page)
 
 
 def ordered_text(placed: DataFrame) -> DataFrame:

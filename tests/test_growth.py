@@ -94,3 +94,12 @@ def test_resampling_weights_by_a_table_are_those_of_the_hashes():
     ones = pa.array(np.ones(len(ids)))
     got = next(_resample(rounds, seed)(iter([pa.RecordBatch.from_arrays([pa.array(ids), ones, ones], ["id", "e", "c"])])))
     assert got.column(1).to_numpy().tolist() == want.tolist()
+
+
+def test_pages_are_folded_many_at_a_time(spark):
+    from sparkdossier.operators import layout
+
+    regions = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 9.0, 9.0, "a")], "doc_id long, side int, nr int, x0 double, y0 double, x1 double, y1 double, tekst string")
+    lines = layout.lines(layout.cells(regions.drop("y1")))
+    for df in (layout.reading_order(regions), layout.tables(lines)):
+        assert "InPandas" not in str(df._jdf.queryExecution().executedPlan())
