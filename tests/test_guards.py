@@ -117,3 +117,12 @@ def test_owner_of_a_document(spark):
     for i, (_, sure, number, name, others) in cases.items():
         assert (got[i].sikkerhet, got[i].fnr, got[i].navn, [(x.fnr, x.rolle, x.navn) for x in got[i].andre]) == (sure, number, name, others), i
     assert owners.document_owners(docs.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_are_documents_of_their_own_and_no_text_is_shuffled(spark):
+    a = next(n for n in (person(f"010180{s}") for s in range(100, 120)) if n)
+    docs = spark.createDataFrame([(1, f"Per Olsen\n{a}")] * 2, "doc_id long, tekst string")
+    found = owners.numbers_with_labels(docs)
+    assert [r.navn for r in found.collect()] == ["Per Olsen"] * 2
+    assert "Exchange" not in str(found._jdf.queryExecution().executedPlan())
+    assert "Join" not in str(owners.document_owners(docs)._jdf.queryExecution().executedPlan())
