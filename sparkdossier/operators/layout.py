@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,23 +37,78 @@ def cells(words: DataFrame) -> DataFrame:
     row, pieces nearer than a fifth of its median character width are one word, and words up to 12 points apart one cell.
     ``biter`` is how many pieces of the cell were put together without a blank. Blank words and null places count for nothing.
     """
+    return _page_rows(words).select(*PAGE, "r.y", F.explode(F.arrays_zip("r.celler", "r.biter")).alias("c")).select(*PAGE, "y", "c.celler.x", "c.celler.tekst", "c.biter")
+
+
+def word_lines(words: DataFrame) -> DataFrame:
+    """``lines(cells(words))`` by one reading of each page, no rows for words or cells between."""
+    return _page_rows(words).select(*PAGE, "linje", "r.celler", F.col("r.sum").alias("biter"))
+
+
+_ROWS = "array<struct<y:double,celler:array<struct<x:double,tekst:string>>,biter:array<int>,sum:int>>"
+
+
+def _page_rows(words: DataFrame) -> DataFrame:
+    """``doc_id, side, linje, r``: the rows of each page from the top, with their cells from the left."""
     w = words.where(F.trim(F.coalesce("tekst", F.lit(""))) != "").where("x0 is not null and x1 is not null and y0 is not null")
-    begun = F.aggregate(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("nr", "y0"))), lambda s: s["y0"])),
-        F.array().cast("array<double>"),
-        lambda rows, y: F.when(F.exists(rows, lambda r: F.abs(r - y) <= ROW_SLACK), rows).otherwise(F.concat(rows, F.array(y))),
-    )
-    rows = w.groupBy(*PAGE).agg(begun.alias("begun"))
-    w = w.join(rows, PAGE).withColumn("y", F.get(F.filter("begun", lambda r: F.abs(r - F.col("y0")) <= ROW_SLACK), 0)).drop("begun")
-    row = Window.partitionBy(*PAGE, "y")
-    along = row.orderBy("x0", "x1", "tekst", "nr")
-    limit = PIECE_SHARE * F.median((F.col("x1") - F.col("x0")) / F.length("tekst")).over(row)
-    gap = F.col("x0") - F.lag("x1").over(along)
-    w = w.withColumn("biter_av", F.coalesce((limit > 0) & (gap < limit), F.lit(False))).withColumn("ny", F.coalesce(~F.col("biter_av") & (gap > CELL_GAP), F.lit(True)))
-    w = w.withColumn("celle", F.sum(F.col("ny").cast("int")).over(along))
-    put = F.concat(F.when(F.col("biter_av") | F.col("ny"), "").otherwise(" "), F.col("tekst")).alias("t")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "tekst", "nr", put))), lambda s: s["t"])
-    return w.groupBy(*PAGE, "y", "celle").agg(F.min("x0").alias("x"), F.array_join(parts, "").alias("tekst"), F.count_if("biter_av").cast("int").alias("biter")).drop("celle")
+    word = F.struct("nr", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1")), "tekst")
+    pages = w.groupBy(*PAGE).agg(F.collect_list(word).alias("page"))
+    return pages.select(*PAGE, F.posexplode(F.arrow_udf(_rows_of_pages, DataType.fromDDL(_ROWS))("page")).alias("linje", "r"))
+
+
+def _row_heights(page: np.ndarray, nr: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The height of each word's row: in each round the first word left of every page begins a row and takes all within reach.
+
+    What is no finite height lies in no row (NaN).
+    """
+    order = np.lexsort((y, nr, page))
+    out, left = np.full(len(y), np.nan), order[np.isfinite(y[order])]
+    while left.size:
+        first = np.diff(page[left], prepend=-1) != 0
+        begun = y[left][first][np.cumsum(first) - 1]
+        near = np.abs(y[left] - begun) <= ROW_SLACK
+        out[left[near]] = begun[near]
+        left = left[~near]
+    return out
+
+
+def _rows_of_pages(pages: pa.Array) -> pa.Array:
+    """Rows and cells of many pages at a time, over flat arrays of all their words."""
+    nr, x0, y0, x1, text = pages.flatten().flatten()
+    page = np.repeat(np.arange(len(pages)), pages.value_lengths().to_numpy(zero_copy_only=False))
+    rank = lambda a: pc.rank(a, null_placement="at_start", tiebreaker="dense").to_numpy()
+    nr, x0, x1 = rank(nr), x0.to_numpy(), x1.to_numpy()
+    y = _row_heights(page, nr, y0.to_numpy())
+    found = ~np.isnan(y)
+    height = np.where(found, y, 0.0)
+    o = np.lexsort((nr, rank(text), x1, x0, height, found, page))
+    page, x0, x1, found, height, text = page[o], x0[o], x1[o], found[o], height[o], text.take(pa.array(o))
+
+    new_row = (np.diff(page, prepend=-1) != 0) | (np.diff(found, prepend=False) != 0) | (np.diff(height, prepend=0.0) != 0)
+    new_row[:1] = True
+    row, starts = np.cumsum(new_row) - 1, np.flatnonzero(new_row)
+    width, counts = (x1 - x0) / pc.utf8_length(text).to_numpy(), np.diff(np.append(starts, len(x0)))
+    width = width[np.lexsort((width, row))]
+    low, high = width[starts + (counts - 1) // 2], width[starts + counts // 2]
+    limit = PIECE_SHARE * np.where(low == high, low, 0.5 * low + 0.5 * high)[row]
+    gap = x0 - np.concatenate((x1[:1], x1[:-1]))
+    # As in SQL, NaN is above all numbers.
+    joined = ~new_row & ((limit > 0) | np.isnan(limit)) & ((gap < limit) | (np.isnan(limit) & ~np.isnan(gap)))
+    new = new_row | (~joined & ((gap > CELL_GAP) | np.isnan(gap)))
+
+    cell = np.flatnonzero(new)
+    put = pc.binary_join_element_wise(pc.if_else(pa.array(joined | new), "", " ").cast(text.type), text, pa.scalar("", text.type))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cell, len(x0)), pa.int32()), put), pa.scalar("", text.type))
+    pieces, x, of_row = np.add.reduceat(joined.astype(np.int32), cell) if len(cell) else np.zeros(0, np.int32), x0[cell], row[cell]
+    o = np.lexsort((rank(texts), x, of_row))
+    x, texts, pieces = x[o], texts.take(pa.array(o)), pieces[o]
+
+    ends = np.searchsorted(of_row, np.arange(len(starts) + 1)).astype(np.int32)
+    cells_ = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x), texts], ["x", "tekst"]))
+    total = np.diff(np.concatenate(([0], np.cumsum(pieces, dtype=np.int64)))[ends]).astype(np.int32)
+    rows = [pa.array(height[starts], mask=~found[starts]), cells_, pa.ListArray.from_arrays(ends, pa.array(pieces)), pa.array(total)]
+    by_page = np.searchsorted(page[starts], np.arange(len(pages) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(by_page, pa.StructArray.from_arrays(rows, ["y", "celler", "biter", "sum"]))
 
 
 def lines(cell_rows: DataFrame) -> DataFrame:
@@ -117,7 +173,7 @@ def page_texts(words: DataFrame, pages: DataFrame) -> DataFrame:
     A page's text is exchanged only if it has a table with named columns or words in pieces, and only for one that keeps 80 %
     of its length. Lines of a named table say the column before each cell; empty cells are left out. A null text is empty.
     """
-    line_rows = lines(cells(words))
+    line_rows = word_lines(words)
     found = tables(line_rows)
     heads = found.where("overskrift").select(*PAGE, "tabell", "kolonne", F.trim("tekst").alias("navn"))
     named = found.join(heads, [*PAGE, "tabell", "kolonne"])

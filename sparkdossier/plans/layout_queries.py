@@ -34,7 +34,7 @@ g AS (SELECT * FROM h UNION ALL SELECT * FROM r)
 
 @query(f"WITH {_CELLS} SELECT doc_id, rad AS linje, CAST(CASE WHEN b = '' THEN 3 ELSE 4 END AS INTEGER) AS celler, concat_ws('|', a, nullif(b, ''), c, d) AS tekst, CAST(CASE WHEN rad > 0 THEN 1 ELSE 0 END AS INTEGER) AS biter FROM g")
 def w15_rows_and_cells(spark, d):
-    got = layout.lines(layout.cells(derived(spark, d, _WORDS)))
+    got = layout.word_lines(derived(spark, d, _WORDS, deal=True))
     return got.select("doc_id", "linje", F.size("celler").alias("celler"), F.array_join(F.transform("celler", lambda c: c["tekst"]), "|").alias("tekst"), "biter")
 
 
@@ -43,7 +43,7 @@ def w15_rows_and_cells(spark, d):
     "SELECT doc_id, rad, kolonne, CASE kolonne WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN c ELSE d END AS tekst, rad = 0 AS overskrift FROM g JOIN big USING (doc_id), (VALUES (0), (1), (2), (3)) AS v(kolonne)"
 )
 def w16_tables(spark, d):
-    return layout.tables(layout.lines(layout.cells(derived(spark, d, _WORDS)))).select("doc_id", "rad", "kolonne", "tekst", "overskrift")
+    return layout.tables(layout.word_lines(derived(spark, d, _WORDS, deal=True))).select("doc_id", "rad", "kolonne", "tekst", "overskrift")
 
 
 @query(
@@ -55,7 +55,7 @@ def w16_tables(spark, d):
     "SELECT doc_id, CASE WHEN rader > 1 AND length(ny) >= 0.8 * length(gammel) THEN ny ELSE gammel END AS tekst, rader > 1 AND length(ny) >= 0.8 * length(gammel) AS byttet FROM o LEFT JOIN n USING (doc_id)"
 )
 def w17_page_texts(spark, d):
-    return layout.page_texts(derived(spark, d, _WORDS), derived(spark, d, _PAGES)).drop("side")
+    return layout.page_texts(derived(spark, d, _WORDS, deal=True), derived(spark, d, _PAGES)).drop("side")
 
 
 # Two regions for each line of an order, a tall one among them, in no order.

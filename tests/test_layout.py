@@ -59,3 +59,13 @@ def test_reading_order(spark, parts):
     got = {(r.doc_id, r.side): r.tekst for r in layout.ordered_text(placed).collect()}
     assert got == {(1, 1): "en to\ntre fire", (2, 1): "a\nflat"}
     assert all(got[(r.doc_id, r.side)][r.start : r.slutt] == r.tekst for r in placed.collect())
+
+
+def test_pages_are_read_once_and_odd_heights_lie_in_no_row(spark):
+    words = words_of(spark, [(10, 100, 20, "a"), (10, float("inf"), 20, "b"), (40, 101, 50, "c"), (10, float("nan"), 20, "d")])
+    got = layout.word_lines(words)
+    plan = str(got._jdf.queryExecution().executedPlan())
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+    rows = got.orderBy("linje").collect()
+    assert [(r.linje, [c.tekst for c in r.celler], r.biter) for r in rows] == [(0, ["b d"], 0), (1, ["a", "c"], 0)]
+    assert [(r.linje, r.celler, r.biter) for r in layout.lines(layout.cells(words)).orderBy("linje").collect()] == [(r.linje, r.celler, r.biter) for r in rows]
