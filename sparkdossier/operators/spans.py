@@ -82,12 +82,13 @@ def unsupported_numbers(answers: DataFrame, sources: DataFrame, least: int = 3)
     support; null texts have no numbers. Rows that repeat an id are one answer, and one source.
     """
     stated = answers.select("id", F.explode(scanners.scan("stated", F.col("svar"))).alias("x")).select("id", "x.*")
+    stated = stated.where(F.length(F.regexp_replace("tall", r"\D", "")) >= least)
     # A number counts as whole (part 0) or by its blocks: it lacks support if both its whole and one of its blocks are unknown.
-    stated = stated.where(F.length(F.regexp_replace("tall", r"\D", "")) >= least).distinct()
-    parts = stated.select("id", "raa", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("hel"), F.col("tall").alias("tall"))), F.transform(F.array_distinct("deler"), lambda d: F.struct(F.lit(False).alias("hel"), d.alias("tall"))))).alias("x"))
-    parts = parts.select("id", "raa", "x.*")
-    known = sources.select("id", F.explode(scanners.scan("known", F.col("kilde"))).alias("x")).select("id", "x.tall").distinct().withColumn("kjent", F.lit(True))
-    seen = parts.join(known, ["id", "tall"], "left").groupBy("id", "raa").agg(
-        F.bool_or(F.col("hel") & F.col("kjent").isNotNull()).alias("hele"), F.count_if(~F.col("hel")).alias("n"), F.count_if(~F.col("hel") & F.col("kjent").isNotNull()).alias("k")
-    )
+    parts = stated.select("id", "raa", F.posexplode(F.concat(F.array("tall"), "deler")).alias("del", "tall"))
+    known = sources.where("id is not null").select("id", F.explode(scanners.scan("known", F.col("kilde"))).alias("tall"))
+    # Rows that repeat change none of the three answers below, so nothing is made distinct, and one shuffle serves both groupings.
+    both = parts.unionByName(known, allowMissingColumns=True).repartition("id")
+    found = both.withColumn("kjent", F.max(F.col("raa").isNull()).over(Window.partitionBy("id", "tall"))).where("raa is not null")
+    whole = F.col("del") == 0
+    seen = found.groupBy("id", "raa").agg(F.bool_or(whole & F.col("kjent")).alias("hele"), F.count_if(~whole).alias("n"), F.count_if(~whole & F.col("kjent")).alias("k"))
     return seen.where(~F.col("hele") & ((F.col("n") == 0) | (F.col("k") < F.col("n")))).select("id", F.col("raa").alias("tall"))

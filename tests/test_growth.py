@@ -103,3 +103,15 @@ def test_pages_are_folded_many_at_a_time(spark):
     lines = layout.lines(layout.cells(regions.drop("y1")))
     for df in (layout.reading_order(regions), layout.tables(lines)):
         assert "InPandas" not in str(df._jdf.queryExecution().executedPlan())
+
+
+def test_unsupported_numbers_take_one_shuffle_and_rows_that_repeat_change_nothing(spark):
+    from sparkdossier.operators import spans
+
+    answers = [(1, "kr 1 200,50 og 12.03.2024, 999"), (1, "999 og 1 200,50"), (2, "500"), (None, "700")]
+    sources = [(1, "12. mars 2024, 1200,5"), (1, "1200,5"), (None, "700")]
+    a = spark.createDataFrame(answers * 3, "id long, svar string")
+    got = spans.unsupported_numbers(a, spark.createDataFrame(sources * 2, "id long, kilde string"))
+    plan = str(got._jdf.queryExecution().executedPlan())
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "999"), (2, "500"), (None, "700")], key=str)

@@ -67,5 +67,5 @@ def test_pages_are_read_once_and_odd_heights_lie_in_no_row(spark):
     plan = str(got._jdf.queryExecution().executedPlan())
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
     rows = got.orderBy("linje").collect()
-    assert [(r.linje, [c.tekst for c in r.celler], r.biter) for r in rows] == [(0, ["b d"], 0), (1, ["a", "c"], 0)]
+    assert [(r.linje, [c.tekst for c in r.celler], r.biter) for r in rows] == [(0, ["bd"], 1), (1, ["a", "c"], 0)]
     assert [(r.linje, r.celler, r.biter) for r in layout.lines(layout.cells(words)).orderBy("linje").collect()] == [(r.linje, r.celler, r.biter) for r in rows]
