@@ -70,9 +70,15 @@ def evidence(rows: DataFrame) -> DataFrame:
 
 
 def period_of(dates: DataFrame) -> DataFrame:
-    """First and last date, their number, and whether a bundle holds several documents."""
-    d = dates.groupBy("doc_id").agg(F.min("dato").alias("fra"), F.max("dato").alias("til"), F.count_distinct("dato").alias("datoer"), F.count_distinct("side").alias("sider"))
-    return d.withColumn("flere", (F.col("datoer") > 1) & (F.col("sider") > 1))
+    """First and last date, their number, and whether a bundle holds several documents, of ``dates`` (``doc_id, nr, side, dato``).
+
+    Windows that follow one order by document: rows dealt by doc_id and sorted by doc_id and nr are neither dealt nor sorted again.
+    What is held at a time is the different dates and pages of one document.
+    """
+    by = Window.partitionBy("doc_id")
+    different = lambda c: F.size(F.collect_set(c).over(by)).cast("long")
+    d = dates.select("doc_id", F.min("dato").over(by).alias("fra"), F.max("dato").over(by).alias("til"), different("dato").alias("datoer"), different("side").alias("sider"), F.row_number().over(by.orderBy("nr")).alias("rn"))
+    return d.where("rn = 1").drop("rn").withColumn("flere", (F.col("datoer") > 1) & (F.col("sider") > 1))
 
 
 def same_value(a: Column, b: Column) -> Column:

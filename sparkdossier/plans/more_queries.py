@@ -23,7 +23,8 @@ def _lines(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id", "nr").orderBy("side", "rang", "dato")
-    return derived(spark, d, _LINES).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    # Dealt by document, which all that follows goes by.
+    return derived(spark, d, _LINES).repartition("doc_id").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 @query(_L + ", x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rang, side <> 1, nr) AS p FROM l) SELECT doc_id, max(dato) FILTER (WHERE p = 1) AS dato, count(*) - 1 AS alternativer FROM x WHERE p <= 6 GROUP BY doc_id")

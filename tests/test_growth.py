@@ -2,6 +2,8 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from sparkdossier.functions import scanners
 
 DATED = "Dato 3. mars 1996, frist 1997-03-01, ugyldig 31.02.2001, kort 3/3/96 og March 3, 2020, sist 02 . 03 .2004kr, 1.1.1700, 20261231"
@@ -115,3 +117,15 @@ def test_unsupported_numbers_take_one_shuffle_and_rows_that_repeat_change_nothin
     plan = str(got._jdf.queryExecution().executedPlan())
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "999"), (2, "500"), (None, "700")], key=str)
+
+
+def test_a_period_takes_one_shuffle_and_one_sort_of_its_dates(spark):
+    from sparkdossier.operators import documents
+    from sparkdossier.plans import more_queries
+
+    rows = [(1, 1, 1, "2024-01-01"), (1, 2, 1, "2024-03-01"), (1, 3, None, "2024-03-01"), (2, 1, 1, "2024-01-01"), (3, 1, None, None)]
+    dates = spark.createDataFrame(rows, "doc_id long, nr long, side int, dato string").withColumn("dato", F.to_date("dato"))
+    got = documents.period_of(dates).selectExpr("doc_id", "string(fra)", "string(til)", "datoer", "sider", "flere").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, "2024-01-01", "2024-03-01", 2, 1, False), (2, "2024-01-01", "2024-01-01", 1, 1, False), (3, None, None, 0, 0, False)]
+    plan = str(more_queries.a21_bundle_period(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Expand" not in plan
