@@ -129,3 +129,15 @@ def test_a_period_takes_one_shuffle_and_one_sort_of_its_dates(spark):
     assert [tuple(r) for r in got] == [(1, "2024-01-01", "2024-03-01", 2, 1, False), (2, "2024-01-01", "2024-01-01", 1, 1, False), (3, None, None, 0, 0, False)]
     plan = str(more_queries.a21_bundle_period(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Expand" not in plan
+
+
+def test_distance_by_a_band_is_that_of_the_whole_square(spark):
+    import random
+
+    from sparkdossier.operators import evaluation
+
+    draw = random.Random(1)
+    word = lambda: "".join(draw.choice("thaeø") for _ in range(draw.randrange(24)))
+    rows = spark.createDataFrame([(word(), word()) for _ in range(500)] + [("a", None), (None, None)], "a string, b string")
+    got = rows.select(evaluation.distance(F.col("a"), F.col("b")).alias("x"), F.levenshtein("a", "b").alias("y"))
+    assert got.where("not (x <=> y)").count() == 0 and got.where("x > 6").count() > 50 and got.where("x between 1 and 6").count() > 50
