@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdossier.operators.graph import connected_components
-from sparkdossier.session import cut
+from sparkdossier.session import cut, written
 
 # Labelled amounts that are compared, and type pairs of which the second cannot come first.
 AMOUNTS = ("dagsats", "manedsbelop", "utbetalt_belop", "tilbakebetalingsbelop")
@@ -31,14 +31,20 @@ def group_cases(docs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
 
     With ``within``, only keys of documents that agree in those columns (a folder, say) count as shared.
 
-    Documents and key values form a bipartite graph; a value that very many documents carry is a star around its least
-    document, so no pairs are made. A document without keys is a case of its own.
+    Each key value stands for its least document, its head, so no pairs are made. Components are sought among heads only, over
+    those documents that have two: a document takes the case of its least head. A document without keys is a case of its own.
     """
     marks = docs.select("doc_id", *within, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), key_value(k).alias("v")) for k in KEYS])).alias("x"))
-    marks = marks.select("doc_id", *within, "x.k", "x.v").where("v is not null")
+    marks = marks.select("doc_id", *within, "x.k", "x.v").where("v is not null and doc_id is not null")
     heads = marks.groupBy(*within, "k", "v").agg(F.min("doc_id").alias("head"))
-    found = connected_components(marks.join(heads, [*within, "k", "v"]).select("doc_id", "head"), "doc_id", "head")
-    return docs.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("sak", F.coalesce("component", "doc_id")).drop("component")
+    headed = marks.join(heads, [*within, "k", "v"]).select("doc_id", "head")
+    by = Window.partitionBy("doc_id")
+    headed = headed.select("doc_id", "head", F.min("head").over(by).alias("least"), F.row_number().over(by.orderBy("head")).alias("nr"))
+    headed, _ = written(headed, "heads")
+    found = connected_components(headed.where("head <> least").select("head", "least").distinct(), "head", "least")
+    own = headed.where("nr = 1").select("doc_id", "least").join(found.withColumnRenamed("node", "least"), "least", "left")
+    own = own.select("doc_id", F.coalesce("component", "least").alias("component"))
+    return docs.join(own, "doc_id", "left").withColumn("sak", F.coalesce("component", "doc_id")).drop("component")
 
 
 def case_names(cased: DataFrame) -> DataFrame:

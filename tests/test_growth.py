@@ -141,3 +141,25 @@ def test_distance_by_a_band_is_that_of_the_whole_square(spark):
     rows = spark.createDataFrame([(word(), word()) for _ in range(500)] + [("a", None), (None, None)], "a string, b string")
     got = rows.select(evaluation.distance(F.col("a"), F.col("b")).alias("x"), F.levenshtein("a", "b").alias("y"))
     assert got.where("not (x <=> y)").count() == 0 and got.where("x > 6").count() > 50 and got.where("x between 1 and 6").count() > 50
+
+
+def test_components_are_sought_among_heads_only(spark, monkeypatch):
+    from sparkdossier.operators import cases
+
+    sought = []
+    whole = cases.connected_components
+    monkeypatch.setattr(cases, "connected_components", lambda edges, *names: sought.append(edges.count()) or whole(edges, *names))
+    rows = [(i, "1", None) for i in range(5, 40)] + [(40, "1", "J"), (41, " 2", "J"), (42, "2", None), (43, None, None), (44, None, "K"), (3, None, "K"), (None, "1", "K")]
+    docs = spark.createDataFrame(rows, "doc_id long, saksnummer string, journalnummer string")
+    got = {r.doc_id: r.sak for r in cases.group_cases(docs).collect()}
+    assert got == {i: 5 for i in range(5, 43)} | {43: 43, 44: 3, 3: 3, None: None}
+    assert len(sought) == 1 and sought[0] <= 2
+
+
+def test_totals_need_no_window_and_rows_that_repeat_stay_apart(spark):
+    from sparkdossier.operators import labelled
+
+    docs = spark.createDataFrame([(1, "Sum kr:"), (1, "x\nkr 9,00"), (2, "Sum\nkr 7,00"), (3, None), (4, "Sum")], "doc_id long, tekst string")
+    got = labelled.totals(docs)
+    assert "Window" not in str(got._jdf.queryExecution().executedPlan())
+    assert [tuple(r) for r in got.collect()] == [(2, 7.0)]
