@@ -119,8 +119,9 @@ def all_amounts(docs: DataFrame, most: int = 100) -> DataFrame:
 
 def totals(docs: DataFrame) -> DataFrame:
     """``doc_id, total``: the amount on the first line that begins as a total and has one, or on the next line if its own has no digit."""
-    lines = docs.select("doc_id", F.posexplode(F.split("tekst", r"\r\n|[\n\r\x0b\x0c]", -1)).alias("nr", "linje"))
-    lines = lines.withColumn("neste", F.lead("linje").over(Window.partitionBy("doc_id").orderBy("nr"))).where(F.trim("linje").rlike(TOTAL))
+    split = F.split("tekst", r"\r\n|[\n\r\x0b\x0c]", -1)
+    both = F.arrays_zip(split.alias("linje"), F.slice(split, 2, F.size(split)).alias("neste"))  # each line with the next one
+    lines = docs.select("doc_id", F.posexplode(both).alias("nr", "l")).select("doc_id", "nr", "l.linje", "l.neste").where(F.trim("linje").rlike(TOTAL))
     lines = lines.withColumn("egen", first_amount(F.col("linje"))).withColumn("under", first_amount(F.when(~F.col("linje").rlike(r"\d"), F.col("neste"))))
     found = lines.withColumn("total", F.coalesce("egen", "under")).where("total is not null")
     return found.groupBy("doc_id").agg(F.min_by("total", "nr").alias("total"))
