@@ -132,10 +132,14 @@ def asked_kind(question: Column) -> Column:
 
 
 def identifier_answers(questions: DataFrame, found: DataFrame) -> DataFrame:
-    """``id, svar``: all identifiers of the asked kind in the document, in order of their places; null where there is none."""
+    """``id, svar``: all identifiers of the asked kind in the document, in order of their places; null where there is none.
+
+    Both tables may be large, whatever Spark takes texts made by expressions to weigh, so their join merges.
+    """
     q = questions.withColumn("type", asked_kind(F.col("sporsmal"))).where("type is not null")
-    hits = found.groupBy("doc_id", "type", "verdi").agg(F.min("start").alias("start")).groupBy("doc_id", "type").agg(F.array_sort(F.collect_list(F.struct("start", "verdi"))).alias("v"))
-    return q.join(hits, ["doc_id", "type"], "left").select("id", F.array_join(F.col("v.verdi"), ",").alias("svar"))
+    placed = F.array_sort(F.collect_list(F.struct("start", "verdi")))
+    hits = found.groupBy("doc_id", "type").agg(F.array_distinct(placed["verdi"]).alias("v"))
+    return q.join(hits.hint("merge"), ["doc_id", "type"], "left").select("id", F.array_join("v", ",").alias("svar"))
 
 
 def run_operations(docs: DataFrame, operations: dict[str, Column]) -> DataFrame:

@@ -163,3 +163,16 @@ def test_totals_need_no_window_and_rows_that_repeat_stay_apart(spark):
     got = labelled.totals(docs)
     assert "Window" not in str(got._jdf.queryExecution().executedPlan())
     assert [tuple(r) for r in got.collect()] == [(2, 7.0)]
+
+
+def test_identifier_answers_merge_and_scan_each_text_once(spark, tmp_path):
+    from sparkdossier.operators import redaction, service
+    from sparkdossier.plans import service_queries
+
+    asked = spark.createDataFrame([(1, 1, "Hva er e-posten?"), (2, 2, "Telefonnummer?"), (3, 1, "Hvor?")], "id long, doc_id long, sporsmal string")
+    docs = stored(spark.createDataFrame([(1, "b@x.no, a@x.no og b@x.no"), (1, "a@x.no"), (2, "ingen"), (None, "c@x.no")], "doc_id long, tekst string"), tmp_path / "d")
+    got = service.identifier_answers(stored(asked, tmp_path / "q"), redaction.redacted_spans(docs, ("epost", "telefon")))
+    assert broadcasts(got) == 0
+    assert sorted(map(tuple, got.collect())) == [(1, "a@x.no,b@x.no"), (2, None)]
+    plan = str(service_queries.z3_identifier_questions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
+    assert plan.count("BroadcastExchange") == 0 and plan.count("ArrowEvalPython") == 2
