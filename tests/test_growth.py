@@ -176,3 +176,24 @@ def test_identifier_answers_merge_and_scan_each_text_once(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, "a@x.no,b@x.no"), (2, None)]
     plan = str(service_queries.z3_identifier_questions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
     assert plan.count("BroadcastExchange") == 0 and plan.count("ArrowEvalPython") == 2
+
+
+def test_identifiers_are_found_and_removed_in_one_pass(spark):
+    from sparkdossier.operators import redaction
+
+    docs = spark.createDataFrame([(1, "Konto 12345678903, ring +47 22334455 eller skriv til a.b@x.no, kr 500"), (1, "org.nr 123456789"), (2, None), (3, "")], "doc_id long, tekst string")
+    for got in (redaction.redact(docs), redaction.suspects(docs), redaction.redaction_report(docs)):
+        plan = str(got._jdf.queryExecution().executedPlan())
+        assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    rows = {(r.doc_id, r.sladdet): r.antall for r in redaction.redact(docs).collect()}
+    assert rows == {(1, "Konto [SLADDET kontonummer], ring [SLADDET telefon] eller skriv til [SLADDET epost], kr 500"): {"epost": 1, "kontonummer": 1, "telefon": 1}, (1, "org.nr 123456789"): {}, (2, None): {}, (3, ""): {}}
+    assert [(r.type, r.posisjon, r.lengde, r.grunn) for r in redaction.suspects(docs).collect()] == [("organisasjonsnummer", 7, 9, "kontrollsiffer_feilet")]
+
+
+def test_amounts_and_runs_are_ruled_out_before_they_are_sought():
+    assert scanners.amount_hits("Skriv i nokså ordre 12, kroken 7") == [] and [a[2] for a in scanners.amount_hits("7 KR og Nok 8, 9 Kr")] == ["7", "8", "9"]
+    assert scanners._runs("12 34\r\n5 - 6 78, 9") == [[(0, 2), (3, 5), (7, 8)], [(11, 12), (13, 15)]]
+    assert [d for _, _, d in scanners.phone_hits("004722334455, 99922334455, 22 33 44 55, ordrenr: 22334455")] == ["22334455", "22334455"]
+    assert [m[2] for m in scanners._mails("a@b.co+x@y.no, b@c.no@d.no " + "a" * 65 + "@x.no")] == ["a@b.co", "b@c.no"]
+    longs = "x" * 400_000 + "@"
+    assert best(lambda: list(scanners._mails(longs)), 1) < 5
