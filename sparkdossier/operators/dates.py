@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from sparkdossier.functions import identifiers as I
 from sparkdossier.functions import scanners
@@ -38,6 +43,7 @@ SIGNATURE = r"(?i)\(?\bsign\b\.?\)?|signatur|underskrift|underskrevet|underteg|m
 PLACE = r"[A-ZÆØÅ][a-zæøåA-ZÆØÅ\- ]{1,25},\s*$"
 STAMP = r"(?i)\b(stempel|stemplet|mottatt|innkommet|registrert|journalf[øo]rt|arkivert|ekspedert|skannet|innlest|postmottak|dokumentsenter)\b"
 BETWEEN = r"(?i)[-–—]|til"
+_PLACE, _SIGNATURE, _BETWEEN, _EDGES = re.compile(PLACE), re.compile(SIGNATURE), re.compile(BETWEEN), re.compile(r"\A[\s.,;:\-–—]+|[\s.,;:\-–—]+\Z")
 
 
 def role(kind: Column) -> Column:
@@ -48,14 +54,79 @@ def role(kind: Column) -> Column:
     return out.otherwise("innhold")
 
 
-def nearest_label(before: Column, labels: Sequence[tuple[str, str]]) -> Column:
-    """``slutt, lengde, plass, type, etikett`` of the label that ends last in ``before``, then the longest, then the first; or null."""
-    found = []
-    for i, (pattern, kind) in enumerate(labels):
-        upto = F.length(F.regexp_extract(before, f"(?is)^.*(?:{pattern})", 0))
-        last = F.element_at(F.regexp_extract_all(before, F.lit(f"(?is)({pattern})"), 1), -1)
-        found.append(F.when(upto > 0, F.struct(upto.alias("slutt"), F.length(last).alias("lengde"), F.lit(-i).alias("plass"), F.lit(kind).alias("type"), last.alias("etikett"))))
-    return F.array_max(F.array_compact(F.array(*found)))
+def _needed(pattern: str) -> tuple[str, ...]:
+    """Of each way to write a label the longest part that is always the same."""
+    return tuple(max(re.split(r"\[øo\]|s\?|\\s\+", way.replace("\\.", ".")), key=len) for way in pattern.split("|"))
+
+
+#: Labels with what a text must hold for one to match, so that most patterns need not be tried.
+_LABELS = tuple((re.compile(pattern, re.I), kind, _needed(pattern)) for pattern, kind in LABELS)
+
+
+@functools.lru_cache(4096)
+def nearest_label(before: str, own: str = "[]") -> tuple[str, str] | None:
+    """Kind and wording of the label that ends last in ``before``, then the longest, then the first; ``own`` labels (JSON) come first."""
+    low = before.lower() if not any(c in before for c in scanners._ODD_LETTERS) else None
+    for labels in (_own_labels(own), _LABELS):
+        best, rank = None, (0, 0)
+        for pattern, kind, needed in labels:
+            if low is None or not needed or any(part in low for part in needed):
+                for m in pattern.finditer(before):
+                    if (m.end(), len(m[0])) > rank:
+                        best, rank = (kind, m[0]), (m.end(), len(m[0]))
+        if best:
+            return best
+    return None
+
+
+@functools.lru_cache(64)
+def _own_labels(own: str) -> list[tuple[re.Pattern, str, tuple[str, ...]]]:
+    return [(re.compile(re.escape(word), re.I), kind, ()) for word, kind in json.loads(own)]
+
+
+def classified_dates(text: str, as_of_year: int, own: str, most: int) -> list[tuple]:
+    """The first ``most`` dates of a text by place, with their kinds (fields: ``_CLASSIFIED``)."""
+    hits = scanners.date_hits(text, as_of_year)
+    if not hits:
+        return []
+    placing, out, second = scanners.Placing(text), [], False
+    for nr, (start, end, date, assumed) in enumerate(hits[:most]):
+        head, foot, page, line_in_page, low = placing.of(start, end)
+        line = text[head:foot]
+        short, before, kind, label = len(line.strip()) <= 60, text[max(head, start - 80) : start], None, None
+        gap = hits[nr + 1][0] - end if nr + 1 < len(hits) else 9
+        first = gap <= 8 and _BETWEEN.search(text, end, end + max(gap, 0)) is not None
+        if first or second:
+            kind = "periode_start" if first else "periode_slutt"
+        elif found := nearest_label(before[-35:], own):
+            kind, label = found
+        elif short and before.rstrip().endswith(",") and _PLACE.search(before):
+            kind = "signaturdato_sannsynlig" if low else "brevdato_sannsynlig"
+        elif low and short and _SIGNATURE.search(text[max(0, start - 120) : end + 200]):
+            kind = "signaturdato_sannsynlig"
+        elif not low and line_in_page < 14 and len(line.strip()) <= 40:
+            kind = "brevdato_sannsynlig"
+        elif low and _EDGES.sub("", line) == text[start:end]:
+            kind = "signaturdato_sannsynlig"
+        else:
+            kind = "ukjent" if short else "i_lopende_tekst"
+        out.append((nr, date, text[start:end], kind, label, page, assumed, not short, start, before, scanners.context(text, start, end)))
+        second = first
+    return out
+
+
+_CLASSIFIED = "array<struct<nr:int,dato:date,raa:string,type:string,etikett:string,side:int,antatt:boolean,i_lopende_tekst:boolean,start:int,foran:string,kontekst:string>>"
+
+
+@functools.cache
+def _classifying():
+    made = to_arrow_type(DataType.fromDDL(_CLASSIFIED))
+
+    def run(text: pa.Array, year: pa.Array, own: pa.Array, most: pa.Array) -> pa.Array:
+        rows = zip(text.to_pylist(), year.to_pylist(), own.to_pylist(), most.to_pylist(), strict=True)
+        return scanners.listed([[] if t is None else classified_dates(t, *given) for t, *given in rows], made)
+
+    return F.arrow_udf(run, _CLASSIFIED)
 
 
 def classify(docs: DataFrame, as_of_year: int, own_labels: Sequence[tuple[str, str]] = (), most: int = 200) -> DataFrame:
@@ -64,33 +135,11 @@ def classify(docs: DataFrame, as_of_year: int, own_labels: Sequence[tuple[str, s
     A date is, in this order: an end of an interval; what the nearest label before it in its line says (``own_labels``, plain words
     and kinds, come first); by a place name or signature words, the document's date; by its place at the top or bottom of its
     page, the same; else in running text or unknown. Birth dates in persons' numbers follow, one for each number, without a
-    page. A text gives its first ``most`` dates. Null and empty texts give none.
+    page. A text gives its first ``most`` dates. Null and empty texts give none. Each row is a text by itself, also where a doc_id
+    repeats: the scan that finds its dates tells what they are, without a shuffle.
     """
-    rows = docs.select("doc_id", F.explode(scanners.scan_dates(F.col("tekst"), as_of_year)).alias("d")).select("doc_id", "d.*")
-    w = Window.partitionBy("doc_id").orderBy("nr")
-    rows = rows.withColumn("forrige", F.lag("mellom").over(w)).where(F.col("nr") < most)
-    near = F.right(F.col("foran"), F.lit(35))
-    label = nearest_label(near, LABELS)
-    if own_labels:
-        label = F.coalesce(nearest_label(near, [(re.escape(word), kind) for word, kind in own_labels]), label)
-    rows = rows.withColumn("merke", label)
-    short, low = F.col("linjelengde") <= 60, F.col("nederst")
-    alone = F.regexp_replace("linje", r"(?U)^[\s.,;:\-–—]*|[\s.,;:\-–—]*$", "") == F.regexp_replace("raa", r"(?U)^[\s.,;:\-–—]*|[\s.,;:\-–—]*$", "")
-    kind = (
-        F.when(F.col("mellom").rlike(BETWEEN), "periode_start")
-        .when(F.col("forrige").rlike(BETWEEN), "periode_slutt")
-        .when(F.col("merke").isNotNull(), F.col("merke.type"))
-        .when(F.col("foran").rlike(PLACE) & short, F.when(low, "signaturdato_sannsynlig").otherwise("brevdato_sannsynlig"))
-        .when(low & short & F.col("rundt").rlike(SIGNATURE), "signaturdato_sannsynlig")
-        .when(~low & (F.col("linje_i_side") < 14) & (F.col("linjelengde") <= 40), "brevdato_sannsynlig")
-        .when(low & alone, "signaturdato_sannsynlig")
-        .when(~short, "i_lopende_tekst")
-        .otherwise("ukjent")
-    )
-    interval = F.coalesce(F.col("mellom").rlike(BETWEEN), F.lit(False)) | F.coalesce(F.col("forrige").rlike(BETWEEN), F.lit(False))
-    rows = rows.select(
-        "doc_id", "nr", "dato", "raa", kind.alias("type"), F.when(~interval, F.col("merke.etikett")).alias("etikett"), "side", "antatt", (~short).alias("i_lopende_tekst"), "start", "foran", "kontekst"
-    )
+    found = _classifying()(F.col("tekst"), F.lit(as_of_year), F.lit(json.dumps([list(x) for x in own_labels])), F.lit(most))
+    rows = docs.select("doc_id", F.explode(found).alias("d")).select("doc_id", "d.*")
     persons = person_numbers(docs).groupBy("doc_id", "tall").agg(F.min("start").alias("start"))
     born = persons.select(
         "doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "tall")) + 1_000_000).alias("nr"), I.birth_date(F.col("tall")).alias("dato"),

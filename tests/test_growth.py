@@ -197,3 +197,15 @@ def test_amounts_and_runs_are_ruled_out_before_they_are_sought():
     assert [m[2] for m in scanners._mails("a@b.co+x@y.no, b@c.no@d.no " + "a" * 65 + "@x.no")] == ["a@b.co", "b@c.no"]
     longs = "x" * 400_000 + "@"
     assert best(lambda: list(scanners._mails(longs)), 1) < 5
+
+
+def test_dates_are_classified_in_the_scan_and_rows_that_repeat_stay_apart(spark):
+    from sparkdossier.operators import dates
+
+    docs = spark.createDataFrame([(1, "FØDT 1.2.1980 - 3.4.1990"), (1, "Mottatt 5.6.2020"), (2, None), (3, "")], "doc_id long, tekst string")
+    got = dates.classify(docs, 2026)
+    plan = str(dates.stamps(got)._jdf.queryExecution().executedPlan())
+    assert "Window" not in plan and plan.count("ArrowEvalPython") == 1 and plan.count("Exchange") == 1
+    assert sorted((r.nr, r.type, str(r.dato)) for r in got.collect()) == [(0, "mottatt", "2020-06-05"), (0, "periode_start", "1980-02-01"), (1, "periode_slutt", "1990-04-03")]
+    assert dates.nearest_label("FØDT og søknad datert ") == ("soknadsdato", "søknad datert") and dates.nearest_label("FØDT ") == ("fodselsdato", "FØDT")
+    assert dates.nearest_label("f.o.m. sett ", '[["SETT", "egen"]]') == ("egen", "sett") and dates.nearest_label("uten ") is None
