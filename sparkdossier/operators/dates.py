@@ -186,6 +186,7 @@ def document_date(dates: DataFrame, as_of: str, ocr: bool = False, keep: int = 5
 
 def period(dates: DataFrame) -> DataFrame:
     """``doc_id, fra, til``: the first period end that follows a period start, with the last start before it."""
+    dates = dates.where(F.col("type").isin("periode_start", "periode_slutt")).select("doc_id", "nr", "dato", "type")
     upto = Window.partitionBy("doc_id").orderBy("nr").rowsBetween(Window.unboundedPreceding, -1)
     start = F.last(F.when(F.col("type") == "periode_start", F.col("dato")), ignorenulls=True).over(upto)
     ends = dates.withColumn("fra", start).where("type = 'periode_slutt' and fra is not null")

@@ -209,3 +209,13 @@ def test_dates_are_classified_in_the_scan_and_rows_that_repeat_stay_apart(spark)
     assert sorted((r.nr, r.type, str(r.dato)) for r in got.collect()) == [(0, "mottatt", "2020-06-05"), (0, "periode_start", "1980-02-01"), (1, "periode_slutt", "1990-04-03")]
     assert dates.nearest_label("FØDT og søknad datert ") == ("soknadsdato", "søknad datert") and dates.nearest_label("FØDT ") == ("fodselsdato", "FØDT")
     assert dates.nearest_label("f.o.m. sett ", '[["SETT", "egen"]]') == ("egen", "sett") and dates.nearest_label("uten ") is None
+
+
+def test_a_period_shuffles_its_ends_only(spark):
+    from sparkdossier.operators import dates
+
+    docs = spark.createDataFrame([(1, "Fra 1.1.1990 til 2.2.1991. Mottatt 3.3.1992"), (2, "Mottatt 3.3.1992"), (3, "1.1.1990 - 2.2.1991, 3.3.1993 - 4.4.1994")], "doc_id long, tekst string")
+    got = dates.period(dates.classify(docs, 2026))
+    plan = str(got._jdf.queryExecution().executedPlan())
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+    assert sorted((r.doc_id, str(r.fra), str(r.til)) for r in got.collect()) == [(1, "1990-01-01", "1991-02-02"), (3, "1990-01-01", "1991-02-02")]
