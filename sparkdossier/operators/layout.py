@@ -8,9 +8,10 @@ nothing else, so it is the same at any parallelism.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,17 @@ _ROWS = "array<struct<y:double,celler:array<struct<x:double,tekst:string>>,biter
 
 def _page_rows(words: DataFrame) -> DataFrame:
     """``doc_id, side, linje, r``: the rows of each page from the top, with their cells from the left."""
-    w = words.where(F.trim(F.coalesce("tekst", F.lit(""))) != "").where("x0 is not null and x1 is not null and y0 is not null")
-    word = F.struct("nr", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1")), "tekst")
+    w = _placed_words(words)
+    word = F.struct("nr", "x0", "y0", "x1", "tekst")
     pages = w.groupBy(*PAGE).agg(F.collect_list(word).alias("page"))
     return pages.select(*PAGE, F.posexplode(F.arrow_udf(_rows_of_pages, DataType.fromDDL(_ROWS))("page")).alias("linje", "r"))
 
 
+def _placed_words(words: DataFrame) -> DataFrame:
+    w = words.where(F.trim(F.coalesce("tekst", F.lit(""))) != "").where("x0 is not null and x1 is not null and y0 is not null")
+    return w.select(*PAGE, "nr", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1")), "tekst")
+
+
 def _row_heights(page: np.ndarray, nr: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The height of each word's row: in each round the first word left of every page begins a row and takes all within reach.
 
@@ -128,13 +134,20 @@ class Columns:
         return all(any(abs(s - x) <= COLUMN_SLACK for s in self.starts) for x in starts)
 
     def place(self, x: float) -> int:
-        """The nearest column, of two equally near ones the left."""
-        return min(range(len(self.starts)), key=lambda k: abs(self.starts[k] - x))
+        """The nearest column, of two equally near ones the left; the columns are sorted."""
+        k = bisect.bisect_left(self.starts, x)
+        if k and (k == len(self.starts) or x - self.starts[k - 1] <= self.starts[k] - x):
+            return bisect.bisect_left(self.starts, self.starts[k - 1])
+        return k
 
 
 def _tables_of_page(page: list[tuple]) -> list[tuple]:
     """Rows of the page's tables: table, row, line, column, text, and whether the row names the columns."""
-    rows = [(n, [(float(c["x"]), c["tekst"]) for c in cells_]) for n, cells_ in page]
+    return _found_tables([(n, [(float(c["x"]), c["tekst"]) for c in cells_]) for n, cells_ in page])
+
+
+def _found_tables(rows: list[tuple]) -> list[tuple]:
+    """``_tables_of_page`` of lines whose cells are tuples."""
     out, at, table = [], 0, 0
     while at < len(rows):
         columns = Columns([x for x, _ in rows[at][1]])
@@ -167,26 +180,80 @@ def tables(line_rows: DataFrame) -> DataFrame:
     return _by_page(wide, ["linje", "celler"], "tabell:int,rad:int,linje:int,kolonne:int,tekst:string,overskrift:boolean", _tables_of_page)
 
 
+def _page_starts(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Where the pages of sorted words begin."""
+    codes = [pc.dictionary_encode(table.column(c), null_encoding="encode") for c in PAGE]
+    codes = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices.to_numpy() for c in codes]
+    return np.flatnonzero(np.logical_or.reduce([np.diff(c, prepend=-1) != 0 for c in codes]))
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted words cut where a page begins, so that none lies in two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(_page_starts(batch)[-1])
+        goes_on = held and len(_page_starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]).combine_chunks())) == 1
+        if last or (held and not goes_on):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _built_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's text as built from its words, and whether it has words in pieces and tables with named columns."""
+    for words in _whole_pages(batches):
+        starts = _page_starts(words)
+        fields = ["nr", "x0", "y0", "x1", "tekst"]
+        flat = pa.StructArray.from_arrays([words.column(c).combine_chunks() for c in fields], fields)
+        made = _rows_of_pages(pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), flat))
+        _, cells_, _, pieces = made.flatten().flatten()
+        x, text = cells_.flatten().flatten()
+        cell = zip(x.to_pylist(), text.to_pylist(), strict=True)
+        rows = iter([(list(itertools.islice(cell, n)), p) for n, p in zip(cells_.value_lengths().to_pylist(), pieces.to_pylist(), strict=True)])
+        texts = [_text_of_page(list(itertools.islice(rows, n))) for n in made.value_lengths().to_pylist()]
+        new, parts, tables_ = zip(*texts, strict=True)
+        keys = words.select(PAGE).take(pa.array(starts)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(keys.column(c).combine_chunks() for c in PAGE), pa.array(new, pa.string()), pa.array(parts, pa.bool_()), pa.array(tables_, pa.bool_())], [*PAGE, "ny", "biter", "tabell"])
+
+
+def _text_of_page(rows: list[tuple]) -> tuple[str, bool, bool]:
+    """The text of a page's rows (cells, pieces), whether it has words in pieces, and whether it has a table with named columns."""
+    said: dict[int, list[str]] = {}
+    heads: dict[int, list[str]] = {}
+    for table, _, line, column, text, named in _found_tables([(n, c) for n, (c, _) in enumerate(rows) if len(c) >= LEAST_COLUMNS]):
+        value = text.strip(" ")
+        if named:
+            heads.setdefault(table, []).append(value)
+        if table in heads:
+            name = "" if named else heads[table][column]
+            parts = said.setdefault(line, ["[TABELL: "] if named else [""])
+            if value and (named or name):
+                parts.append(value if named else f"{name}: {value}")
+    lines_ = []
+    for n, (cells_, _) in enumerate(rows):
+        if n not in said:
+            lines_.append(" ".join(t for _, t in cells_))
+        else:
+            kind, *parts = said[n]
+            lines_.append(f"{kind}{', '.join(parts)}]" if kind else " | ".join(parts))
+    return "\n".join(lines_), any(p > 0 for _, p in rows), bool(said)
+
+
 def page_texts(words: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc_id, side, tekst, byttet`` of ``pages`` (``doc_id, side, tekst``): the text built from the places of ``words`` where that gains.
 
     A page's text is exchanged only if it has a table with named columns or words in pieces, and only for one that keeps 80 %
     of its length. Lines of a named table say the column before each cell; empty cells are left out. A null text is empty.
     """
-    line_rows = word_lines(words)
-    found = tables(line_rows)
-    heads = found.where("overskrift").select(*PAGE, "tabell", "kolonne", F.trim("tekst").alias("navn"))
-    named = found.join(heads, [*PAGE, "tabell", "kolonne"])
-    value = F.trim("tekst")
-    cell = F.when(F.col("overskrift"), F.when(value != "", value)).otherwise(F.when((value != "") & (F.col("navn") != ""), F.concat_ws(": ", "navn", value)))
-    said = named.groupBy(*PAGE, "linje").agg(F.transform(F.array_sort(F.collect_list(F.struct("kolonne", cell.alias("c")))), lambda s: s["c"]).alias("c"), F.bool_or("overskrift").alias("hode"))
-    said = said.select(*PAGE, "linje", F.when(F.col("hode"), F.concat(F.lit("[TABELL: "), F.array_join("c", ", "), F.lit("]"))).otherwise(F.array_join("c", " | ")).alias("rad"))
-    full = line_rows.join(said, [*PAGE, "linje"], "left")
-    line = F.coalesce("rad", F.array_join(F.transform("celler", lambda c: c["tekst"]), " "))
-    built = full.groupBy(*PAGE).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("linje", line.alias("t")))), lambda s: s["t"]), "\n").alias("ny"),
-        (F.max("biter") > 0).alias("biter"), F.max(F.col("rad").isNotNull()).alias("tabell"),
-    )
+    # The window brings a page's words together, in order, without building an array of them; the sort is the window's own. Its number
+    # goes along, or Spark would leave the window out.
+    w = _placed_words(words).withColumn("plass", F.row_number().over(Window.partitionBy(*PAGE).orderBy("nr"))).sortWithinPartitions(*PAGE, "nr")
+    kinds = ", ".join(f"{c} {w.schema[c].dataType.simpleString()}" for c in PAGE)
+    built = w.mapInArrow(_built_texts, f"{kinds}, ny string, biter boolean, tabell boolean")
     bare = lambda c: F.length(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     p = pages.select(*PAGE, F.coalesce("tekst", F.lit("")).alias("gammel")).join(built, PAGE, "left")
     better = F.coalesce((F.col("biter") | F.col("tabell")) & (bare("ny") >= KEPT_SHARE * bare("gammel")), F.lit(False))

@@ -219,3 +219,23 @@ def test_a_period_shuffles_its_ends_only(spark):
     plan = str(got._jdf.queryExecution().executedPlan())
     assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
     assert sorted((r.doc_id, str(r.fra), str(r.til)) for r in got.collect()) == [(1, "1990-01-01", "1991-02-02"), (3, "1990-01-01", "1991-02-02")]
+
+
+def test_page_texts_are_built_in_one_pass_over_pages_that_batches_cut(spark):
+    from sparkdossier.operators import layout
+
+    names, size = ["Navn", "Dager", "Sum"], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    words = [(d, 1, r * 3 + k, 50.0 + 100 * k, 100.0 + 14 * r, 80.0 + 100 * k, names[k] if r == 0 else str(r * 10 + k)) for d in range(30) for r in range(1 + d % 5) for k in range(3)]
+    w = spark.createDataFrame(words, "doc_id long, side int, nr int, x0 double, y0 double, x1 double, tekst string")
+    pages = spark.createDataFrame([(d, 1, "kort") for d in range(31)], "doc_id long, side int, tekst string")
+    old = spark.conf.get(size)
+    spark.conf.set(size, "4")
+    try:
+        got = layout.page_texts(w, pages)
+        plan = str(got._jdf.queryExecution().executedPlan())
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and plan.count("Join") == 1
+        rows = {r.doc_id: r.tekst for r in got.collect()}
+    finally:
+        spark.conf.set(size, old)
+    line = lambda r: f"Navn: {r * 10} | Dager: {r * 10 + 1} | Sum: {r * 10 + 2}"
+    assert rows == {d: "\n".join(["[TABELL: Navn, Dager, Sum]", *map(line, range(1, 1 + d % 5))]) if d < 30 and d % 5 >= 2 else "kort" for d in range(31)}
