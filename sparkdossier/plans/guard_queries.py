@@ -49,7 +49,7 @@ FROM q LEFT JOIN j USING (id) LEFT JOIN r USING (id)
 """
 )
 def x15_field_guard(spark, d):
-    got = guards.field_guard(derived(spark, d, _QUESTIONS), derived(spark, d, S.CASE_TEXTS).select("doc_id", "tekst"))
+    got = guards.field_guard(derived(spark, d, _QUESTIONS, deal=True), derived(spark, d, S.CASE_TEXTS, deal=True).select("doc_id", "tekst"))
     return got.select("id", "gjelder", F.array_join("verdier", ";").alias("verdier"), F.array_join("fravaerende", ",").alias("fravaerende"))
 
 

@@ -239,3 +239,17 @@ def test_page_texts_are_built_in_one_pass_over_pages_that_batches_cut(spark):
         spark.conf.set(size, old)
     line = lambda r: f"Navn: {r * 10} | Dager: {r * 10 + 1} | Sum: {r * 10 + 2}"
     assert rows == {d: "\n".join(["[TABELL: Navn, Dager, Sum]", *map(line, range(1, 1 + d % 5))]) if d < 30 and d % 5 >= 2 else "kort" for d in range(31)}
+
+
+def test_field_guard_takes_one_join_and_keys_of_a_text_are_bound_once(spark, tmp_path):
+    from sparkdossier.operators import guards
+
+    answers = [(1, 1, "Hvor stort gebyr gebyr?", "kr 12,50"), (2, 1, "Dagsatsen?", "kr 12,50"), (3, 2, "Gebyr?", "kr 12,50"), (4, None, "Gebyr?", "kr 12,50"), (5, 1, None, "12,50 og 99,00")]
+    a = stored(spark.createDataFrame(answers, "id long, doc_id long, sporsmal string, svar string"), tmp_path / "a")
+    s = stored(spark.createDataFrame([(1, "Dagsats: kr\r\n12,50"), (2, " \u00a0\n"), (None, "12,50")], "doc_id long, tekst string"), tmp_path / "s")
+    got = guards.field_guard(a, s)
+    plan = str(got._jdf.queryExecution().executedPlan())
+    assert plan.count("Join") == 1 and plan.count("Exchange hash") == 2 and broadcasts(got) == 0
+    assert {r.id: (r.gjelder, r.verdier, r.fravaerende) for r in got.collect()} == {
+        1: (True, ["12,50"], ["stort", "gebyr", "gebyr"]), 2: (False, ["12,50"], []), 3: (False, [], []), 4: (False, [], []), 5: (False, ["12,50", "99,00"], []),
+    }
