@@ -43,6 +43,8 @@ SIGNATURE = r"(?i)\(?\bsign\b\.?\)?|signatur|underskrift|underskrevet|underteg|m
 PLACE = r"[A-ZÆØÅ][a-zæøåA-ZÆØÅ\- ]{1,25},\s*$"
 STAMP = r"(?i)\b(stempel|stemplet|mottatt|innkommet|registrert|journalf[øo]rt|arkivert|ekspedert|skannet|innlest|postmottak|dokumentsenter)\b"
 BETWEEN = r"(?i)[-–—]|til"
+#: One of these stands in all that ``SIGNATURE`` can match.
+_IN_SIGNATURES = ("sign", "underskr", "underteg", "vennlig", "mvh", "sted")
 _PLACE, _SIGNATURE, _BETWEEN, _EDGES = re.compile(PLACE), re.compile(SIGNATURE), re.compile(BETWEEN), re.compile(r"\A[\s.,;:\-–—]+|[\s.,;:\-–—]+\Z")
 
 
@@ -102,7 +104,7 @@ def classified_dates(text: str, as_of_year: int, own: str, most: int) -> list[tu
             kind, label = found
         elif short and before.rstrip().endswith(",") and _PLACE.search(before):
             kind = "signaturdato_sannsynlig" if low else "brevdato_sannsynlig"
-        elif low and short and _SIGNATURE.search(text[max(0, start - 120) : end + 200]):
+        elif low and short and scanners._may_hold(near := text[max(0, start - 120) : end + 200], _IN_SIGNATURES) and _SIGNATURE.search(near):
             kind = "signaturdato_sannsynlig"
         elif not low and line_in_page < 14 and len(line.strip()) <= 40:
             kind = "brevdato_sannsynlig"

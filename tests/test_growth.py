@@ -253,3 +253,12 @@ def test_field_guard_takes_one_join_and_keys_of_a_text_are_bound_once(spark, tmp
     assert {r.id: (r.gjelder, r.verdier, r.fravaerende) for r in got.collect()} == {
         1: (True, ["12,50"], ["stort", "gebyr", "gebyr"]), 2: (False, ["12,50"], []), 3: (False, [], []), 4: (False, [], []), 5: (False, ["12,50", "99,00"], []),
     }
+
+
+def test_signatures_are_sought_only_where_their_letters_stand():
+    from sparkdossier.operators import dates
+
+    for words in ("sign.", "SIGNATUR", "Underskrift", "underskrevet", "undertegnet", "Med vennlig hilsen", "MVH", "vennlig  hilsen", "sted/dato", "Dato og sted", "ſignatur"):
+        assert dates._SIGNATURE.search(words) and scanners._may_hold(words, dates._IN_SIGNATURES), words
+    text = "Linje uten noe\n" * 20 + "Stempel og hilsen fra arkivet om x 05.05.1991\n" + "Vi viser til samtalen\n" * 3
+    assert best(lambda: dates.classified_dates(text, 2026, "[]", 200)) < 5 * best(lambda: scanners.date_hits(text, 2026))
